@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, simhash, urls
+from . import language, mixing, neighbours, packing, quality, simhash, substring, topk, toxicity, urls
 
 QUERIES = {
+    "op1_posting_lists": neighbours.query,
     "op2_simhash": simhash.query,
     "op3_url_filter": urls.query,
     "op4_mixing": mixing.query,
+    "op5_language": language.query,
+    "op6_toxicity": toxicity.query,
+    "op7_exact_top_k": topk.query,
     "op8_packing": packing.query,
+    "op9_quality": quality.query,
+    "op10_substring_dedup": substring.query,
 }
-ORACLES = {"op3_url_filter": urls.ORACLE, "op4_mixing": mixing.ORACLE}
+ORACLES = {"op3_url_filter": urls.ORACLE, "op4_mixing": mixing.ORACLE, "op10_substring_dedup": substring.ORACLE}
