@@ -8,7 +8,9 @@ most ten short ones whose lengths are powers of two, which need no padding.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
+from types import ModuleType
 
 import numpy as np
 import pandas as pd
@@ -19,7 +21,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 WINDOW = 1024
-CACHED_WORDS = 300_000
+CACHED_WORDS = 700_000
+MARKS = ".,!|*$#%&"
 SPECIAL = "<|endoftext|>"
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -38,28 +41,48 @@ class Ids:
         self.tokenizer, self.cached, self.words = Tokenizer.from_file(path), cached, {}
         self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.simple = len(self.newline) == 1
+        self.marks: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: list[str], into: dict[str, bytes]) -> None:
-        parts = "\n".join(w[1:] if w[0] == "\n" else f" {w}" for w in words)
-        ids = np.array(self.tokenizer.encode(parts, add_special_tokens=False).ids, "<u4")
-        cuts = np.flatnonzero(ids == self.newline[0])
-        first = np.array(self.newline, "<u4").tobytes()
-        for w, a, b in zip(words, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True):
-            into[w] = (first if w[0] == "\n" else b"") + ids[a:b].tobytes()
+    def learn(self, words: list[str]) -> dict[str, bytes]:
+        """Words as cut at spaces; one that starts with a newline follows that, any other a space."""
+        bare = {w: w.rstrip(MARKS) for w in words}
+        bare = {w: b for w, b in bare.items() if len(b) < len(w) and b.removeprefix("\n").isalpha()}
+        known, out = self.words, {}
+        whole = [w for w in words if w not in bare] + list({b for b in bare.values() if b not in known})
+        if whole:
+            parts = "\n".join(w[1:] if w[0] == "\n" else f" {w}" for w in whole)
+            ids = np.array(self.tokenizer.encode(parts, add_special_tokens=False).ids, "<u4")
+            cuts, packed = np.flatnonzero(ids == self.newline[0]), ids.tobytes()
+            first = np.array(self.newline, "<u4").tobytes()
+            for w, a, b in zip(whole, [0, *(cuts * 4 + 4).tolist()], [*(cuts * 4).tolist(), len(packed)], strict=True):
+                out[w] = first + packed[a:b] if w[0] == "\n" else packed[a:b]
+        for w, b in bare.items():  # marks after letters are tokens of their own
+            tail = w[len(b) :]
+            if tail not in self.marks:
+                self.marks[tail] = self.whole(tail)
+            out[w] = (out[b] if b in out else known[b]) + self.marks[tail]
+        if len(known) < self.cached:
+            known.update(out)
+        return out
 
     def __call__(self, text: str) -> bytes:
-        if not self.simple or SPECIAL in text or " ".join(text.split()) != text.replace("\n", " "):
+        if not self.simple or SPECIAL in text:
             return self.whole(text)
         first, *words = text.replace("\n", " \n").split(" ")
-        known = self.words
-        if new := [w for w in set(words) if w not in known]:
-            if len(known) + len(new) > self.cached:
-                known = {w: known[w] for w in words if w in known}
-            self.learn(new, known)
-        return self.whole(first) + b"".join([known[w] for w in words])
+        ids = list(map(self.words.get, words))
+        if None in ids:
+            missing = [k for k, i in enumerate(ids) if i is None]
+            new = list({words[k] for k in missing})
+            # a word with other white space in it is never kept, so it always comes here
+            if any(len(w) < 1 + (w[:1] == "\n") or w.split() != [w.lstrip("\n")] for w in new):
+                return self.whole(text)
+            found = self.learn(new)
+            for k in missing:
+                ids[k] = found[words[k]]
+        return (self.whole(first) if first else b"") + b"".join(ids)
 
 
 class SumOfSquares:
@@ -123,7 +146,9 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, packer, end = Ids(tokenizer_path), SumOfSquares(window), int(end_id).to_bytes(4, "little")
+        kept = sys.modules.setdefault(f"ids of {tokenizer_path}", ModuleType("ids"))  # for the worker's other tasks
+        encode = kept.__dict__.setdefault("ids", None) or Ids(tokenizer_path)
+        kept.ids, packer, end = encode, SumOfSquares(window), int(end_id).to_bytes(4, "little")
         sequence = TaskContext.get().partitionId() << 40
         rows: list[tuple] = []
         held = 0
