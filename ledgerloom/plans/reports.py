@@ -91,10 +91,14 @@ def usage_shares(spark, sf_dir) -> DataFrame:
     return out.withColumn("share", M.ratio(F.col("total") * 1.0, whole))
 
 
+def _ms(name: str):
+    return F.expr(f"{name} div 1000000").alias(name.removesuffix("_ns") + "_ms")
+
+
 def _session_view(s: DataFrame) -> DataFrame:
     return M.derived(s).select(
         "agent", "id", "matched", "title", "nickname", "role", "parent_session", "root_session", F.col("project.kind").alias("kind"),
-        F.col("project.path").alias("path"), F.col("project.name").alias("name"), "last_ns", "has_rows", "first_usage", "last_usage", *VIEW,
+        F.col("project.path").alias("path"), F.col("project.name").alias("name"), _ms("last_ns"), "has_rows", _ms("first_usage"), _ms("last_usage"), *VIEW,
     )
 
 
@@ -171,20 +175,20 @@ def metadata_merge(spark, sf_dir) -> DataFrame:
 
 
 def metadata_only_sessions(spark, sf_dir) -> DataFrame:
-    ledger = Ledger(spark, sf_dir, D.Scope(FIRST, "2024-01-29"))
-    return _session_view(D.metadata_only(D.row_sessions(ledger.rows, ledger.metadata), ledger.metadata, ledger.scope)).select("agent", "id", "title", "kind", "path", "name", "last_ns", "has_rows")
+    ledger = Ledger(spark, sf_dir, D.Scope(FIRST, "2024-01-30"))
+    return _session_view(D.metadata_only(D.row_sessions(ledger.rows, ledger.metadata), ledger.metadata, ledger.scope)).select("agent", "id", "title", "kind", "path", "name", "last_ms", "has_rows")
 
 
 def supplemental_roots(spark, sf_dir) -> DataFrame:
-    """Sessions that only their children name, on one day, where most roots have no rows of their own."""
-    ledger = Ledger(spark, sf_dir, D.Scope("2024-01-10", "2024-01-10"))
+    """Sessions without rows that only their children name, for two models on one day."""
+    ledger = Ledger(spark, sf_dir, D.Scope("2024-01-10", "2024-01-10", models=(("p1", "m3"), ("p0", "m1"))))
     every = ledger.sessions()
-    return _session_view(every).where("agent = 'codex' AND NOT has_rows").select("agent", "id", "role", "root_session", "kind", "path", "last_ns")
+    return _session_view(every).where("agent = 'codex' AND NOT has_rows").select("agent", "id", "role", "root_session", "kind", "path", "last_ms")
 
 
 def thread_usage(spark, sf_dir) -> DataFrame:
     t = Ledger(spark, sf_dir).threads()
-    return M.derived(t.usage).select(*T.KEY, "bucket", "first_usage", "last_usage", *VIEW)
+    return M.derived(t.usage).select(*T.KEY, "bucket", _ms("first_usage"), _ms("last_usage"), *VIEW)
 
 
 def thread_parents(spark, sf_dir) -> DataFrame:
@@ -206,7 +210,7 @@ def _items(t: Threads) -> DataFrame:
 
 def session_list(spark, sf_dir) -> DataFrame:
     items = _items(Ledger(spark, sf_dir).threads())
-    return M.derived(items).select(*T.KEY, "type", "title", "last_activity", "has_usage_rows", "subagent_count", "self_calls", "sub_calls", "unknown_calls", "self_input", "sub_input", "unknown_input", "self_output", "sub_output", "unknown_output", *VIEW)
+    return M.derived(items).select(*T.KEY, "type", "title", _ms("last_activity"), "has_usage_rows", "subagent_count", "self_calls", "sub_calls", "unknown_calls", "self_input", "sub_input", "unknown_input", "self_output", "sub_output", "unknown_output", *VIEW)
 
 
 def session_detail(spark, sf_dir) -> DataFrame:
