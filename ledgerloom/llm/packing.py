@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from types import ModuleType
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 WINDOW = 1024
-CACHED_WORDS = 700_000
+CACHED_WORDS = 450_000
 MARKS = ".,!|*$#%&"
 SPECIAL = "<|endoftext|>"
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -145,13 +145,15 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
     are ignored. An empty table gives no sequence. A sequence's id is its task's number, then a count.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = sys.modules.setdefault(f"ids of {tokenizer_path}", ModuleType("ids"))  # for the worker's other tasks
         encode = kept.__dict__.setdefault("ids", None) or Ids(tokenizer_path)
         kept.ids, packer, end = encode, SumOfSquares(window), int(end_id).to_bytes(4, "little")
         sequence = TaskContext.get().partitionId() << 40
         rows: list[tuple] = []
         held = 0
+        names = [c.split()[0] for c in SCHEMA.split(", ")]
+        kinds = [pa.binary() if c.endswith("binary") else pa.int64() for c in SCHEMA.split(", ")]
 
         def emit(pieces: list) -> None:
             nonlocal sequence, held
@@ -161,33 +163,33 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
                 offset += len(ids) // 4
             sequence, held = sequence + 1, held + offset
 
-        def out() -> pd.DataFrame:
+        def out() -> pa.RecordBatch:
             nonlocal held
-            frame = pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")]).astype({"doc_id": "Int64"})
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
             rows.clear()
             held = 0
-            return frame
+            return pa.RecordBatch.from_arrays(columns, names=names)
 
         for batch in batches:
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = (encode(text) if isinstance(text, str) else b"") + end
+            for doc, text in zip(batch.column(0), batch.column(1), strict=True):  # one text at a time becomes Python's
+                doc, text = doc.as_py(), text.as_py()
+                ids = (encode(text) if text is not None else b"") + end
                 total = len(ids) // 4
-                doc = None if pd.isna(doc) else int(doc)
                 full = total - total % window
                 for start in range(0, full, window):
                     emit([(doc, start, ids[start * 4 : (start + window) * 4], total)])
                 if full < total and (done := packer.put((doc, full, ids[full * 4 :], total), total - full)):
                     emit(done)
-                if held > 2_000_000:
+                if held > 1_000_000:
                     yield out()
         for pieces in cut_rest(packer.rest(), window):
             emit(pieces)
-            if held > 2_000_000:
+            if held > 1_000_000:
                 yield out()
         if rows:
             yield out()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
 
 
 def digest(pieces: DataFrame) -> DataFrame:
