@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged, table
-from .vectors import answers, classes, norm, queries_of, usable
+from .vectors import answers, best_lists, classes, norm, queries_of, usable
 
 #: Bounds of the index: vectors it is fitted to, centroids, lists a vector may be in.
 SAMPLE = 20_000
@@ -31,6 +31,8 @@ BEAM = 128
 BOUNDARY = 1.2
 PRUNE = 1.35
 PROBES = 96
+#: Vectors, as a multiple of k, that a query's lists hold at least.
+LEAST = 40
 BLOCK = 2048
 
 
@@ -105,10 +107,13 @@ class Graph:
         row, j = np.nonzero(taken)
         return row, near[row, j]
 
-    def probes(self, x: np.ndarray, ratio: float = PRUNE, most: int = PROBES) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) of the lists that each query looks into: those within the ratio of the nearest's distance."""
+    def probes(self, x: np.ndarray, sizes: np.ndarray, least: int, ratio: float = PRUNE, most: int = PROBES) -> tuple[np.ndarray, np.ndarray]:
+        """(row, list) of the lists that each query looks into: those within the ratio of the nearest's
+        distance, and more in order of distance until they hold `least` vectors."""
         near, dist = self.nearest(x, most)
-        row, j = np.nonzero((near >= 0) & (dist <= ratio * dist[:, :1] + 1e-12))
+        held = np.where(near >= 0, sizes[near], 0)
+        before = np.cumsum(held, axis=1) - held
+        row, j = np.nonzero((near >= 0) & ((dist <= ratio * dist[:, :1] + 1e-12) | (before < least)))
         return row, near[row, j]
 
 
@@ -169,13 +174,17 @@ def search(vectors: DataFrame, k: int = 20, modulus: int = 20, prune: float = PR
                 for i in range(0, len(batch), step):
                     part = batch.iloc[i : i + step]
                     x = even(np.stack(part["v"].to_numpy()), query)
-                    row, at = sent.value.probes(x, prune, probes) if query else sent.value.lists(x)
+                    row, at = sent.value.probes(x, held.value, LEAST * k, prune, probes) if query else sent.value.lists(x)
                     yield pd.DataFrame({"list": at, "rep": part["rep"].to_numpy()[row], "v": part["v"].to_numpy()[row]})
 
         return run
 
     schema = "list long, rep long, v array<double>"
     posted = staged(reps.select("rep", "v").mapInPandas(place(False), schema), "lists")
+    held = np.zeros(count, np.int64)
+    for r in posted.groupBy("list").count().collect():  # MAX_CENTROIDS rows at most
+        held[r["list"]] = r["count"]
+    held = spark.sparkContext.broadcast(held)
     asking = asked.select("rep").distinct().join(reps.select("rep", "v"), "rep")
     asking = staged(asking.select("rep", "v").mapInPandas(place(True), schema), "probes")
     # blocks: a list's vectors by queries that look into it, each of bounded size
@@ -186,22 +195,22 @@ def search(vectors: DataFrame, k: int = 20, modulus: int = 20, prune: float = PR
     left = posted.join(sizes, "list").select("list", deal("a").alias("i"), every("b").alias("j"), "rep", "v")
     right = asking.join(sizes, "list").select("list", every("a").alias("i"), deal("b").alias("j"), "rep", "v")
 
+    schema = "rep long, best array<struct<n:double,near:long>>"
+
     def meet(lists: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(lists) or not len(queries):
-            return pd.DataFrame({"rep": [], "near": [], "score": []}).astype({"rep": "int64", "near": "int64", "score": "float64"})
+            return pd.DataFrame({"rep": np.zeros(0, np.int64), "best": []})
         v, q = np.stack(lists["v"].to_numpy()), np.stack(queries["v"].to_numpy())
         products = q @ v.T
         most = min(k + 4, len(v))
         top = np.argpartition(-products, most - 1, axis=1)[:, :most]
         i, j = np.repeat(np.arange(len(q)), most), top.ravel()
         exact = (q[i] * v[j]).sum(1)  # the same sum wherever a vector stands
-        return pd.DataFrame({"rep": queries["rep"].to_numpy()[i], "near": lists["rep"].to_numpy()[j], "score": exact})
+        return pd.DataFrame({"rep": queries["rep"].to_numpy(), "best": best_lists(i, lists["rep"].to_numpy()[j], exact, k + 1)})
 
     key = ["list", "i", "j"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(meet, "rep long, near long, score double")
-    best = found.groupBy("rep", "near").agg(F.max("score").alias("score"))
-    best = best.join(reps.select(F.col("rep").alias("near"), "ids"), "near").select("rep", "score", "ids")
-    return answers(asked, best, k)
+    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(meet, schema)
+    return answers(asked, found, reps, k, REPLICAS)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

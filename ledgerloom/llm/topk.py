@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged, table
-from .vectors import answers, classes, norm, queries_of, usable
+from .vectors import answers, best_lists, classes, norm, queries_of, usable
 
 SCALE = 1024
 HEAD = 1024
@@ -151,16 +151,15 @@ def search(vectors: DataFrame, k: int = 10, modulus: int = 100, scale: int = SCA
 
     def meet(own: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(own) or not len(queries):
-            return pd.DataFrame({"rep": [], "near": [], "score": []}).astype("int64")
+            return pd.DataFrame({"rep": np.zeros(0, np.int64), "best": []})
         v, q = np.stack(own["v"].to_numpy()), np.stack(queries["v"].to_numpy())
-        order = np.argsort(-(v * v).sum(1), kind="stable")
-        i, j, score = stripe_search(q, v[order], turn, queries["bound"].to_numpy(), k + 1)
-        return pd.DataFrame({"rep": queries["rep"].to_numpy()[i], "near": own["rep"].to_numpy()[order][j], "score": score})
+        i, j, score = stripe_search(q, v, turn, queries["bound"].to_numpy(), k + 1)
+        best = best_lists(i, own["rep"].to_numpy()[j], score, k + 1)
+        return pd.DataFrame({"rep": queries["rep"].to_numpy()[: len(best)], "best": best})
 
     key = ["band", "part", "g"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(meet, "rep long, near long, score long")
-    best = found.join(reps.select(F.col("rep").alias("near"), "ids"), "near").select("rep", "score", "ids")
-    return answers(asked, best, k)
+    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(meet, "rep long, best array<struct<n:long,near:long>>")
+    return answers(asked, found, reps, k, 1)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

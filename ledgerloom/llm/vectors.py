@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,21 +36,35 @@ def classes(rows: DataFrame, first: int) -> DataFrame:
     return staged(whole.select(F.element_at("ids", 1).alias("rep"), "v", "ids"), "classes")
 
 
-def answers(asked: DataFrame, found: DataFrame, k: int) -> DataFrame:
+def answers(asked: DataFrame, found: DataFrame, reps: DataFrame, k: int, copies: int) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of each query.
 
-    asked: (query_id, rep) with the class each query is of. found: (rep, score, ids) of the classes
-    found near class rep, each once, with the class itself. Of each class k + 1 ids are enough.
+    asked: (query_id, rep) with the class each query is of. found: (rep, best), of one block of classes
+    each, best: array of (n: negative score, near) that holds its k + 1 best classes in order, rep's own
+    among them; a class stands in at most `copies` blocks. As every class has a row, k + 1 classes of
+    k + 1 ids each are enough for any query.
     """
-    each = found.select("rep", "score", F.explode("ids").alias("vec_id"))
-    # the k + 1 best rows of a class of queries, whichever of them is the query's own
-    best = each.groupBy("rep").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("n"), "vec_id"))), 1, k + 1).alias("best"))
+    merged = F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, (k + 1) * copies)
+    few = found.groupBy("rep").agg(F.slice(F.array_distinct(merged), 1, k + 1).alias("best"))
+    each = few.select("rep", F.explode("best").alias("b")).select("rep", "b.n", "b.near")
+    each = each.join(reps.select(F.col("rep").alias("near"), "ids"), "near")
+    ids = F.transform("ids", lambda i: F.struct(F.col("n").alias("n"), i.alias("vec_id")))
+    best = each.groupBy("rep").agg(F.slice(F.array_sort(F.flatten(F.collect_list(ids))), 1, k + 1).alias("best"))
     mine = asked.join(best.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r"))
     others = F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
     rows = mine.select("query_id", F.posexplode(others).alias("rank", "x"))
     return rows.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.n")).alias("score"))
 
 
+def best_lists(query: np.ndarray, near: np.ndarray, score: np.ndarray, most: int) -> list[list[dict]]:
+    """For each query in order 0..max the `most` best of its finds as (n, near), best first, ties to the smaller."""
+    order = np.lexsort((near, -score, query))
+    query, near, score = query[order], near[order], -score[order]
+    first = np.searchsorted(query, np.arange(int(query.max(initial=-1)) + 1))
+    ends = np.append(first[1:], len(query))
+    return [[{"n": n, "near": v} for n, v in zip(score[a : min(b, a + most)].tolist(), near[a : min(b, a + most)].tolist(), strict=True)] for a, b in zip(first, ends, strict=True)]
+
+
 def queries_of(rows: DataFrame, reps: DataFrame, modulus: int) -> DataFrame:
     """(query_id, rep) of the rows whose id is divisible by modulus."""
     asked = rows.where(F.pmod("vec_id", F.lit(modulus)) == 0).select(F.col("vec_id").alias("query_id"), "v", F.xxhash64("v").alias("h"))
