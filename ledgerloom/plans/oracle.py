@@ -340,3 +340,31 @@ ORACLES |= {
     "local_midnight": f"SELECT local_day, zone, epoch_ms(local_day::TIMESTAMP AT TIME ZONE zone) AS start_ms FROM (SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS local_day FROM events), (SELECT unnest([{_ZONE_LIST}]) AS zone)",
     "local_days": f"SELECT zone, strftime((ts AT TIME ZONE 'UTC') AT TIME ZONE zone, '%Y-%m-%d') AS day, count(*) AS n FROM events, (SELECT unnest([{_ZONE_LIST}]) AS zone) GROUP BY 1, 2",
 }
+
+_DIGESTS = """, later AS (
+  SELECT * REPLACE (CASE WHEN local_day IN ('2024-01-03', '2024-01-29') THEN cost + 1 ELSE cost END AS cost) FROM led WHERE NOT (local_day = '2024-01-12' AND id % 20 = 0)
+), was AS (
+  SELECT local_day AS day, count(*) AS calls, sum(input) AS input, sum(cost::DECIMAL(38, 10)) AS cost, count(*) FILTER (input + output > 0 AND NOT priced) AS unpriced FROM led GROUP BY 1
+), now AS (
+  SELECT local_day AS day, count(*) AS calls, sum(input) AS input, sum(cost::DECIMAL(38, 10)) AS cost, count(*) FILTER (input + output > 0 AND NOT priced) AS unpriced FROM later GROUP BY 1
+), differ AS (
+  SELECT day, was.calls <> now.calls OR was.input <> now.input OR was.cost <> now.cost OR was.unpriced <> now.unpriced AS changed FROM was JOIN now USING (day)
+)"""
+_SNAPSHOTS = """, hashed AS (SELECT *, ('0x' || substr(md5(agent || id), 1, 4))::BIGINT AS h FROM ses
+), old AS (SELECT * FROM hashed WHERE h % 11 <> 0
+), new AS (SELECT * REPLACE (CASE WHEN h % 7 = 0 THEN 'moved' ELSE root_session END AS root_session) FROM hashed WHERE h % 5 <> 0)"""
+
+ORACLES |= {
+    "day_digest_changes": _with("SELECT day FROM differ WHERE changed", _DIGESTS),
+    "refresh_decision": _with("""SELECT day, decision, decision = 'skip: freeze' OR (starts_with(decision, 'skip') AND n % 5 = 0) AS frozen FROM (
+      SELECT day, n, CASE WHEN n % 16 = 0 THEN 'pull: compaction' WHEN n % 17 = 0 THEN 'pull: metrics' WHEN n % 9 = 0 THEN 'pull: identity' WHEN n % 11 = 0 THEN 'pull: never loaded'
+        WHEN n % 6 <> 1 AND changed THEN 'pull: changed' WHEN n % 5 = 0 THEN 'skip: frozen' WHEN day < '2024-01-24' AND n % 7 <> 0 AND n % 13 <> 0 THEN 'skip: freeze'
+        WHEN (n % 13 = 0 AND n % 7 <> 0) OR n % 6 = 1 THEN 'pull: unverified' WHEN day >= '2024-01-30' THEN 'pull: recent' WHEN day < '2024-01-24' THEN 'pull: old' ELSE 'skip: same' END AS decision
+      FROM (SELECT *, day(day::DATE) AS n FROM differ))""", _DIGESTS),
+    "snapshot_merge": _with("""SELECT coalesce(n.agent, o.agent) AS agent, coalesce(n.id, o.id) AS id, CASE WHEN n.id IS NOT NULL THEN n.root_session ELSE o.root_session END AS root_session, n.id IS NULL AS disappeared,
+      coalesce(o.start_ns, 1800000000000000000) // 1000000 AS first_seen_ms, CASE WHEN n.id IS NOT NULL THEN 1800000000000000000 ELSE o.last_ns END // 1000000 AS last_seen_ms
+      FROM old o FULL JOIN new n ON o.agent = n.agent AND o.id = n.id""", _META, _SNAPSHOTS),
+    "changed_session_days": _with("""SELECT DISTINCT local_day FROM led WHERE EXISTS (
+      SELECT 1 FROM (SELECT n.id FROM new n LEFT JOIN old o ON o.agent = n.agent AND o.id = n.id WHERE o.id IS NULL OR o.root_session <> n.root_session) c
+      WHERE c.id IN (led.session, led.native_session, led.subagent, led.parent_agent))""", _META, _SNAPSHOTS),
+}
