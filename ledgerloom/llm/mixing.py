@@ -44,7 +44,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
     total = F.sum("source_size").over(W.partitionBy()) * F.lit(float(share))
     per = per.withColumn("level", (total - before) / onward)
     capped = F.col("c") <= F.col("level") * F.col("w")
-    level = F.min(F.when(~capped, F.col("level"))).over(W.partitionBy())
+    level = F.max(F.when(~capped, F.col("level"))).over(W.partitionBy())  # that of the first not capped
     target = F.when(capped, F.col("c")).otherwise(F.least(F.col("c"), level * F.col("w")))
     return per.withColumn("target", target).select("source", "n_docs", "source_size", "target")
 
@@ -93,14 +93,15 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
 
     Rows that agree in doc_id, source and size share the copies that the mix gives them.
     """
-    taken = mix(docs, **options).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies_"), F.count("*").alias("rows_"))
-    taken = taken.where("copies_ > 0").select(F.col("doc_id").alias("id_"), F.col("source").alias("source_"), F.col("size").alias("of_"), "copies_", "rows_")
-    keyed = docs.withColumn("size_", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    out = keyed.join(taken, F.col("doc_id").eqNullSafe(F.col("id_")) & F.col("source").eqNullSafe(F.col("source_")) & (F.col("size_") == F.col("of_")))
-    each = F.row_number().over(W.partitionBy("doc_id", "source", "size_").orderBy("text"))
-    times = F.floor(F.col("copies_") / F.col("rows_")) + F.when(each <= F.col("copies_") % F.col("rows_"), 1).otherwise(0)
-    out = out.withColumn("times_", times.cast("int"))
-    return out.withColumn("copy_", F.explode(F.array_repeat(F.lit(1), F.col("times_")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    taken = mix(docs, **options).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    taken = taken.where("copies > 0").select(F.col("doc_id").alias("i"), F.col("source").alias("s"), F.col("size").alias("n"), "copies", "rows")
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    keyed = docs.select("doc_id", "source", "text", size.alias("size"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    out = keyed.join(taken, F.col("doc_id").eqNullSafe(F.col("i")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("n")))
+    each = F.row_number().over(W.partitionBy("doc_id", "source", "size").orderBy("text"))
+    times = F.floor(F.col("copies") / F.col("rows")) + F.when(each <= F.col("copies") % F.col("rows"), 1).otherwise(0)
+    out = out.withColumn("times", times.cast("int"))
+    return out.select("row", F.explode(F.array_repeat(F.lit(1), F.col("times")))).select("row.*")
 
 
 ORACLE = r"""
@@ -117,7 +118,7 @@ WITH rows AS (
              - coalesce(sum(c) OVER (ORDER BY c / w, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
             / sum(w) OVER (ORDER BY c / w, i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed
 ), flagged AS (
-  SELECT *, c <= level * w AS capped, min(CASE WHEN NOT (c <= level * w) THEN level END) OVER () AS free FROM levels
+  SELECT *, c <= level * w AS capped, max(CASE WHEN NOT (c <= level * w) THEN level END) OVER () AS free FROM levels
 ), sources AS (
   SELECT source, source_size, CASE WHEN capped THEN c ELSE least(c, free * w) END AS target,
          ceil(greatest(64, n // 500000) * n_docs / n::DOUBLE)::BIGINT AS salts,
