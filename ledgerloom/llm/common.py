@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -46,3 +47,12 @@ def broadcast_if_small(df: DataFrame, limit_rows: int = 10_000) -> DataFrame:
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 5; 0 marks the held-out fold. A null id counts as held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5, F.lit(0))
+
+
+def release(spark: SparkSession) -> None:
+    """Collect garbage on the driver, so that Spark removes shuffle files that no plan can read any more.
+
+    Called between the steps of an operator whose shuffles would otherwise pile up to its end.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
