@@ -32,13 +32,20 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = fresh_path(df.sparkSession, name)
+def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write df once to the shared folder (or path) and read it back: cuts lineage, survives lost executors."""
+    path = path or fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete staged tables that no plan still to run reads."""
+    for p in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def broadcast_if_small(df: DataFrame, limit_rows: int = 10_000) -> DataFrame:
     """Hint a broadcast of a staged table of checked size; beyond it Spark joins by shuffle."""
     return F.broadcast(df) if df.count() <= limit_rows else df
