@@ -39,12 +39,16 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cached, self.words = Tokenizer.from_file(path), cached, {}
-        self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.newline = self.encode("\n")
         self.simple = len(self.newline) == 1
         self.marks: dict[str, bytes] = {}
 
+    def encode(self, text: str) -> list[int]:
+        """The tokenizer's ids, without the offsets that encode() also makes."""
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(self.encode(text), "<u4").tobytes()
 
     def learn(self, words: list[str]) -> dict[str, bytes]:
         """Words as cut at spaces; one that starts with a newline follows that, any other a space."""
@@ -54,7 +58,7 @@ class Ids:
         whole = [w for w in words if w not in bare] + list({b for b in bare.values() if b not in known})
         if whole:
             parts = "\n".join(w[1:] if w[0] == "\n" else f" {w}" for w in whole)
-            ids = np.array(self.tokenizer.encode(parts, add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.encode(parts), "<u4")
             cuts, packed = np.flatnonzero(ids == self.newline[0]), ids.tobytes()
             first = np.array(self.newline, "<u4").tobytes()
             for w, a, b in zip(whole, [0, *(cuts * 4 + 4).tolist()], [*(cuts * 4).tolist(), len(packed)], strict=True):
