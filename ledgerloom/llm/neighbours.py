@@ -3,8 +3,10 @@
 Centroids are fitted to a bounded sample by k-means that keeps clusters even, and linked to a graph of
 their neighbours; every task holds both and searches them greedily with a beam. Each vector goes to
 its nearest list, and boundary vectors also to further lists about as near that no list already taken
-stands nearer to. A query takes the lists whose distance is within a ratio of the nearest's. Lists and
-queries meet in blocks of bounded size, whose products are exact; the best per query are merged.
+stands nearer to. A query ranks all centroids and takes every list whose distance is within a ratio of
+the nearest's, however many. Neighbouring lists are grouped, so that a query is sent once to a group and
+not once to each list. Groups and queries meet in blocks of bounded size, whose products are exact; the
+best per query are merged.
 Inner products are searched as distances after adding one component that evens out the lengths.
 """
 
@@ -26,14 +28,16 @@ PER_CENTROID = 100
 MAX_CENTROIDS = 4096
 REPLICAS = 6
 DEGREE = 24
-BEAM = 128
 #: Squared distances are compared: a boundary vector's further lists, a query's lists.
 BOUNDARY = 1.2
 PRUNE = 1.35
-PROBES = 96
 #: Vectors, as a multiple of k, that a query's lists hold at least.
 LEAST = 40
-BLOCK = 2048
+#: Vectors of a group of lists and queries that meet them at once, at most.
+GROUP = 4096
+BLOCK = 1024
+#: Rows that a task holds before it passes them on.
+STEP = 1024
 
 
 class Graph:
@@ -56,7 +60,7 @@ class Graph:
     def _distances(self, x: np.ndarray, at: np.ndarray) -> np.ndarray:
         return (x * x).sum(1)[:, None] + self.squares[at] - 2 * np.einsum("qd,qnd->qn", x, self.centroids[at])
 
-    def nearest(self, x: np.ndarray, k: int, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, x: np.ndarray, k: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """(lists, squared distances) of up to k centroids for each row of x, nearest first; -1 pads.
 
         A best-first search with a beam: in each round every row opens its nearest unopened centroids.
@@ -107,14 +111,42 @@ class Graph:
         row, j = np.nonzero(taken)
         return row, near[row, j]
 
-    def probes(self, x: np.ndarray, sizes: np.ndarray, least: int, ratio: float = PRUNE, most: int = PROBES) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) of the lists that each query looks into: those within the ratio of the nearest's
-        distance, and more in order of distance until they hold `least` vectors."""
-        near, dist = self.nearest(x, most)
-        held = np.where(near >= 0, sizes[near], 0)
-        before = np.cumsum(held, axis=1) - held
-        row, j = np.nonzero((near >= 0) & ((dist <= ratio * dist[:, :1] + 1e-12) | (before < least)))
-        return row, near[row, j]
+    def probes(self, x: np.ndarray, sizes: np.ndarray, least: int, ratio: float = PRUNE) -> np.ndarray:
+        """bool, a row for each query and a column for each list: the lists that it looks into, all those within
+        the ratio of the nearest's distance, and more in order of distance until they hold `least` vectors."""
+        x = x.astype(np.float32)
+        dist = np.maximum((x * x).sum(1)[:, None] + self.squares[None, :] - 2 * x @ self.centroids.T, 0)
+        order = np.argsort(dist, axis=1, kind="stable")
+        before = np.cumsum(sizes[order], axis=1) - sizes[order]
+        into = dist <= ratio * dist.min(axis=1, keepdims=True) + 1e-12
+        row, j = np.nonzero(before < least)
+        into[row, order[row, j]] = True
+        return into
+
+    def groups(self, sizes: np.ndarray, most: int = GROUP) -> tuple[np.ndarray, np.ndarray]:
+        """(group, parts) of each list: neighbouring lists that hold at most `most` vectors together, or one
+        larger list in parts."""
+        group, parts = np.zeros(len(sizes), np.int64), np.maximum(1, -(-sizes // most))
+        at, held = 0, 0
+        for i in self._along().tolist():
+            if held and held + sizes[i] > most:
+                at, held = at + 1, 0
+            group[i], held = at, held + sizes[i]
+        return group, parts
+
+    def _along(self) -> np.ndarray:
+        """The lists in an order that keeps neighbours together: halved again and again along the widest direction."""
+        waiting, out = [np.arange(len(self.centroids))], []
+        while waiting:
+            part = waiting.pop()
+            if len(part) <= 4:
+                out.append(part)
+                continue
+            x = self.centroids[part].astype(np.float64)
+            x -= x.mean(0)
+            part = part[np.argsort(x @ np.linalg.eigh(x.T @ x)[1][:, -1], kind="stable")]
+            waiting += [part[len(part) // 2 :], part[: len(part) // 2]]
+        return np.concatenate(out)
 
 
 def balanced_centroids(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -136,7 +168,7 @@ def balanced_centroids(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def search(vectors: DataFrame, k: int = 20, modulus: int = 20, prune: float = PRUNE, probes: int = PROBES) -> DataFrame:
+def search(vectors: DataFrame, k: int = 20, modulus: int = 20, prune: float = PRUNE) -> DataFrame:
     """query_id, rank, vec_id, score: for each vector whose id is divisible by modulus the k others with
     the largest inner products found; ties go to the smaller id.
 
@@ -166,49 +198,69 @@ def search(vectors: DataFrame, k: int = 20, modulus: int = 20, prune: float = PR
     count = int(min(MAX_CENTROIDS, max(1, n // PER_CENTROID), max(1, len(sample) // 4)))
     graph = Graph(balanced_centroids(even(sample), count))
     sent = spark.sparkContext.broadcast(graph)  # MAX_CENTROIDS at most
-    step = 1024
-
-    def place(query: bool):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for i in range(0, len(batch), step):
-                    part = batch.iloc[i : i + step]
-                    x = even(np.stack(part["v"].to_numpy()), query)
-                    row, at = sent.value.probes(x, held.value, LEAST * k, prune, probes) if query else sent.value.lists(x)
-                    yield pd.DataFrame({"list": at, "rep": part["rep"].to_numpy()[row], "v": part["v"].to_numpy()[row]})
-
-        return run
-
-    schema = "list long, rep long, v array<double>"
-    posted = staged(reps.select("rep", "v").mapInPandas(place(False), schema), "lists")
-    held = np.zeros(count, np.int64)
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i in range(0, len(batch), STEP):
+                part = batch.iloc[i : i + STEP]
+                row, at = sent.value.lists(even(np.stack(part["v"].to_numpy())))
+                yield pd.DataFrame({"list": at, "rep": part["rep"].to_numpy()[row], "v": part["v"].to_numpy()[row]})
+
+    posted = staged(reps.select("rep", "v").mapInPandas(place, "list long, rep long, v array<double>"), "lists")
+    sizes = np.zeros(count, np.int64)
     for r in posted.groupBy("list").count().collect():  # MAX_CENTROIDS rows at most
-        held[r["list"]] = r["count"]
-    held = spark.sparkContext.broadcast(held)
+        sizes[r["list"]] = r["count"]
+    group, parts = graph.groups(sizes)
+    held = spark.sparkContext.broadcast((sizes, group))
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, of = held.value
+        for batch in batches:
+            for i in range(0, len(batch), STEP):
+                part = batch.iloc[i : i + STEP]
+                into = sent.value.probes(even(np.stack(part["v"].to_numpy()), True), own, LEAST * k, prune)
+                row, at = np.nonzero(into)
+                order = np.lexsort((at, of[at], row))
+                row, at = row[order], at[order]
+                first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (of[at][1:] != of[at][:-1])]))
+                lists = np.split(at, first[1:])
+                for j in range(0, len(first), STEP):
+                    f = first[j : j + STEP]
+                    yield pd.DataFrame({"g": of[at[f]], "rep": part["rep"].to_numpy()[row[f]], "v": part["v"].to_numpy()[row[f]], "lists": lists[j : j + STEP]})
+
     asking = asked.select("rep").distinct().join(reps.select("rep", "v"), "rep")
-    asking = staged(asking.select("rep", "v").mapInPandas(place(True), schema), "probes")
-    # blocks: a list's vectors by queries that look into it, each of bounded size
-    sizes = posted.groupBy("list").agg(F.count("*").alias("n")).join(asking.groupBy("list").agg(F.count("*").alias("m")), "list")
-    sizes = F.broadcast(sizes.select("list", F.ceil(F.col("n") / BLOCK).alias("a"), F.ceil(F.col("m") / BLOCK).alias("b")))  # MAX_CENTROIDS rows at most
-    deal = lambda parts: F.pmod(F.xxhash64("rep"), F.col(parts))
-    every = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1))
-    left = posted.join(sizes, "list").select("list", deal("a").alias("i"), every("b").alias("j"), "rep", "v")
-    right = asking.join(sizes, "list").select("list", every("a").alias("i"), deal("b").alias("j"), "rep", "v")
+    asking = staged(asking.select("rep", "v").mapInPandas(ask, "g long, rep long, v array<double>, lists array<long>"), "probes")
+    # blocks: parts of a group's vectors by queries that look into it, each of bounded size
+    of_list = spark.createDataFrame(pd.DataFrame({"list": np.arange(count), "g": group, "a": parts}))  # MAX_CENTROIDS rows at most
+    blocks = of_list.groupBy("g").agg(F.max("a").alias("a")).join(asking.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).alias("b")), "g")
+    deal = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = posted.join(F.broadcast(of_list.select("list", "g")), "list").join(F.broadcast(blocks), "g").select("g", deal("a").alias("i"), every("b").alias("j"), "list", "rep", "v")
+    right = asking.join(F.broadcast(blocks), "g").select("g", every("a").alias("i"), deal("b").alias("j"), "lists", "rep", "v")
 
     schema = "rep long, best array<struct<n:double,near:long>>"
 
-    def meet(lists: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(lists) or not len(queries):
+    def meet(members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        if not len(members) or not len(queries):
             return pd.DataFrame({"rep": np.zeros(0, np.int64), "best": []})
-        v, q = np.stack(lists["v"].to_numpy()), np.stack(queries["v"].to_numpy())
-        products = q @ v.T
+        near, first, column = np.unique(members["rep"].to_numpy(), return_index=True, return_inverse=True)
+        v, q = np.stack(members["v"].to_numpy()[first]), np.stack(queries["v"].to_numpy())
+        asker = np.repeat(np.arange(len(q)), queries["lists"].map(len))
+        wanted = np.concatenate(queries["lists"].to_list())
+        products = np.full((len(q), len(v)), -np.inf)
+        for at in np.unique(members["list"]):
+            rows, columns = asker[wanted == at], column[(members["list"] == at).to_numpy()]
+            products[rows[:, None], columns[None, :]] = q[rows] @ v[columns].T
         most = min(k + 4, len(v))
         top = np.argpartition(-products, most - 1, axis=1)[:, :most]
         i, j = np.repeat(np.arange(len(q)), most), top.ravel()
+        seen = products[i, j] > -np.inf
+        i, j = i[seen], j[seen]
         exact = (q[i] * v[j]).sum(1)  # the same sum wherever a vector stands
-        return pd.DataFrame({"rep": queries["rep"].to_numpy(), "best": best_lists(i, lists["rep"].to_numpy()[j], exact, k + 1)})
+        best = best_lists(i, near[j], exact, k + 1)
+        return pd.DataFrame({"rep": queries["rep"].to_numpy(), "best": best + [[]] * (len(q) - len(best))})
 
-    key = ["list", "i", "j"]
+    key = ["g", "i", "j"]
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(meet, schema)
     return answers(asked, found, reps, k, REPLICAS)
 

@@ -224,3 +224,27 @@ def test_fold(spark):
     rows = spark.createDataFrame([(i,) for i in range(40)] + [(None,)], "doc_id long")
     for r in rows.select("doc_id", fold(rows.doc_id).alias("f")).collect():
         assert r["f"] == (0 if r["doc_id"] is None else zlib.crc32(str(r["doc_id"]).encode()) % 5)
+
+
+def test_the_ratio_alone_selects_lists():
+    rng = np.random.default_rng(6)
+    c, x = rng.normal(size=(500, 24)), 0.05 * rng.normal(size=(40, 24))
+    c /= np.linalg.norm(c, axis=1, keepdims=True)
+    graph = neighbours.Graph(c)
+    into = graph.probes(x, np.full(500, 100), 800)
+    dist = ((x[:, None] - c[None]) ** 2).sum(2)
+    assert (into == ((dist <= 1.35 * dist.min(1, keepdims=True)) | (dist.argsort(1).argsort(1) < 8))).mean() > 0.9999
+    assert into.sum(1).max() > 96
+    sizes = rng.integers(0, 300, 500)
+    sizes[7] = 5000
+    group, parts = graph.groups(sizes, 1000)
+    held = np.bincount(group, sizes)
+    assert parts[7] == 5 and (parts[np.arange(500) != 7] == 1).all() and held[group[7]] == 5000 and (np.delete(held, group[7]) <= 1000).all()
+
+
+def test_all_lists_in_the_ratio_are_searched(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "PER_CENTROID", 10)
+    rows = vectors(n=3000, d=16, seed=5)
+    x = np.array([r[1] for r in rows[:3000]], np.float32).astype(float)
+    got, want = grouped(neighbours.search(spark.createDataFrame(rows, VECTORS), modulus=100, prune=1e9)), brute(x, np.arange(3000), 20, 100)
+    assert {q: {i for i, _ in best} for q, best in got.items()} == {q: {i for i, _ in best} for q, best in want.items()}
