@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import mixing, packing, quality, simhash, substring
+from ledgerloom.llm import mixing, nearcopies, packing, quality, substring
 from ledgerloom.llm.common import staged, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -23,9 +23,10 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each component; rows without an id all stay."""
+    """One document of each component of texts whose five-word shingles have a Jaccard similarity of 0.8 or
+    more: that of smallest id; rows without an id all stay."""
     del spark, sf_dir
-    found = simhash.near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    found = nearcopies.kept(docs).where("NOT no_id").select(F.col("id").alias("kept_id")).distinct()
     kept = docs.join(found, docs.doc_id == found.kept_id, "left_semi")
     return kept.unionByName(docs.where("doc_id IS NULL")).select(*COLUMNS)
 
@@ -58,7 +59,7 @@ STAGES = [
     ("mix", mixed),
     ("pack", packed),
 ]
-#: SQL has neither the classifier nor SimHash nor the tokenizer; tests hold the stages against brute force.
+#: SQL has neither the classifier nor MinHash nor the tokenizer; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

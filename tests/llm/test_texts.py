@@ -187,3 +187,42 @@ def test_pipeline_stages_against_brute_force(spark):
     packed = by["pack"](spark, mixed, SF).collect()
     assert Counter(r["doc_id"] for r in packed if r["start"] == 0) == copies
     assert [n for n, _ in corpus_pipeline.STAGES] == list(by) and corpus_pipeline.ORACLE_SQL is None
+
+
+def shingle_set(text):
+    w = (text or "").lower().split()
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def near_groups(texts):
+    """For each text the least position of its component of Jaccard similarity 0.8 or more."""
+    sets, label = [shingle_set(t) for t in texts], list(range(len(texts)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if label[i] != label[j] and (sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    return label
+
+
+def near_corpus():
+    rng = np.random.default_rng(8)
+    rows = [(i, t) for i, t in corpus(9, 40) if i is not None and i != 404]
+    for i in range(40):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 100)]
+        rows += [(1000 + 3 * i + j, " ".join(w)) for j, w in enumerate((words, mutated(rng, words, 1), mutated(rng, words, 2)))]
+    return rows
+
+
+@pytest.mark.parametrize("group", [2048, 4])
+def test_near_copies_of_the_pipeline_have_a_jaccard_of_four_fifths(spark, group, monkeypatch):
+    from ledgerloom.llm import nearcopies
+
+    monkeypatch.setattr(nearcopies.links, "__defaults__", (group,))
+    rows = near_corpus()
+    label = near_groups([t for _, t in rows])
+    want = {min(i for (i, _), x in zip(rows, label, strict=True) if x == g) for g in set(label)}
+    stage = dict(corpus_pipeline.STAGES)["near duplicates"]
+    got = [r["doc_id"] for r in stage(spark, docs(spark, rows), SF).collect()]
+    assert sorted(got) == sorted(want)
+    assert stage(spark, docs(spark, []), SF).count() == 0
