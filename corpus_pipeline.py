@@ -24,11 +24,14 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of texts whose five-word shingles have a Jaccard similarity of 0.8 or
-    more: that of smallest id; rows without an id all stay."""
+    more: that of smallest id, null ids last. Of rows of equal id and text the least stays."""
     del spark, sf_dir
-    found = nearcopies.kept(docs).where("NOT no_id").select(F.col("id").alias("kept_id")).distinct()
-    kept = docs.join(found, docs.doc_id == found.kept_id, "left_semi")
-    return kept.unionByName(docs.where("doc_id IS NULL")).select(*COLUMNS)
+    found = nearcopies.kept(docs)
+    key = list(nearcopies.KEY)
+    rows = docs.select(*nearcopies.key(), *COLUMNS).join(found, key)
+    least = F.min(F.struct("lang", "source", "n_chars", "doc_id", "text"))
+    one = rows.where("many").groupBy(*key).agg(least.alias("r")).select("r.*")
+    return rows.where("NOT many").select(*COLUMNS).unionByName(one.select(*COLUMNS))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

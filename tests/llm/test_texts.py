@@ -226,3 +226,15 @@ def test_near_copies_of_the_pipeline_have_a_jaccard_of_four_fifths(spark, group,
     got = [r["doc_id"] for r in stage(spark, docs(spark, rows), SF).collect()]
     assert sorted(got) == sorted(want)
     assert stage(spark, docs(spark, []), SF).count() == 0
+
+
+def test_near_copies_without_id_or_of_one_id_go(spark):
+    rng = np.random.default_rng(10)
+    a, b, c, d = ([f"w{x}" for x in rng.integers(0, 10**6, 60)] for _ in range(4))
+    text = " ".join
+    rows = [(None, text(a)), (None, text(a)), (None, text(mutated(rng, a, 1))), (7, text(b)), (7, text(b)), (None, text(b)), (9, text(c)), (9, text(mutated(rng, c, 1))), (9, text(d)), (None, None), (None, "")]
+    got = [(r["doc_id"], r["text"]) for r in dict(corpus_pipeline.STAGES)["near duplicates"](spark, docs(spark, rows), SF).collect()]
+    assert len(got) == 5 and got.count((7, text(b))) == 1 and got.count((9, text(d))) == 1
+    assert sum(i == 9 for i, _ in got) == 2 and sum(i is None and bool(t) for i, t in got) == 1 and sum(not t for _, t in got) == 1
+    same = [(1, text(a), "en", source, 0, "z", "z") for source in "ba"] * 2
+    assert [r["source"] for r in dict(corpus_pipeline.STAGES)["near duplicates"](spark, spark.createDataFrame(same, DOCS), SF).collect()] == ["a"]
