@@ -7,11 +7,13 @@ follows from day digests.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import day_end
-from ..sources.schemas import REQUEST
+from ..sources.schemas import DAY_STATE, REQUEST
 
 FREEZE_DAYS = 7
 DIGEST_COLUMNS = ("calls", "input", "cost", "unpriced")
@@ -107,16 +109,60 @@ def replace_days(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("local_day").parquet(path)
 
 
-def load_stream(spark: SparkSession, landing: str, ledger: str, checkpoint: str, once: bool = True):
+def _one_a_request(rows: DataFrame) -> DataFrame:
+    """A row that comes twice in a day counts once, the copy of the greatest cost."""
+    last = F.max_by(F.struct(*rows.columns), F.struct("cost", "t_ns"))
+    return rows.groupBy("local_day", "id").agg(last.alias("r")).select("r.*")
+
+
+def save_verified(rows: DataFrame, pages: DataFrame, ledger: str, state: str, batch: int) -> None:
+    """Replaces the days that verified_days passes and writes their state; other days keep what they had,
+    and their rows wait in the state folder for the rest. Each batch's version follows from that of the one
+    before, so a batch that runs again gives the same.
+    """
+    spark = rows.sparkSession
+    before = lambda name: spark.read.schema(REQUEST if name == "held" else DAY_STATE).parquet(f"{state}/{name}/{batch - 1}")
+    rows = rows.select(*REQUEST.fieldNames())
+    held = before("held") if batch else spark.createDataFrame([], REQUEST)
+    alone, both = _one_a_request(rows), _one_a_request(rows.unionByName(held))
+    passed = lambda r: verified_days(r, pages).where("ok").select(F.col("day").alias("local_day"))
+    # a whole new pull wins over what an earlier one left behind
+    whole = alone.join(passed(alone), "local_day", "left_semi")
+    filled = both.join(passed(both), "local_day", "left_semi").join(passed(alone), "local_day", "left_anti")
+    good = whole.unionByName(filled).select(*REQUEST.fieldNames())
+    good.write.mode("overwrite").parquet(f"{state}/good/{batch}")
+    good = spark.read.schema(REQUEST).parquet(f"{state}/good/{batch}")
+    done = good.select("local_day").distinct()
+    both.join(done, "local_day", "left_anti").select(*REQUEST.fieldNames()).write.mode("overwrite").parquet(f"{state}/held/{batch}")
+    replace_days(good, ledger)
+    counts = good.groupBy(F.col("local_day").alias("d")).agg(F.count("*").alias("row_count"))
+    no = [F.lit(False).alias(c) for c in ("frozen", "identity_pending", "compaction_pending", "metrics_pending")]
+    now = F.unix_micros(F.current_timestamp()) * 1000
+    new = day_digests(good).join(counts, F.col("day") == F.col("d")).select("day", F.col("digest").alias("fingerprint"), "row_count", now.alias("last_sync_ns"), *no)
+    if batch:
+        new = new.unionByName(before("days").join(done, F.col("day") == F.col("local_day"), "left_anti"))
+    new.write.mode("overwrite").parquet(f"{state}/days/{batch}")
+
+
+def load_stream(
+    spark: SparkSession, landing: str, ledger: str, checkpoint: str, once: bool = True, pages: Callable[[], DataFrame] | None = None, state: str | None = None
+):
     """Landed JSON files as a stream: each micro-batch replaces the days it holds.
 
-    A batch holds whole days. A row that comes twice in it counts once, the copy of the greatest cost.
+    pages gives (day, total) of every page of each day's latest pull, as they are when a batch runs; with it
+    only days whose rows are all there are replaced, rows of others are held back for later batches, and
+    {state}/days/{batch} has the state of all days (schemas.DAY_STATE). Without it nothing tells whether a
+    day is whole: a batch must hold whole days. A row that comes twice counts once, the copy of the greatest cost.
     """
     source = spark.readStream.schema(REQUEST).json(landing)
-
-    def save(batch: DataFrame, _: int) -> None:
-        last = F.max_by(F.struct(*batch.columns), F.struct("cost", "t_ns"))
-        replace_days(batch.groupBy("local_day", "id").agg(last.alias("r")).select("r.*"), ledger)
+    if pages is not None and state is None:
+        raise ValueError("pages need a folder for the state")
+
+    def save(batch: DataFrame, number: int) -> None:
+        if pages is not None:
+            save_verified(batch, pages(), ledger, state, number)
+        else:
+            replace_days(_one_a_request(batch), ledger)
 
     writer = source.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -100,3 +100,21 @@ def test_fingerprint_ignores_order(spark):
     a, b = (L.summary_fingerprint(d, ["k", "n"]).first()[0] for d in (df, df.orderBy(F.desc("k"))))
     c = L.summary_fingerprint(df.withColumn("n", F.col("n") + 1), ["k", "n"]).first()[0]
     assert a == b != c
+
+
+def test_stream_holds_days_back_until_all_rows_are_there(spark, tmp_path):
+    at = lambda name: str(tmp_path / name)
+
+    def land(name, rows, pages):
+        full = [tuple(({f.name: None for f in REQUEST.fields} | r)[f.name] for f in REQUEST.fields) for r in rows]
+        spark.createDataFrame(full, REQUEST).write.json(at(f"landing/{name}"))
+        manifest = lambda: spark.createDataFrame(pages, "day string, total long")
+        L.load_stream(spark, at("landing/*"), at("ledger"), at("mark"), pages=manifest, state=at("state")).awaitTermination()
+        state = spark.read.parquet(at(f"state/days/{'abcd'.index(name)}"))
+        return sorted((str(r["local_day"]), r["id"]) for r in spark.read.parquet(at("ledger")).collect()), {r["day"]: r["row_count"] for r in state.collect()}
+
+    one, two = "2026-01-01", "2026-01-02"
+    row = lambda day, i: {"id": i, "local_day": day, "cost": 1.0}
+    assert land("a", [row(one, 1), row(two, 2)], [(one, 1), (two, 3)]) == ([(one, 1)], {one: 1})
+    assert land("b", [row(two, 3), row(two, 4), row(one, 9)], [(one, 2), (one, 3), (two, 3)]) == ([(one, 1), (two, 2), (two, 3), (two, 4)], {one: 1, two: 3})
+    assert land("c", [row(one, 5), row(one, 6)], [(one, 2)])[0][:2] == [(one, 5), (one, 6)]
