@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -20,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the cluster names none."""
+    """The folder that driver and executors share; a temporary one only on this machine, where none is named."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         base = _own_dirs.setdefault(app, tempfile.mkdtemp(prefix="spark-shared-"))
     return base.rstrip("/")
@@ -39,13 +40,6 @@ def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession, *paths: str) -> None:
-    """Delete staged tables that no plan still to run reads."""
-    for p in paths:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def broadcast_if_small(df: DataFrame, limit_rows: int = 10_000) -> DataFrame:
     """Hint a broadcast of a staged table of checked size; beyond it Spark joins by shuffle."""
     return F.broadcast(df) if df.count() <= limit_rows else df
@@ -54,12 +48,3 @@ def broadcast_if_small(df: DataFrame, limit_rows: int = 10_000) -> DataFrame:
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 5; 0 marks the held-out fold. A null id counts as held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5, F.lit(0))
-
-
-def release(spark: SparkSession) -> None:
-    """Collect garbage on the driver, so that Spark removes shuffle files that no plan can read any more.
-
-    Called between the steps of an operator whose shuffles would otherwise pile up to its end.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()

@@ -121,6 +121,45 @@ def test_repeats(spark, options):
     assert substring.summary(docs(spark, [])).count() == 0
 
 
+def test_an_index_takes_batches_over_sessions(spark, tmp_path):
+    """Three batches, the index closed and opened again in between, give what one table gives; runs are compacted."""
+    rows = [(i, t) for i, t in corpus(5) if i is not None]
+    rows = sorted(rows, key=lambda r: r[0])
+    want = brute_substring(rows)
+    at, got = str(tmp_path / "index"), Counter()
+    index = substring.FingerprintIndex.create(spark, at, buckets=4)
+    for k, low in enumerate((0, 100, 250)):
+        part = [r for r in rows if low <= r[0] < (100, 250, 10**9)[k]]
+        got += Counter(map(tuple, substring.summarised(index, docs(spark, part)).collect()))
+        index.close()
+        index = substring.FingerprintIndex.open(spark.newSession(), at)
+        assert len(index.runs) == k + 1
+    assert got == want
+    assert not index.compact(fanout=4) and len(index.runs) == 3
+    before = sum(r["rows"] for r in index.runs)
+    assert index.compact(fanout=3) and not index.compact(fanout=3)
+    assert len(index.runs) == 1 and sum(r["rows"] for r in index.runs) == before
+    index.close()
+    index = substring.FingerprintIndex.open(spark, at)
+    again = substring.added(index, docs(spark, [(10**6 + i, t) for i, t in rows] + [(3, "all new words here")])).collect()
+    assert all(not r["text"] for r in again if len((dict(rows).get(r["doc_id"] - 10**6) or "").split()) >= 20)
+    assert [r["text"] for r in again if r["doc_id"] == 3] == ["all new words here"] and len(again) == len(rows) + 1
+
+
+def test_texts_of_like_digests_are_told_apart(spark):
+    """Two texts whose SHA-256 begin alike, and whose shared passage stands at the same place."""
+    base, seen, n = " ".join(f"alpha{i}" for i in range(20)), {}, 0
+    while True:
+        text = f"{base} tail{n}"
+        start = hashlib.sha256(text.encode()).hexdigest()[:8]
+        if start in seen:
+            break
+        seen[start], n = text, n + 1
+    rows = [(1, seen[start]), (2, text)]
+    assert Counter(map(tuple, substring.summary(docs(spark, rows)).collect())) == brute_substring(rows)
+    assert brute_substring(rows)[(2, 21, 20, hashlib.sha256(f"tail{n}".encode()).hexdigest())] == 1
+
+
 def test_dedup_keeps_rows_and_columns(spark):
     rows = corpus(4)
     out = substring.dedup(docs(spark, rows))
