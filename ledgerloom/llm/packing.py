@@ -8,9 +8,7 @@ most ten short ones whose lengths are powers of two, which need no padding.
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Iterator
-from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +19,13 @@ from pyspark.sql import functions as F
 from .common import table
 
 WINDOW = 1024
-CACHED_WORDS = 450_000
+#: Words that a task keeps the ids of, at most; about 180 bytes each.
+CACHED_WORDS = 400_000
+#: Characters of texts that are encoded together, about.
+TOGETHER = 1 << 20
 MARKS = ".,!|*$#%&"
 SPECIAL = "<|endoftext|>"
+_UNEVEN = ("  ", " \n", "\n ", "\n\n")
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -31,8 +33,8 @@ class Ids:
     """Ids of whole texts, as packed little-endian unsigned 32-bit integers.
 
     The pre-tokenizer cuts before each single space that follows and precedes non-space, and at each
-    single newline; so the ids of such a text are those of its words in turn, kept for frequent words.
-    Any other text (odd or repeated white space, the special token's string) is encoded as a whole.
+    single newline; so the ids of such a text are those of its words in turn, kept for the words met
+    first. Any other text (odd or repeated white space, the special token's string) is encoded as a whole.
     """
 
     def __init__(self, path: str, cached: int = CACHED_WORDS):
@@ -50,43 +52,54 @@ class Ids:
     def whole(self, text: str) -> bytes:
         return np.array(self.encode(text), "<u4").tobytes()
 
-    def learn(self, words: list[str]) -> dict[str, bytes]:
-        """Words as cut at spaces; one that starts with a newline follows that, any other a space."""
-        bare = {w: w.rstrip(MARKS) for w in words}
-        bare = {w: b for w, b in bare.items() if len(b) < len(w) and b.removeprefix("\n").isalpha()}
-        known, out = self.words, {}
-        whole = [w for w in words if w not in bare] + list({b for b in bare.values() if b not in known})
+    def learn(self, words: list[str]) -> list[str]:
+        """Keep words as cut at spaces; one that starts with a newline follows that, any other a space. Gives
+        those that are new, words without their marks included."""
+        known, bare = self.words, {}
+        for w in words:
+            b = w.rstrip(MARKS)
+            if len(b) < len(w) and b.removeprefix("\n").isalpha():
+                bare[w] = b
+        whole = [w for w in words if w not in bare] if bare else words
+        whole = list(dict.fromkeys(whole + [b for b in bare.values() if b not in known]))
         if whole:
-            parts = "\n".join(w[1:] if w[0] == "\n" else f" {w}" for w in whole)
-            ids = np.array(self.encode(parts), "<u4")
-            cuts, packed = np.flatnonzero(ids == self.newline[0]), ids.tobytes()
+            ids = np.array(self.encode("\n".join([w[1:] if w[0] == "\n" else " " + w for w in whole])), "<u4")
+            cuts, packed = np.flatnonzero(ids == self.newline[0]) * 4, ids.tobytes()
             first = np.array(self.newline, "<u4").tobytes()
-            for w, a, b in zip(whole, [0, *(cuts * 4 + 4).tolist()], [*(cuts * 4).tolist(), len(packed)], strict=True):
-                out[w] = first + packed[a:b] if w[0] == "\n" else packed[a:b]
+            for w, a, b in zip(whole, [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(packed)], strict=True):
+                known[w] = first + packed[a:b] if w[0] == "\n" else packed[a:b]
         for w, b in bare.items():  # marks after letters are tokens of their own
             tail = w[len(b) :]
             if tail not in self.marks:
                 self.marks[tail] = self.whole(tail)
-            out[w] = (out[b] if b in out else known[b]) + self.marks[tail]
-        if len(known) < self.cached:
-            known.update(out)
+            known[w] = known[b] + self.marks[tail]
+        return [*whole, *bare]
+
+    def many(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text; null is empty."""
+        cut: list = []
+        for text in texts:
+            if not text:
+                cut.append(b"")
+            elif not self.simple or any(x in text for x in _UNEVEN) or text[-1] in " \n" or SPECIAL in text:
+                cut.append(self.whole(text))
+            else:
+                cut.append(text.replace("\n", " \n").split(" "))
+        known, full = self.words, len(self.words) >= self.cached
+        missing = set().union(*[x[1:] for x in cut if isinstance(x, list)]).difference(known)
+        if len(" ".join(missing).split()) != len(missing):  # other white space within words
+            odd = {w for w in missing if w.split() != [w.removeprefix("\n")]}
+            cut = [self.whole(t) if isinstance(x, list) and not odd.isdisjoint(x[1:]) else x for t, x in zip(texts, cut, strict=True)]
+            missing -= odd
+        new = self.learn(list(missing)) if missing else []
+        out = [x if isinstance(x, bytes) else (self.whole(x[0]) if x[0] else b"") + b"".join(map(known.__getitem__, x[1:])) for x in cut]
+        if full:
+            for w in new:
+                del known[w]
         return out
 
-    def __call__(self, text: str) -> bytes:
-        if not self.simple or SPECIAL in text:
-            return self.whole(text)
-        first, *words = text.replace("\n", " \n").split(" ")
-        ids = list(map(self.words.get, words))
-        if None in ids:
-            missing = [k for k, i in enumerate(ids) if i is None]
-            new = list({words[k] for k in missing})
-            # a word with other white space in it is never kept, so it always comes here
-            if any(len(w) < 1 + (w[:1] == "\n") or w.split() != [w.lstrip("\n")] for w in new):
-                return self.whole(text)
-            found = self.learn(new)
-            for k in missing:
-                ids[k] = found[words[k]]
-        return (self.whole(first) if first else b"") + b"".join(ids)
+    def __call__(self, text: str | None) -> bytes:
+        return self.many([text])[0]
 
 
 class SumOfSquares:
@@ -141,18 +154,19 @@ def cut_rest(windows: Iterator[list], window: int) -> Iterator[list]:
         yield out
 
 
-def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = 0, tasks: int | None = None) -> DataFrame:
     """Pieces of all documents in sequences of at most `window` ids: SCHEMA.
 
     ids holds the piece's ids as packed little-endian unsigned 32-bit integers. Null text is empty: its
     document is the end id alone. Null ids are kept. Equal rows are packed each by itself; other columns
     are ignored. An empty table gives no sequence. A sequence's id is its task's number, then a count.
+
+    tasks: partitions are joined to so many, without a shuffle; the more texts a task has, the fewer windows
+    are open at its end and the fewer words are encoded again.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = sys.modules.setdefault(f"ids of {tokenizer_path}", ModuleType("ids"))  # for the worker's other tasks
-        encode = kept.__dict__.setdefault("ids", None) or Ids(tokenizer_path)
-        kept.ids, packer, end = encode, SumOfSquares(window), int(end_id).to_bytes(4, "little")
+        encode, packer, end = Ids(tokenizer_path), SumOfSquares(window), int(end_id).to_bytes(4, "little")
         sequence = TaskContext.get().partitionId() << 40
         rows: list[tuple] = []
         held = 0
@@ -174,10 +188,21 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
             held = 0
             return pa.RecordBatch.from_arrays(columns, names=names)
 
+        def encoded(batch: pa.RecordBatch) -> Iterator[tuple]:
+            """(doc_id, ids); a few texts at a time become Python's."""
+            docs, texts, size = [], [], 0
+            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
+                docs.append(doc.as_py())
+                texts.append(text.as_py())
+                size += len(texts[-1] or "")
+                if size > TOGETHER:
+                    yield from zip(docs, encode.many(texts), strict=True)
+                    docs, texts, size = [], [], 0
+            yield from zip(docs, encode.many(texts), strict=True)
+
         for batch in batches:
-            for doc, text in zip(batch.column(0), batch.column(1), strict=True):  # one text at a time becomes Python's
-                doc, text = doc.as_py(), text.as_py()
-                ids = (encode(text) if text is not None else b"") + end
+            for doc, ids in encoded(batch):
+                ids += end
                 total = len(ids) // 4
                 full = total - total % window
                 for start in range(0, full, window):
@@ -193,7 +218,13 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
         if rows:
             yield out()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    return (rows.coalesce(tasks) if tasks else rows).mapInArrow(run, SCHEMA)
+
+
+def fewer_tasks(docs: DataFrame, together: int = 4) -> int:
+    """For docs read from files: a task for every few partitions, but one for each core at least."""
+    return max(docs.sparkSession.sparkContext.defaultParallelism, docs.rdd.getNumPartitions() // together)
 
 
 def digest(pieces: DataFrame) -> DataFrame:
@@ -203,4 +234,5 @@ def digest(pieces: DataFrame) -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return digest(pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+    docs = table(spark, sf_dir, "documents")
+    return digest(pack(docs, public_tokenizers.path("byte_bpe_50k.json"), tasks=fewer_tasks(docs)))
