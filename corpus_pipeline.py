@@ -52,7 +52,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     del spark, sf_dir
     import public_tokenizers
 
-    return packing.digest(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")))
+    return packing.digest(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), tasks=packing.fewer_tasks(docs)))
 
 
 STAGES = [
