@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import paths, request as R
 from ..functions.dates import local_day
 from .measures import ADDITIVE, sums, with_measures
+from .staging import staged
 
 KINDS = ("project", "workspace", "projectless", "unknown")
 
@@ -61,16 +62,21 @@ def merged_metadata(sessions: DataFrame, home: str = paths.HOME) -> DataFrame:
     return paths.with_project(out, home)
 
 
-def usage_rows(ledger: DataFrame, metadata: DataFrame, scope: Scope = Scope()) -> DataFrame:
-    """Accepted requests in scope with family, identity, project and measures.
-
-    Filters on days, agents and models come before the two lookups of metadata, so that they reach the
-    scan; the project filter needs the lookups.
-    """
-    rows = ledger.where(F.col("local_day").between(scope.first, scope.last)).where(~R.rejected())
-    rows = rows.withColumn("agent", R.family(F.col("agent")))
+def enriched(ledger: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Accepted requests with family, identity, project and a column for each measure: the table that reports scan."""
+    rows = ledger.where(~R.rejected()).withColumn("agent", R.family(F.col("agent")))
     rows = rows.withColumn("i", R.identity(F.col("agent"))).where(F.col("i.resolved_id") != "")
     rows = rows.withColumns({"resolved_id": F.col("i.resolved_id"), "actor_id": F.col("i.actor_id"), "role": F.col("i.role"), "model_name": R.model_name()}).drop("i")
+    of = lambda n: metadata.select(F.col("agent").alias(f"a{n}"), F.col("id").alias(f"i{n}"), F.col("project").alias(f"p{n}"))
+    rows = rows.join(of(1), (F.col("agent") == F.col("a1")) & (F.col("resolved_id") == F.col("i1")), "left")
+    rows = rows.join(of(2), (F.col("agent") == F.col("a2")) & (F.col("actor_id") == F.col("i2")), "left")
+    rows = rows.withColumns({"matched": F.col("i1").isNotNull(), "actor_matched": F.col("i2").isNotNull(), "project": F.coalesce("p1", "p2", paths.unknown())})
+    return with_measures(rows.drop("a1", "i1", "p1", "a2", "i2", "p2"))
+
+
+def in_scope(rows: DataFrame, scope: Scope = Scope()) -> DataFrame:
+    """Enriched rows in scope; all filters are on plain columns and reach the scan."""
+    rows = rows.where(F.col("local_day").between(scope.first, scope.last))
     if scope.agents:
         rows = rows.where(F.col("agent").isin(*scope.agents))
     if scope.models:
@@ -78,12 +84,12 @@ def usage_rows(ledger: DataFrame, metadata: DataFrame, scope: Scope = Scope()) -
         for provider, model in scope.models:
             wanted |= (F.col("provider") == provider) & (F.col("model_name") == model)
         rows = rows.where(wanted)
-    of = lambda n: metadata.select(F.col("agent").alias(f"a{n}"), F.col("id").alias(f"i{n}"), F.col("project").alias(f"p{n}"))
-    rows = rows.join(of(1), (F.col("agent") == F.col("a1")) & (F.col("resolved_id") == F.col("i1")), "left")
-    rows = rows.join(of(2), (F.col("agent") == F.col("a2")) & (F.col("actor_id") == F.col("i2")), "left")
-    rows = rows.withColumns({"matched": F.col("i1").isNotNull(), "actor_matched": F.col("i2").isNotNull(), "project": F.coalesce("p1", "p2", paths.unknown())})
-    rows = rows.drop("a1", "i1", "p1", "a2", "i2", "p2").where(scope.has_project(F.col("project")))
-    return with_measures(rows)
+    return rows.where(scope.has_project(F.col("project"))) if scope.projects else rows
+
+
+def usage_rows(ledger: DataFrame, metadata: DataFrame, scope: Scope = Scope()) -> DataFrame:
+    """Accepted requests in scope with family, identity, project and measures."""
+    return in_scope(enriched(ledger, metadata), scope)
 
 
 def order() -> Column:
@@ -160,7 +166,7 @@ def metadata_only(known: DataFrame, metadata: DataFrame, scope: Scope = Scope())
 
 def sessions(rows: DataFrame, metadata: DataFrame, scope: Scope = Scope()) -> DataFrame:
     """All sessions of the data set: those with rows, metadata-only ones and roots that only children name."""
-    of_rows = row_sessions(rows, metadata)
+    of_rows = staged(row_sessions(rows, metadata))
     every = of_rows.unionByName(metadata_only(of_rows, metadata, scope))
     roots = every.where((F.col("agent") == "codex") & (F.col("role") == "subagent") & (F.col("root_session") != "")).select(F.col("root_session").alias("root")).distinct()
     named = every.join(roots, (F.col("agent") == "codex") & (F.col("id") == F.col("root")), "left")

@@ -5,15 +5,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, with one of this application in it; a temporary one only where driver and
+    executors are one process."""
+    app, base = spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = _own.setdefault(app, tempfile.mkdtemp(prefix="spark-shared-"))
+    return f"{base.rstrip('/')}/{app}"
+
+
 def staged(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    app = spark.sparkContext.applicationId
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own.setdefault(app, tempfile.mkdtemp(prefix="spark-shared-"))
-    path = f"{base.rstrip('/')}/{app}/stage-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,6 +9,7 @@ from ..functions import dates, paths, request as R
 from ..operators import dataset as D, measures as M, threads as T
 from ..operators.staging import staged
 from ..sources import derived
+from ..sources.tables import tables
 
 VIEW = ("calls", "errors", "retried", "input", "output", "cache_read", "cache_write", "cache_write_1h", "reasoning", "unpriced", "decode_n", "cost", "total", "cache_hit_rate", "output_speed")
 FIRST, LAST = "2024-01-05", "2024-01-20"
@@ -18,9 +19,9 @@ class Ledger:
     """The tables of one data set and scope, made on demand."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, scope: D.Scope = D.Scope()):
-        self.scope, self.requests = scope, derived.ledger(spark, sf_dir)
-        self.metadata = D.merged_metadata(derived.sessions(self.requests))
-        self.rows = D.usage_rows(self.requests, self.metadata, scope)
+        loaded = tables(spark, sf_dir)
+        self.scope, self.metadata = scope, loaded.metadata
+        self.rows = D.in_scope(loaded.usage(scope.first, scope.last), scope)
 
     def sessions(self) -> DataFrame:
         return D.sessions(self.rows, self.metadata, self.scope)
@@ -31,8 +32,8 @@ class Ledger:
 
 class Threads:
     def __init__(self, ledger: Ledger):
-        self.rows = staged(ledger.rows)
-        self.sessions = staged(D.sessions(self.rows, ledger.metadata, ledger.scope))
+        self.rows = ledger.rows
+        self.sessions = staged(ledger.sessions())
         self.routed = staged(T.routed(self.rows, self.sessions))
         self.threads = staged(T.threads(self.routed, self.sessions))
         self.usage = T.usage(self.routed)
@@ -171,7 +172,7 @@ def request_decode_samples(spark, sf_dir) -> DataFrame:
 
 
 def metadata_merge(spark, sf_dir) -> DataFrame:
-    return D.merged_metadata(derived.sessions(derived.ledger(spark, sf_dir))).drop("project")
+    return tables(spark, sf_dir).metadata.drop("project")
 
 
 def metadata_only_sessions(spark, sf_dir) -> DataFrame:

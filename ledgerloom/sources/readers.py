@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .schemas import QUOTA, REQUEST, SESSION
 
@@ -23,13 +24,18 @@ def read_quotas(spark: SparkSession, path: str, secondary: str | None = None, pr
     quotas = spark.read.schema(QUOTA).option("mode", "FAILFAST").json(path)
     if secondary is None:
         return quotas
-    extra = spark.read.schema(QUOTA).json(secondary).where(F.col("provider") == provider)
+    extra = spark.read.schema(QUOTA).option("mode", "FAILFAST").json(secondary).where(F.col("provider") == provider)
     return quotas.unionByName(extra.join(quotas.select("provider"), "provider", "left_anti"))
 
 
-def read_ledger(spark: SparkSession, path: str, first: str | None = None, last: str | None = None) -> DataFrame:
-    """The ledger between two local days, both included: a filter on its partition column."""
-    rows = spark.read.schema(REQUEST).parquet(path)
+def read_days(spark: SparkSession, path: str, schema: StructType, first: str | None = None, last: str | None = None) -> DataFrame:
+    """A table with a folder for each local day, between two days, both included: a filter on its partition column."""
+    rows = spark.read.schema(schema).parquet(path)
     if first is not None:
         rows = rows.where(F.col("local_day") >= first)
     return rows if last is None else rows.where(F.col("local_day") <= last)
+
+
+def read_ledger(spark: SparkSession, path: str, first: str | None = None, last: str | None = None) -> DataFrame:
+    """The ledger as it was loaded, between two local days."""
+    return read_days(spark, path, REQUEST, first, last)
