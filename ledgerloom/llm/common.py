@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,3 +51,21 @@ def broadcast_if_small(df: DataFrame, limit_rows: int = 10_000) -> DataFrame:
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 5; 0 marks the held-out fold. A null id counts as held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5, F.lit(0))
+
+
+#: Rows of an Arrow batch that become Python objects at once: texts can be long.
+STEP = 512
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}
+
+
+def by_steps(df: DataFrame, run: Callable[[pd.DataFrame], pd.DataFrame], schema: str, step: int = STEP) -> DataFrame:
+    """run on frames of at most `step` rows of df, with as many Python objects at once as those need."""
+    kind = pa.schema([(name, _KINDS[t]) for name, t in (c.split() for c in schema.split(", "))])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, step):
+                out = run(batch.slice(i, step).to_pandas())
+                yield pa.RecordBatch.from_pandas(out, schema=kind, preserve_index=False)
+
+    return df.mapInArrow(each, schema)

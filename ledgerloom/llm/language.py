@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, table
+from .common import by_steps, fold, table
 from .features import gram_hashes, in_sample, sample_rate
 
 ORDERS = (1, 2, 3)
@@ -110,18 +110,18 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_LANGUAGES * LANDMARKS rows of 2**BITS
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            own = sent.value
-            pred, score = np.full(len(batch), UND, dtype=object), np.zeros(len(batch))
-            at = np.flatnonzero([own is not None and has_letter(t) for t in batch["text"]])
-            if len(at):
-                s = own.scores([batch["text"].iat[i] for i in at])
-                best = s.argmax(1)
-                pred[at], score[at] = np.array(own.languages, dtype=object)[best], np.clip((s.max(1) + 1) / 2, 0, 1)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "lang_pred": pred, "score": score})
-
-    return docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(run, "doc_id string, lang_pred string, score double").withColumn("doc_id", F.col("doc_id").cast("long"))
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
+        own = sent.value
+        pred, score = np.full(len(batch), UND, dtype=object), np.zeros(len(batch))
+        at = np.flatnonzero([own is not None and has_letter(t) for t in batch["text"]])
+        if len(at):
+            s = own.scores([batch["text"].iat[i] for i in at])
+            best = s.argmax(1)
+            pred[at], score[at] = np.array(own.languages, dtype=object)[best], np.clip((s.max(1) + 1) / 2, 0, 1)
+        return pd.DataFrame({"doc_id": batch["doc_id"], "lang_pred": pred, "score": score})
+
+    found = by_steps(docs.select(F.col("doc_id").cast("string"), "text"), run, "doc_id string, lang_pred string, score double")
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
-"""Near copies by word shingles: MinHash bands find candidates, exact Jaccard similarity decides.
+"""Near copies by word shingles: SimHash and MinHash find candidates, exact Jaccard similarity decides.
 
-A text is the set of its five-word shingles; texts of equal sets are one class. Of two classes with a
-similarity of 0.8 at least one of 32 bands of four MinHashes agrees but for one pair in 20 million. Equal
+A text is the set of its five-word shingles; texts of equal sets are one class. Classes meet in buckets:
+those whose SimHash fingerprints the BK-trees of `simhash` link are one, and since a radius that trees can
+search leaves out most pairs of a similarity of 0.8 (they differ in some ten of 64 bits), each of 32 bands of
+four MinHashes makes more: of two such classes one band at least agrees but for one pair in 20 million. Equal
 buckets of several bands count once. Within a bucket sets are compared exactly, each with all that it is
 not yet linked to, and linked sets give one edge each, no pair list; crowded buckets are compared in
 blocks. Components follow by alternating stars.
@@ -9,14 +11,13 @@ blocks. Components follow by alternating stars.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from . import simhash
+from .common import by_steps, staged
 from .simhash import components
 
 SHINGLE = 5
@@ -58,15 +59,15 @@ def key() -> list[Column]:
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """(no_id, id, h, c, bands) of every row; c: digest of its set of shingles."""
+    """(no_id, id, h, c, fp, bands) of every row; c: digest of its set of shingles, fp: SimHash of the set."""
     import xxhash
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sets = [shingles(t) for t in batch["text"]]
-            yield batch[list(KEY)].assign(c=[xxhash.xxh3_128_digest(s.tobytes()) for s in sets], bands=[band_hashes(s) for s in sets])
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        sets = [shingles(t) for t in rows["text"]]
+        fp = np.array([simhash.majority(s) for s in sets], np.uint64).view(np.int64)
+        return rows[list(KEY)].assign(c=[xxhash.xxh3_128_digest(s.tobytes()) for s in sets], fp=fp, bands=[band_hashes(s) for s in sets])
 
-    return docs.select(*key(), "text").mapInPandas(run, "no_id boolean, id long, h long, c binary, bands array<long>")
+    return by_steps(docs.select(*key(), "text"), run, "no_id boolean, id long, h long, c binary, fp long, bands array<long>")
 
 
 def linked(sets: list[np.ndarray]) -> np.ndarray:
@@ -99,12 +100,11 @@ def links(docs: DataFrame, classes: DataFrame, group: int = GROUP) -> DataFrame:
     members = staged(members.select("c", "b", F.explode(others).alias("x")).select("c", F.xxhash64("b", "x.i", "x.j").alias("b")), "members")
     groups = max(1, members.count() // group)
 
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"sc": batch["c"], "s": [shingles(t).tobytes() for t in batch["text"]]})
+    def sets(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"sc": rows["c"], "s": [shingles(t).tobytes() for t in rows["text"]]})
 
     asked = classes.join(members.select(F.col("c").alias("m")).distinct(), F.col("c") == F.col("m"), "left_semi").select("c", "least.*")
-    texts = docs.select(*key(), "text").join(asked, list(KEY)).select("c", "text").mapInPandas(sets, "sc binary, s binary")
+    texts = by_steps(docs.select(*key(), "text").join(asked, list(KEY)).select("c", "text"), sets, "sc binary, s binary")
     texts = staged(texts.dropDuplicates(["sc"]), "sets")
     rows = members.join(texts, F.col("c") == F.col("sc")).select("c", "b", "s", F.pmod(F.xxhash64("b"), F.lit(groups).cast("long")).alias("g"))
 
@@ -125,7 +125,12 @@ def kept(docs: DataFrame) -> DataFrame:
     """(no_id, id, h, many): the key of the least row of each component, ids first and null ids last;
     many: several rows have that key. All wordless texts are near copies of each other."""
     rows = staged(profiles(docs), "profiles")
-    classes = staged(rows.groupBy("c").agg(F.min(F.struct(*KEY)).alias("least"), F.first("bands").alias("bands")), "classes")
+    found = rows.groupBy("c").agg(F.min(F.struct(*KEY)).alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    found = staged(found, "classes")
+    near = components(simhash.links(found.select("fp").distinct())).select(F.col("node").alias("f"), F.col("root").alias("near"))
+    found = found.withColumn("f", F.col("fp")).join(near, "f", "left")
+    bands = F.concat(F.coalesce("bands", F.array().cast("array<bigint>")), F.array(F.xxhash64(F.lit("simhash"), F.coalesce("near", "fp"))))
+    classes = staged(found.select("c", "least", bands.alias("bands")), "classes")
     roots = components(links(docs, classes)).select(F.col("node").alias("n"), "root")
     least = classes.join(roots, F.col("c") == F.col("n"), "left").groupBy(F.coalesce("root", "c").alias("r")).agg(F.min("least").alias("least"))
     several = rows.groupBy(*KEY).agg(F.count("*").alias("n")).where("n > 1").select(*KEY, F.lit(True).alias("several"))

@@ -9,14 +9,13 @@ in blocks, and its nearest vote with their similarities.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, table
+from .common import by_steps, fold, table
 from .features import gram_hashes, labelled_sample
 
 BITS = 11
@@ -87,11 +86,10 @@ class Model:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Model | None:
     rows, _ = labelled_sample(docs, labels, label, sample)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"label": batch["label"], "x": [terms(t if isinstance(t, str) else None).tobytes() for t in batch["text"]]})
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"label": batch["label"], "x": [terms(t if isinstance(t, str) else None).tobytes() for t in batch["text"]]})
 
-    got = sorted((r["label"], bytes(r["x"])) for r in rows.mapInPandas(run, "label int, x binary").toLocalIterator())
+    got = sorted((r["label"], bytes(r["x"])) for r in by_steps(rows, run, "label int, x binary").toLocalIterator())
     if not got:
         return None
     return Model.fit(np.stack([np.frombuffer(r[1], np.float32) for r in got]), np.array([r[0] for r in got]))
@@ -106,8 +104,15 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # SAMPLE vectors, about
     docs = docs.drop("quality_score")
-    of = F.pandas_udf(lambda texts: pd.Series(sent.value.scores([t if isinstance(t, str) else None for t in texts]) if sent.value else np.ones(len(texts))), "double")
-    return docs.withColumn("quality_score", of(F.col("text")))
+
+    def of(texts: pa.Array) -> pa.Array:
+        """A block of texts at a time becomes Python's."""
+        if sent.value is None:
+            return pa.array(np.ones(len(texts)))
+        blocks = [sent.value.scores(texts.slice(i, BLOCK).to_pylist()) for i in range(0, len(texts), BLOCK)]
+        return pa.array(np.concatenate([np.zeros(0), *blocks]))
+
+    return docs.withColumn("quality_score", F.arrow_udf(of, "double")(F.col("text")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -115,4 +120,3 @@ def query(spark, sf_dir: str) -> DataFrame:
     found = score(docs.select("doc_id", "text"), train(docs, table(spark, sf_dir, "labels")))
     value = F.col("quality_score")
     return found.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), value.alias("score")).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
-

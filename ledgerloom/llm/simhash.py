@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import by_steps, staged, table
 
 RADIUS = 4
 SHINGLE = 4
@@ -44,22 +44,26 @@ def fingerprint(text: str | None, words: int = SHINGLE, seed: int = SEED) -> int
     n = len(found) - k + 1
     digest = xxhash.xxh64_intdigest
     spans = zip(starts[:n].tolist(), (ends[k - 1 :] - 1).tolist(), strict=True)
-    h = np.array([digest(joined[a:b], seed) for a, b in spans], "<u8")
-    counts = np.zeros(64, np.int64)
-    for i in range(0, n, 4096):
+    return majority(np.array([digest(joined[a:b], seed) for a, b in spans], "<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have, unsigned; 0 of none."""
+    h, counts = hashes.astype("<u8", copy=False), np.zeros(64, np.int64)
+    for i in range(0, len(h), 4096):
         counts += np.unpackbits(h[i : i + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(counts * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, words: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """(doc_id, fp): fp is the fingerprint's 64 bits as a signed long."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            fp = np.array([fingerprint(t, words, seed) for t in batch["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": fp})
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        fp = np.array([fingerprint(t, words, seed) for t in rows["text"]], np.uint64).view(np.int64)
+        return pd.DataFrame({"doc_id": rows["doc_id"], "fp": fp})
 
-    return docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(run, "doc_id string, fp long").select(F.col("doc_id").cast("long"), "fp")
+    found = by_steps(docs.select(F.col("doc_id").cast("string"), "text"), run, "doc_id string, fp long")
+    return found.select(F.col("doc_id").cast("long"), "fp")
 
 
 def bands(radius: int) -> list[tuple[int, int]]:

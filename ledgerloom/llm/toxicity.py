@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, staged, table
+from .common import by_steps, fold, staged, table
 from .features import gram_hashes, labelled_sample
 
 ORDERS = (4, 5)
@@ -143,11 +143,10 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES weights at most
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": np.array([sent.value.score(t if isinstance(t, str) else None) for t in batch["text"]], float)})
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"doc_id": batch["doc_id"], "score": np.array([sent.value.score(t if isinstance(t, str) else None) for t in batch["text"]], float)})
 
-    return docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(run, "doc_id string, score double").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return by_steps(docs.select(F.col("doc_id").cast("string"), "text"), run, "doc_id string, score double").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
