@@ -2,11 +2,12 @@
 
 Centroids are fitted to a bounded sample by k-means that keeps clusters even, and linked to a graph of
 their neighbours; every task holds both and searches them greedily with a beam. Each vector goes to
-its nearest list, and boundary vectors also to further lists about as near that no list already taken
-stands nearer to. A query ranks all centroids and takes every list whose distance is within a ratio of
-the nearest's, however many. Neighbouring lists are grouped, so that a query is sent once to a group and
-not once to each list. Groups and queries meet in blocks of bounded size, whose products are exact; the
-best per query are merged.
+its nearest list, and a boundary vector also to further lists about as near. Lists that turn out more
+than twice as long as the median are split by k-means of their own, so that all are of like length. A
+query takes every list whose distance is within a ratio of the nearest ones', however many; the ratio
+is taken to the BASE-th nearest, as a stored vector has drawn the few nearest to itself.
+Neighbouring lists are grouped, so that a query is sent once to a group and not once to each list.
+Groups and queries meet in blocks of bounded size, whose products are exact; the best per query are merged.
 Inner products are searched as distances after adding one component that evens out the lengths.
 """
 
@@ -22,17 +23,19 @@ from pyspark.sql import functions as F
 from .common import staged, table
 from .vectors import answers, best_lists, classes, norm, queries_of, usable
 
-#: Bounds of the index: vectors it is fitted to, centroids, lists a vector may be in.
-SAMPLE = 20_000
-PER_CENTROID = 100
-MAX_CENTROIDS = 4096
-REPLICAS = 6
+#: Bounds of the index: vectors that it is fitted to (and that a split looks at), vectors of a list before
+#: replicas, lists before splits (a fifth of the sample), lists a vector may be in.
+SAMPLE = 40_000
+PER_LIST = 12
+REPLICAS = 4
 DEGREE = 24
-#: Squared distances are compared: a boundary vector's further lists, a query's lists.
-BOUNDARY = 1.2
-PRUNE = 1.35
-#: Vectors, as a multiple of k, that a query's lists hold at least.
-LEAST = 40
+#: Squared distances are compared: a boundary vector's further lists to its nearest, a query's lists to its BASE-th.
+BOUNDARY = 1.3
+PRUNE = 1.3
+BASE = 8
+#: Rounds in which lists of more than UNEVEN times the median are split; the last deals them out by hash.
+UNEVEN = 2
+ROUNDS = 5
 #: Vectors of a group of lists and queries that meet them at once, at most.
 GROUP = 4096
 BLOCK = 1024
@@ -51,7 +54,7 @@ class Graph:
         for i in range(0, len(c), 512):
             d = self.squares[None, :] - 2 * c[i : i + 512] @ c.T
             d[np.arange(len(d)), np.arange(i, i + len(d))] = np.inf
-            near[i : i + 512] = np.argsort(d, axis=1, kind="stable")[:, :k]
+            near[i : i + 512] = np.argpartition(d, k - 1, axis=1)[:, :k] if k else 0
         rng = np.random.default_rng(0)
         far = rng.integers(0, len(c), (len(c), min(8, max(len(c) - 1, 0))))  # long edges, so that no part is cut off
         self.links = np.concatenate([near, far], axis=1)
@@ -75,7 +78,7 @@ class Graph:
         opened[:, n] = True
         while True:
             fresh = np.where(opened[rows, held], np.inf, dist)
-            pick = np.argsort(fresh, axis=1, kind="stable")[:, :4]
+            pick = np.argsort(fresh, axis=1, kind="stable")[:, : max(4, beam // 16)]
             go = np.take_along_axis(held, pick, 1)
             live = np.isfinite(np.take_along_axis(fresh, pick, 1))
             if not live.any():
@@ -98,30 +101,26 @@ class Graph:
 
     def lists(self, x: np.ndarray, replicas: int = REPLICAS, ratio: float = BOUNDARY) -> tuple[np.ndarray, np.ndarray]:
         """(row, list) of the lists that each vector belongs to."""
-        near, dist = self.nearest(x, 2 * replicas, beam=max(32, 2 * replicas))
-        wanted = (near >= 0) & (dist <= ratio * dist[:, :1] + 1e-12)
-        taken = np.zeros_like(wanted)
-        for j in range(near.shape[1]):
-            ok = wanted[:, j] & (taken.sum(1) < replicas)
-            for i in range(j):
-                gap = self.centroids[near[:, j]] - self.centroids[near[:, i]]
-                ok &= ~(taken[:, i] & ((gap * gap).sum(1) < dist[:, j] * 0.5))
-            taken[:, j] = ok
+        near, dist = self.nearest(x, replicas, beam=max(32, 4 * replicas))
+        taken = (near >= 0) & (dist <= ratio * dist[:, :1] + 1e-12)
         taken[:, 0] = True
         row, j = np.nonzero(taken)
         return row, near[row, j]
 
-    def probes(self, x: np.ndarray, sizes: np.ndarray, least: int, ratio: float = PRUNE) -> np.ndarray:
-        """bool, a row for each query and a column for each list: the lists that it looks into, all those within
-        the ratio of the nearest's distance, and more in order of distance until they hold `least` vectors."""
-        x = x.astype(np.float32)
-        dist = np.maximum((x * x).sum(1)[:, None] + self.squares[None, :] - 2 * x @ self.centroids.T, 0)
-        order = np.argsort(dist, axis=1, kind="stable")
-        before = np.cumsum(sizes[order], axis=1) - sizes[order]
-        into = dist <= ratio * dist.min(axis=1, keepdims=True) + 1e-12
-        row, j = np.nonzero(before < least)
-        into[row, order[row, j]] = True
-        return into
+    def probes(self, x: np.ndarray, ratio: float = PRUNE, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
+        """(row, list) of all lists within the ratio of the base-th nearest's distance: the beam grows until it holds
+        one beyond."""
+        found, waiting, beam = [], np.arange(len(x)), 64
+        while len(waiting):
+            near, dist = self.nearest(x[waiting], beam, beam)
+            most = ratio * dist[:, min(base, dist.shape[1]) - 1] + 1e-12
+            done = (dist[:, -1] > most) | (near.shape[1] >= len(self.centroids))
+            row, j = np.nonzero(((near >= 0) & (dist <= most[:, None]))[done])
+            found.append((waiting[done][row], near[done][row, j]))
+            waiting, beam = waiting[~done], beam * 4
+        row, at = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        order = np.argsort(row, kind="stable")
+        return row[order], at[order]
 
     def groups(self, sizes: np.ndarray, most: int = GROUP) -> tuple[np.ndarray, np.ndarray]:
         """(group, parts) of each list: neighbouring lists that hold at most `most` vectors together, or one
@@ -150,31 +149,126 @@ class Graph:
 
 
 def balanced_centroids(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """k-means whose assignment pays for a cluster's size, so that no list grows far beyond the rest."""
+    """k-means of unit vectors whose assignment pays for a cluster's size, so that no list grows far beyond the rest."""
     rng = np.random.default_rng(0)
-    c = x[np.sort(rng.choice(len(x), k, replace=False))].astype(np.float32)
+    x = x.astype(np.float32)
+    c = x[np.sort(rng.choice(len(x), k, replace=False))]
     price = np.zeros(k, np.float32)
     for _ in range(rounds):
-        own = np.concatenate([((c * c).sum(1)[None] - 2 * x[i : i + 2048] @ c.T + price).argmin(1) for i in range(0, len(x), 2048)])
+        own = np.concatenate([(price - 2 * x[i : i + 2048] @ c.T).argmin(1) for i in range(0, len(x), 2048)])
         size = np.bincount(own, minlength=k)
         total = np.zeros((k, x.shape[1]))
         np.add.at(total, own, x)
-        filled = size > 0
-        c[filled] = (total[filled] / size[filled, None]).astype(np.float32)
-        if (~filled).any():
-            c[~filled] = x[rng.choice(len(x), int((~filled).sum()))]
+        if (size == 0).any():
+            total[size == 0] = x[rng.choice(len(x), int((size == 0).sum()))]
+        c = (total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-12)).astype(np.float32)
         spread = float(np.mean((x - c[own]) ** 2) * x.shape[1])
         price = (0.3 * spread * (size / size.mean() - 1)).astype(np.float32).clip(-spread, spread)
     return c
 
 
-def search(vectors: DataFrame, k: int = 20, modulus: int = 20, prune: float = PRUNE) -> DataFrame:
+class Lists:
+    """The index of distinct vectors (rep, v): posted (list, rep, v), the graph of the lists' centroids, their sizes."""
+
+    def __init__(self, reps: DataFrame, n: int, longest: float):
+        self.spark, self.longest = reps.sparkSession, longest
+        rate = min(1.0, SAMPLE / n)
+        picked = reps.where(F.pmod(F.xxhash64("rep", F.lit("fit")), F.lit(1 << 30).cast("long")) < int(rate * (1 << 30)) + (rate >= 1)).orderBy("rep").limit(2 * SAMPLE)
+        sample = self.even(np.array([r["v"] for r in picked.select("v").toLocalIterator()]))
+        centroids = balanced_centroids(sample, int(max(1, min(n // PER_LIST, len(sample) // 5))))
+        sent, even = self.spark.sparkContext.broadcast(Graph(centroids)), self.even  # SAMPLE / 5 centroids at most
+
+        def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for i in range(0, len(batch), STEP):
+                    part = batch.iloc[i : i + STEP]
+                    row, at = sent.value.lists(even(np.stack(part["v"].to_numpy())))
+                    yield pd.DataFrame({"list": at, "rep": part["rep"].to_numpy()[row], "v": part["v"].to_numpy()[row]})
+
+        self.posted = staged(reps.select("rep", "v").mapInPandas(place, "list long, rep long, v array<double>"), "lists")
+        for round_ in range(ROUNDS):
+            self.sizes = self._counted(len(centroids))
+            limit = UNEVEN * float(np.median(self.sizes[self.sizes > 0]))
+            over = np.flatnonzero(self.sizes > limit)
+            if not len(over):
+                break
+            centroids = self._split(centroids, over, limit / UNEVEN, round_ == ROUNDS - 1)
+        self.sizes = self._counted(len(centroids))
+        self.graph = Graph(centroids)
+
+    @property
+    def even(self):
+        longest = self.longest
+
+        def even(x: np.ndarray, query: bool = False) -> np.ndarray:
+            """Scaled by the longest vector, with the component that gives all vectors its length."""
+            x = x / longest
+            rest = np.zeros(len(x)) if query else np.sqrt(np.maximum(1 - (x * x).sum(1), 0))
+            if query:  # a query's own length doesn't change its order
+                x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+            return np.concatenate([x, rest[:, None]], axis=1).astype(np.float32)
+
+        return even
+
+    def _counted(self, lists: int) -> np.ndarray:
+        sizes = np.zeros(lists, np.int64)
+        for r in self.posted.groupBy("list").count().toLocalIterator():  # a row for each list
+            sizes[r["list"]] = r["count"]
+        return sizes
+
+    def _split(self, centroids: np.ndarray, over: np.ndarray, size: float, by_hash: bool) -> np.ndarray:
+        """Lists longer than UNEVEN medians dealt to as many as they have sizes; gives all centroids."""
+        even, pieces = self.even, np.ceil(self.sizes[over] / size).astype(int)
+        where = self.spark.createDataFrame([(int(x),) for x in over], "list long")
+        rate = min(1.0, SAMPLE / self.sizes[over].sum())
+        chance = F.pmod(F.xxhash64("rep", "list"), F.lit(1 << 30).cast("long")) <= int(rate * (1 << 30))
+        rows = self.posted.join(F.broadcast(where), "list").where(chance).select("list", "rep", "v").orderBy("list", "rep").limit(2 * SAMPLE)
+        rows = [] if by_hash else rows.toLocalIterator()
+        members: dict[int, list] = {}
+        for r in rows:
+            members.setdefault(r["list"], []).append(r["v"])
+        children, first = {}, len(centroids)
+        for at, k in zip(over.tolist(), pieces.tolist(), strict=True):
+            own = even(np.array(members[at])) if len(members.get(at, ())) >= 2 * k else None
+            c = np.repeat(centroids[at : at + 1], k, axis=0) if own is None else balanced_centroids(own, k)
+            children[at] = (np.concatenate([[at], np.arange(first, first + k - 1)]), c, own is None)
+            first += k - 1
+        out = np.zeros((first, centroids.shape[1]), np.float32)
+        out[: len(centroids)] = centroids
+        for at, c, _ in children.values():
+            out[at] = c
+        sent = self.spark.sparkContext.broadcast(children)
+
+        def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                at = batch["list"].to_numpy().copy()
+                for old in np.intersect1d(at, np.array(list(sent.value), np.int64)).tolist():
+                    new, c, hashed = sent.value[old]
+                    rows = np.flatnonzero(batch["list"].to_numpy() == old)
+                    own = batch["rep"].to_numpy()[rows] % len(new) if hashed else (even(np.stack(batch["v"].to_numpy()[rows])) @ c.T).argmax(1)
+                    at[rows] = new[own]
+                yield batch.assign(list=at)
+
+        self.posted = staged(self.posted.mapInPandas(deal, "list long, rep long, v array<double>"), "lists")
+        return out
+
+    def figures(self, share_read: float) -> dict[str, float]:
+        """What tells whether the lists are balanced, replicate boundary vectors and are pruned."""
+        held = self.sizes[self.sizes > 0]
+        reps = self.posted.select("rep").distinct().count()
+        return {"lists": len(held), "greatest": int(held.max()), "median": float(np.median(held)), "replicas": held.sum() / reps, "read": share_read}
+
+
+def search(vectors: DataFrame, k: int = 20, modulus: int = 20, prune: float = PRUNE, told: dict | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: for each vector whose id is divisible by modulus the k others with
     the largest inner products found; ties go to the smaller id.
 
     Null, zero and ragged vectors, those with null or non-finite components and null ids take no part;
     a query of fewer others gets them all. Equal vectors are searched once; rows that repeat
-    an id and vector count once. An empty table gives no row.
+    an id and vector count once. An empty table gives no row. Lengths whose squares overflow count as
+    infinite and take no part either.
+
+    told: gets the figures of the lists, and what share of the stored rows a query reads (told["read"]).
     """
     spark = vectors.sparkSession
     rows = usable(vectors, nonzero=True)
@@ -183,43 +277,18 @@ def search(vectors: DataFrame, k: int = 20, modulus: int = 20, prune: float = PR
     n, longest = reps.agg(F.count("*"), F.max(norm(F.col("v")))).first()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rate = min(1.0, SAMPLE / n)
-    picked = reps.where(F.pmod(F.xxhash64("rep", F.lit("fit")), F.lit(1 << 30).cast("long")) < int(rate * (1 << 30)) + (rate >= 1)).orderBy("rep").limit(2 * SAMPLE)
-    sample = np.array([r["v"] for r in picked.select("v").toLocalIterator()])
-
-    def even(x: np.ndarray, query: bool = False) -> np.ndarray:
-        """Scaled by the longest vector, with the component that gives all vectors its length."""
-        x = x / longest
-        rest = np.zeros(len(x)) if query else np.sqrt(np.maximum(1 - (x * x).sum(1), 0))
-        if query:  # a query's own length doesn't change its order
-            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-        return np.concatenate([x, rest[:, None]], axis=1).astype(np.float32)
-
-    count = int(min(MAX_CENTROIDS, max(1, n // PER_CENTROID), max(1, len(sample) // 4)))
-    graph = Graph(balanced_centroids(even(sample), count))
-    sent = spark.sparkContext.broadcast(graph)  # MAX_CENTROIDS at most
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for i in range(0, len(batch), STEP):
-                part = batch.iloc[i : i + STEP]
-                row, at = sent.value.lists(even(np.stack(part["v"].to_numpy())))
-                yield pd.DataFrame({"list": at, "rep": part["rep"].to_numpy()[row], "v": part["v"].to_numpy()[row]})
-
-    posted = staged(reps.select("rep", "v").mapInPandas(place, "list long, rep long, v array<double>"), "lists")
-    sizes = np.zeros(count, np.int64)
-    for r in posted.groupBy("list").count().collect():  # MAX_CENTROIDS rows at most
-        sizes[r["list"]] = r["count"]
-    group, parts = graph.groups(sizes)
-    held = spark.sparkContext.broadcast((sizes, group))
+    index = Lists(reps, n, longest)
+    posted, sizes, even, count = index.posted, index.sizes, index.even, len(index.sizes)
+    sent = spark.sparkContext.broadcast(index.graph)
+    group, parts = index.graph.groups(sizes)
+    held = spark.sparkContext.broadcast(group)
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, of = held.value
+        of = held.value
         for batch in batches:
             for i in range(0, len(batch), STEP):
                 part = batch.iloc[i : i + STEP]
-                into = sent.value.probes(even(np.stack(part["v"].to_numpy()), True), own, LEAST * k, prune)
-                row, at = np.nonzero(into)
+                row, at = sent.value.probes(even(np.stack(part["v"].to_numpy()), True), prune)
                 order = np.lexsort((at, of[at], row))
                 row, at = row[order], at[order]
                 first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (of[at][1:] != of[at][:-1])]))
@@ -230,8 +299,12 @@ def search(vectors: DataFrame, k: int = 20, modulus: int = 20, prune: float = PR
 
     asking = asked.select("rep").distinct().join(reps.select("rep", "v"), "rep")
     asking = staged(asking.select("rep", "v").mapInPandas(ask, "g long, rep long, v array<double>, lists array<long>"), "probes")
+    if told is not None:
+        length = spark.createDataFrame(pd.DataFrame({"l": np.arange(count), "size": sizes}))
+        read = asking.select("rep", F.explode("lists").alias("l")).join(F.broadcast(length), "l").groupBy("rep").agg(F.sum("size").alias("x")).agg(F.avg("x")).first()[0]
+        told |= index.figures((read or 0) / sizes.sum())
     # blocks: parts of a group's vectors by queries that look into it, each of bounded size
-    of_list = spark.createDataFrame(pd.DataFrame({"list": np.arange(count), "g": group, "a": parts}))  # MAX_CENTROIDS rows at most
+    of_list = spark.createDataFrame(pd.DataFrame({"list": np.arange(count), "g": group, "a": parts}))  # a row for each list
     blocks = of_list.groupBy("g").agg(F.max("a").alias("a")).join(asking.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).alias("b")), "g")
     deal = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
