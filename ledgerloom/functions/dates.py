@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def local_day(t_ns: Column, zone: str = "UTC") -> Column:
+def local_day(t_ns: Column, zone: str | Column = "UTC") -> Column:
     return F.date_format(F.from_utc_timestamp(F.timestamp_micros(F.floor(t_ns / 1000)), zone), "yyyy-MM-dd")
 
 
@@ -24,8 +24,11 @@ def day_end(day: Column, zone: str | Column) -> Column:
     return midnight(F.date_add(day, 1), zone)
 
 
-def range_days(name: str, today: Column) -> tuple[Column, Column]:
-    """First and last day of a named range."""
+def range_days(name: str, today: Column, first: Column | None = None, last: Column | None = None) -> tuple[Column, Column]:
+    """First and last day of a named range; `custom` takes two days as text, null unless both exist in this order."""
+    if name == "custom":
+        a, b = civil_date(first), civil_date(last)
+        return F.when(a <= b, a), F.when(a <= b, b)
     year = F.trunc(today, "year")
     return {
         "today": (today, today),

@@ -94,7 +94,9 @@ def model_effort(routed_rows: DataFrame) -> DataFrame:
     own = routed_rows.where("bucket = 'own'")
     used = F.when(F.col("compaction"), F.col("input") + F.col("cache_read") + F.col("cache_write") + F.col("output")).otherwise(0)
     tokens = F.when((F.first("agent") == "codex") & ~F.bool_or(F.col("compaction").isNull()), F.sum(used))
-    return own.groupBy(*KEY, "model_name", "effort").agg(*sums(), tokens.alias("compaction_tokens"))
+    found = own.groupBy(*KEY, "model_name", "effort").agg(*sums(), tokens.alias("compaction_tokens"))
+    order = W.partitionBy(*KEY).orderBy((F.col("input") + F.col("output")).desc(), "model_name", "effort")
+    return found.withColumn("place", F.row_number().over(order))
 
 
 def descendants(all_threads: DataFrame) -> DataFrame:
@@ -115,6 +117,29 @@ def descendants(all_threads: DataFrame) -> DataFrame:
         every = every.unionByName(new)
 
 
+def children(all_threads: DataFrame, by_bucket: DataFrame) -> DataFrame:
+    """(agent, session_id, top, thread_id, last_usage, place): the threads below each, that used last first.
+
+    Below a main thread are all subagents of its session, below a subagent those that descend from it.
+    """
+    subs = all_threads.where("type = 'subagent'").select(*KEY)
+    flat = subs.join(all_threads.where("type = 'main'").select("agent", "session_id", F.col("thread_id").alias("top")), ["agent", "session_id"])
+    pairs = flat.select("agent", "session_id", "top", "thread_id").unionByName(descendants(all_threads).join(subs, KEY).select("agent", "session_id", "top", "thread_id"))
+    used = by_bucket.where("bucket = 'own'").groupBy(*KEY).agg(F.max("last_usage").alias("last_usage"))
+    order = W.partitionBy("agent", "session_id", "top").orderBy(F.desc_nulls_last("last_usage"), "thread_id")
+    return pairs.join(used, KEY, "left").withColumn("place", F.row_number().over(order))
+
+
+def detail(rolled: DataFrame, below: DataFrame, key: tuple[str, str, str]) -> DataFrame:
+    """The roll-ups of a thread (place 0) and of the threads below it, in their order; KeyError if there's no such thread."""
+    agent, session, thread = key
+    of = lambda df, column: df.where((F.col("agent") == agent) & (F.col("session_id") == session) & (F.col(column) == thread))
+    own = of(rolled, "thread_id").withColumn("place", F.lit(0))
+    if own.isEmpty():
+        raise KeyError(key)
+    return own.unionByName(rolled.join(of(below, "top").select(*KEY, "place"), KEY))
+
+
 def rollups(all_threads: DataFrame, by_bucket: DataFrame) -> DataFrame:
     """Per thread: measures of itself (self_), its subagents (sub_), unknown requests (unknown_), all (no prefix), and n_children."""
     own = by_bucket.groupBy(*KEY).agg(*[c for b in ("own", "unknown") for c in sums(ADDITIVE, F.col("bucket") == b, f"{b}_")])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .reports import FIRST, LAST, ZONES
+from .reports import FIRST, ZONES
 
 _LEDGER = """
 ev AS (
@@ -31,7 +31,7 @@ ev AS (
     CASE WHEN k % 4 = 0 THEN floor(v * 10)::BIGINT ELSE 0 END AS reasoning, ms, ttft_ms,
     CASE WHEN k % 8 = 0 THEN ttft_ms + k * 10 ELSE 0 END AS first_text_ms, CASE WHEN k % 4 = 0 THEN ttft_ms + 10 ELSE 0 END AS first_reasoning_ms,
     CASE WHEN k % 5 = 0 THEN 0 WHEN k % 5 = 1 THEN ms // 10 ELSE ms - ttft_ms END AS flow_ms, k % 12 = 0 AS reasoning_hidden, k % 9 = 0 AS handed_on,
-    CASE WHEN agent <> 'codex' OR (g % 3 = 0 AND k % 10 = 3) THEN NULL ELSE k % 4 = 1 END AS compaction, floor(v * 1000) / 100000.0::DOUBLE AS cost, k % 10 <> 9 AS priced,
+    CASE WHEN agent <> 'codex' OR (g % 3 = 0 AND k % 10 = 3) THEN NULL ELSE k % 4 = 1 END AS compaction, floor(v * 1000) / 100000.0::DOUBLE AS cost, k % 10 <> 9 AS priced, 'acc' || (u % 4) AS account, 'key' || (u % 6) AS caller,
     CASE WHEN agent IN ('claude', 'claude-desktop') THEN 'claude' ELSE agent END AS fam FROM ev2
 )"""
 
@@ -293,13 +293,14 @@ ORACLES = {
     "usage_by_day": _with(f"SELECT local_day, {_VIEW} FROM (SELECT d.local_day, {_zeros()} FROM (SELECT strftime(unnest(generate_series(min(local_day)::DATE, max(local_day)::DATE, INTERVAL 1 DAY)), '%Y-%m-%d') AS local_day FROM rows) d LEFT JOIN (SELECT local_day, {_sums()} FROM rows GROUP BY local_day) USING (local_day))", _META, _rows()),
     "usage_shares": _with("""SELECT *, round(total / sum(total) OVER (PARTITION BY dimension), 9) AS share FROM (
       SELECT d AS dimension, k1 AS key, k2 AS model, count(*) AS calls, sum(input + cache_read + cache_write + output)::BIGINT AS total, round(sum(cost)::DOUBLE, 6) AS cost, count(*) FILTER (input + output > 0 AND NOT priced) AS unpriced
-      FROM (SELECT *, 'agent' AS d, agent AS k1, '' AS k2 FROM rows UNION ALL SELECT *, 'model', provider, model_name FROM rows UNION ALL SELECT *, 'source', source, '' FROM rows) GROUP BY 1, 2, 3)""", _META, _rows()),
-    "session_totals": _with(f"SELECT {_SESSION_COLUMNS}, {_VIEW} FROM sess", _META, _rows(), _sessions()),
-    "session_model_effort": _with(f"SELECT agent, session_id, model_name, effort, {_VIEW} FROM (SELECT agent, actor_id AS session_id, model_name, effort, {_sums()} FROM rows WHERE actor_id <> '' AND NOT (agent = 'codex' AND role = 'unknown') GROUP BY 1, 2, 3, 4)", _META, _rows()),
-    "filter_options_agents": _with(f"SELECT s.agent, coalesce(display_name, s.agent) AS display_name FROM (SELECT DISTINCT agent FROM sess WHERE agent <> '') s LEFT JOIN (SELECT agent, {_LABEL.format(name='agent_name', key='agent')} AS display_name FROM rows GROUP BY agent) r USING (agent)", _META, _rows(), _sessions()),
-    "filter_options_models": _with(f"SELECT provider, model_name, {_LABEL.format(name='provider_name', key='provider')} AS display_name FROM rows WHERE provider <> '' GROUP BY provider, model_name", _META, _rows()),
-    "filter_options_projects": _with("SELECT *, CASE kind WHEN 'project' THEN 0 WHEN 'workspace' THEN 1 WHEN 'projectless' THEN 2 ELSE 3 END AS kind_order FROM (SELECT DISTINCT kind, CASE WHEN kind = 'project' THEN path ELSE '' END AS path, CASE WHEN kind = 'project' THEN name ELSE '' END AS name FROM sess)", _META, _rows(), _sessions()),
-    "agent_filter": _by("model_name", _rows(f"local_day BETWEEN '{FIRST}' AND '{LAST}' AND i.fam IN ('claude', 'gemini')")),
+      FROM (SELECT *, 'agent' AS d, agent AS k1, '' AS k2 FROM rows UNION ALL SELECT *, 'model', provider, model_name FROM rows UNION ALL SELECT *, 'source', source, '' FROM rows UNION ALL SELECT *, 'account', account, '' FROM rows UNION ALL SELECT *, 'caller', caller, '' FROM rows) GROUP BY 1, 2, 3)""", _META, _rows()),
+    "session_totals": _with(f"SELECT {_SESSION_COLUMNS}, {_VIEW}, row_number() OVER (ORDER BY agent, id) AS position FROM sess", _META, _rows(), _sessions()),
+    "session_model_effort": _with(f"SELECT agent, session_id, model_name, effort, {_VIEW}, row_number() OVER (PARTITION BY agent, session_id ORDER BY model_name, effort) AS place FROM (SELECT agent, actor_id AS session_id, model_name, effort, {_sums()} FROM rows WHERE actor_id <> '' AND NOT (agent = 'codex' AND role = 'unknown') GROUP BY 1, 2, 3, 4)", _META, _rows()),
+    "filter_options_agents": _with(f"SELECT s.agent, coalesce(display_name, s.agent) AS display_name, row_number() OVER (ORDER BY s.agent) AS position FROM (SELECT DISTINCT agent FROM sess WHERE agent <> '') s LEFT JOIN (SELECT agent, {_LABEL.format(name='agent_name', key='agent')} AS display_name FROM rows GROUP BY agent) r USING (agent)", _META, _rows(), _sessions()),
+    "filter_options_models": _with(f"SELECT provider, model_name, {_LABEL.format(name='provider_name', key='provider')} AS display_name, row_number() OVER (ORDER BY provider, model_name) AS position FROM rows WHERE provider <> '' GROUP BY provider, model_name", _META, _rows()),
+    "filter_options_projects": _with("SELECT *, row_number() OVER (ORDER BY kind_order, path) AS position FROM (SELECT *, CASE kind WHEN 'project' THEN 0 WHEN 'workspace' THEN 1 WHEN 'projectless' THEN 2 ELSE 3 END AS kind_order FROM (SELECT DISTINCT kind, CASE WHEN kind = 'project' THEN path ELSE '' END AS path, CASE WHEN kind = 'project' THEN name ELSE '' END AS name FROM sess))", _META, _rows(), _sessions()),
+    "agent_filter": _by("model_name", _rows("i.fam IN ('claude', 'gemini')")),
+    "day_range": _by("model_name", _rows("local_day::DATE BETWEEN (SELECT min(local_day)::DATE + 4 FROM led) AND (SELECT max(local_day)::DATE - 10 FROM led)")),
     "model_pair_filter": _by("kind, path", _rows("(provider = 'p1' AND model_name = 'm3') OR (provider = 'p2' AND model_name = '未知模型')")).replace("SELECT kind, path, count(*)", "SELECT p_kind AS kind, CASE WHEN p_kind = 'project' THEN p_path ELSE '' END AS path, count(*)"),
     "project_filter": _by("model_name", _rows(project="coalesce(a.kind, b.kind, 'unknown') = 'workspace' OR (coalesce(a.kind, b.kind) = 'project' AND coalesce(a.path, b.path) = '/work/alpha')")),
     "session_identity": _with(f"SELECT id, fam AS agent, rejected OR (provider = '' AND status >= 400) AS rejected, {_IDENTITY} FROM led"),
@@ -312,8 +313,8 @@ ORACLES = {
     "thread_usage": _with(f"SELECT agent, session_id, thread_id, bucket, first_usage // 1000000 AS first_usage_ms, last_usage // 1000000 AS last_usage_ms, {_VIEW} FROM (SELECT agent, session_id, thread_id, bucket, min(t_ns) AS first_usage, max(t_ns) AS last_usage, {_sums()} FROM rt GROUP BY 1, 2, 3, 4)", *_threads()),
     "thread_parents": _with("SELECT agent, session_id, thread_id, type, title, nickname, kind, path, parent FROM th", *_threads()),
     "thread_descendants": _with("SELECT * FROM reach WHERE top <> thread_id", *_threads()),
-    "compaction_tokens": _with("SELECT agent, session_id, thread_id, model_name, effort, count(*) AS calls, CASE WHEN agent = 'codex' AND NOT bool_or(compaction IS NULL) THEN sum(CASE WHEN compaction THEN input + cache_read + cache_write + output ELSE 0 END)::BIGINT END AS compaction_tokens FROM rt WHERE bucket = 'own' GROUP BY agent, session_id, thread_id, model_name, effort", *_threads()),
-    "session_list": _with(f"SELECT agent, session_id, thread_id, type, title, last_activity // 1000000 AS last_activity_ms, has_usage_rows, subagent_count, self_calls, sub_calls, unknown_calls, self_input, sub_input, unknown_input, self_output, sub_output, unknown_output, {_VIEW} FROM items", *_threads(), _rollup()),
+    "compaction_tokens": _with("SELECT agent, session_id, thread_id, model_name, effort, count(*) AS calls, CASE WHEN agent = 'codex' AND NOT bool_or(compaction IS NULL) THEN sum(CASE WHEN compaction THEN input + cache_read + cache_write + output ELSE 0 END)::BIGINT END AS compaction_tokens, row_number() OVER (PARTITION BY agent, session_id, thread_id ORDER BY sum(input + output) DESC, model_name, effort) AS place FROM rt WHERE bucket = 'own' GROUP BY agent, session_id, thread_id, model_name, effort", *_threads()),
+    "session_list": _with(f"SELECT row_number() OVER (ORDER BY last_activity DESC NULLS LAST, agent, session_id, thread_id) AS position, agent, session_id, thread_id, type, title, last_activity // 1000000 AS last_activity_ms, has_usage_rows, subagent_count, self_calls, sub_calls, unknown_calls, self_input, sub_input, unknown_input, self_output, sub_output, unknown_output, {_VIEW} FROM items", *_threads(), _rollup()),
     "session_detail": _with(f"SELECT agent, session_id, thread_id, type, n_children, self_calls, sub_calls, unknown_calls, {_VIEW} FROM rolled", *_threads(), _rollup()),
     "summary": _with(f"SELECT sessions, unpriced_sessions, median, p90, {_RVIEW}, {_VIEW} FROM ({_SUMMARY_INNER})", *_threads(), _rollup()),
     "public_summary": _with(f"""SELECT input + cache_read + cache_write AS input_tokens, cache_read AS cached_tokens, input AS uncached_input_tokens, output AS output_tokens, reasoning AS reasoning_tokens, output - reasoning AS other_output_tokens,
@@ -321,15 +322,20 @@ ORACLES = {
       sessions AS session_count, sessions - unpriced_sessions AS complete_sessions FROM (SELECT sessions, unpriced_sessions, {_VIEW} FROM ({_SUMMARY_INNER}))""", *_threads(_rows("i.fam = 'codex'"), _sessions(agents="m.agent = 'codex'")), _rollup()),
     "share_top5_other": _with(f"""SELECT label, total, cost, unpriced, round(total * 100.0::DOUBLE / sum(total) OVER (), 6) AS percent FROM (SELECT label, sum(total)::BIGINT AS total, round(sum(cost), 6) AS cost, sum(unpriced)::BIGINT AS unpriced FROM (
       SELECT *, CASE WHEN row_number() OVER (ORDER BY total DESC, model_name) <= 5 THEN model_name ELSE '__other__' END AS label FROM (SELECT model_name, {_VIEW} FROM (SELECT model_name, {_sums()} FROM rows GROUP BY 1))) GROUP BY label)""", _META, _rows()),
+    "share_top5_cost": _with(f"""SELECT label, total, cost, unpriced, round(cost * 100.0::DOUBLE / sum(cost) OVER (), 6) AS percent FROM (SELECT label, sum(total)::BIGINT AS total, round(sum(cost), 6) AS cost, sum(unpriced)::BIGINT AS unpriced FROM (
+      SELECT *, CASE WHEN row_number() OVER (ORDER BY cost DESC, model_name) <= 5 THEN model_name ELSE '__other__' END AS label FROM (SELECT model_name, {_VIEW} FROM (SELECT model_name, {_sums()} FROM rows GROUP BY 1))) GROUP BY label)""", _META, _rows()),
     "series_top10_other": _top("skill-", 17, 10) + "SELECT d.local_day, l.label, coalesce(s.n, 0) AS n FROM (SELECT DISTINCT local_day FROM each) d, (SELECT DISTINCT label FROM top) l LEFT JOIN series s ON s.local_day = d.local_day AND s.label = l.label",
     "running_stack": _top("skill-", 17, 10) + "SELECT local_day, label, rank, n, sum(n) OVER w::BIGINT AS upper, (sum(n) OVER w - n)::BIGINT AS lower FROM series WINDOW w AS (PARTITION BY local_day ORDER BY rank ROWS UNBOUNDED PRECEDING)",
     "tool_usage": _top("t", 13, 8) + "SELECT label, sum(n)::BIGINT AS calls FROM series GROUP BY label",
-    "skill_labels": _top("skill-", 17, 17) + "SELECT DISTINCT name, 'Skill ' || split_part(name, '-', 2) AS label FROM each",
+    "skill_labels": _top("skill-", 17, 17) + "SELECT DISTINCT name, 'Skill ' || split_part(name, '-', 2) AS label FROM each UNION ALL SELECT DISTINCT 'pack-x:' || name, 'Pack X: Skill ' || split_part(name, '-', 2) FROM each",
+    "skills_of_day": _top("skill-", 17, 10) + "SELECT *, row_number() OVER (PARTITION BY local_day ORDER BY n DESC, label) AS place FROM series",
+    "tool_usage_days": "SELECT 't' || (json_extract_string(props, '$.k')::BIGINT % 13) AS name, count(*) AS calls FROM events WHERE ts::DATE > (SELECT max(ts)::DATE - 7 FROM events) GROUP BY 1",
     "session_page": _with(f"SELECT agent, id, has_rows, sort_cost, position FROM (SELECT *, row_number() OVER (ORDER BY sort_cost DESC NULLS LAST, agent, id) AS position FROM (SELECT agent, id, has_rows, CASE WHEN has_rows THEN cost END AS sort_cost FROM (SELECT {_SESSION_COLUMNS}, {_VIEW} FROM sess))) WHERE position BETWEEN 7 AND 12", _META, _rows(), _sessions()),
     "kpi_ratios": _with(f"SELECT agent, round(total * 100.0::DOUBLE / sum(total) OVER (), 6) AS token_share, round((calls - errors) / calls, 9) AS success_rate, CASE WHEN total > 0 THEN round(cost * 1000000 / total, 6) END AS cost_per_million FROM (SELECT agent, {_VIEW} FROM (SELECT agent, {_sums()} FROM rows GROUP BY 1))", _META, _rows()),
     "range_resolution": """WITH d AS (SELECT DISTINCT ts::DATE AS d FROM events), r AS (
       SELECT d, 'today' AS range, d AS a, d AS b FROM d UNION ALL SELECT d, 'yesterday', d - 1, d - 1 FROM d UNION ALL SELECT d, '7d', d - 6, d FROM d UNION ALL SELECT d, '30d', d - 29, d FROM d
-      UNION ALL SELECT d, 'year', make_date(year(d), 1, 1), make_date(year(d), 12, 31) FROM d)
+      UNION ALL SELECT d, 'year', make_date(year(d), 1, 1), make_date(year(d), 12, 31) FROM d
+      UNION ALL SELECT d, 'custom', d - 10, d - 2 FROM d WHERE day(d) % 5 <> 0)
       SELECT strftime(d, '%Y-%m-%d') AS today, range, strftime(a, '%Y-%m-%d') AS first_day, strftime(b, '%Y-%m-%d') AS last_day, epoch_ms(a::TIMESTAMP) AS start_ms, epoch_ms((b + 1)::TIMESTAMP) AS end_ms FROM r""",
     "quality_violations": _with("""SELECT 'blank session' AS rule, count(*) FILTER (session = '') AS n FROM led UNION ALL SELECT 'blank model', count(*) FILTER (model = '') FROM led UNION ALL SELECT 'no time to first token', count(*) FILTER (ttft_ms <= 0) FROM led
       UNION ALL SELECT 'reasoning above output', count(*) FILTER (reasoning > output) FROM led UNION ALL SELECT 'negative tokens', count(*) FILTER (input < 0 OR output < 0) FROM led UNION ALL SELECT 'unknown compaction', count(*) FILTER (compaction IS NULL) FROM led
@@ -368,3 +374,69 @@ ORACLES |= {
       SELECT 1 FROM (SELECT n.id FROM new n LEFT JOIN old o ON o.agent = n.agent AND o.id = n.id WHERE o.id IS NULL OR o.root_session <> n.root_session) c
       WHERE c.id IN (led.session, led.native_session, led.subagent, led.parent_agent))""", _META, _SNAPSHOTS),
 }
+
+_QUOTAS = """WITH by_day AS (
+  SELECT strftime(ts, '%Y-%m-%d') AS day, user_id % 4 AS p, sum(json_extract_string(props, '$.k')::BIGINT)::BIGINT AS s, count(*) AS n FROM events GROUP BY 1, 2
+), quotas AS (
+  SELECT day, CASE p WHEN 0 THEN 'gemini' WHEN 1 THEN 'copilot' WHEN 2 THEN 'codex' ELSE 'claude' END AS provider, s, n,
+    CASE WHEN n % 7 = 0 THEN 'reading failed' ELSE '' END AS error, epoch_ms(day::TIMESTAMP) AS start FROM by_day WHERE NOT (p = 2 AND n % 11 = 0)
+)"""
+ORACLES |= {
+    "quota_cards": _QUOTAS + """, windows AS (
+      SELECT day, provider, 0 AS delivered, CASE provider WHEN 'copilot' THEN 'chat' ELSE '5 hours' END AS name, s % 131 - 10 AS u FROM quotas
+      UNION ALL SELECT day, provider, 1, CASE provider WHEN 'copilot' THEN 'Premium requests' ELSE '7 days' END, s % 97 FROM quotas
+      UNION ALL SELECT day, provider, 2, CASE provider WHEN 'copilot' THEN 'completions' ELSE '5 hours' END, 1 FROM quotas
+    ), shown AS (
+      SELECT day, provider, name, greatest(0, least(100, u))::DOUBLE AS used, delivered, CASE provider WHEN 'codex' THEN 1 WHEN 'claude' THEN 2 WHEN 'copilot' THEN 3 ELSE 4 END AS rank FROM windows
+      WHERE provider <> 'copilot' OR name ILIKE '%premium%'
+    ) SELECT *, floor(100 - used + 0.5)::BIGINT AS remaining, CASE WHEN 100 - used >= 60 THEN 'high' WHEN 100 - used >= 20 THEN 'middle' ELSE 'low' END AS band,
+      row_number() OVER (PARTITION BY day ORDER BY rank, provider, delivered) AS place FROM shown""",
+    "public_quota": _QUOTAS + """, joined AS (
+      SELECT d.day, CASE WHEN q.day IS NULL THEN 'auth_required' WHEN error <> '' THEN 'unavailable' ELSE 'ready' END AS status, s, n, start
+      FROM (SELECT DISTINCT day FROM quotas) d LEFT JOIN (SELECT * FROM quotas WHERE provider = 'codex') q ON q.day = d.day
+    ) SELECT day, status, CASE WHEN status = 'ready' THEN CASE WHEN n % 3 <> 0 THEN start + s % 86400 * 1000 WHEN n % 5 <> 0 THEN start + n % 86400 * 1000 END END AS fetched_ms,
+      CASE WHEN status = 'ready' THEN (s % 131 - 10)::DOUBLE END AS five_hour_used, CASE WHEN status = 'ready' THEN (110 - s % 131)::DOUBLE END AS five_hour_remaining,
+      CASE WHEN status = 'ready' AND s % 4 <> 0 THEN start + s % 90000 * 1000 END AS five_hour_reset_ms, CASE WHEN status = 'ready' THEN 18000 END AS five_hour_seconds,
+      CASE WHEN status = 'ready' THEN (s % 97)::DOUBLE END AS weekly_used, CASE WHEN status = 'ready' THEN (100 - s % 97)::DOUBLE END AS weekly_remaining,
+      CASE WHEN status = 'ready' AND s % 4 <> 0 THEN start + s % 90000 * 1000 END AS weekly_reset_ms, CASE WHEN status = 'ready' THEN 604800 END AS weekly_seconds FROM joined""",
+    "quota_keeper": _QUOTAS + """ SELECT provider, max(day) FILTER (error = '') AS good_day, arg_max(error, day) AS error, arg_max((s % 131 - 10)::DOUBLE, day) FILTER (error = '') AS used FROM quotas GROUP BY provider""",
+    "revision_feed": """WITH feed AS (
+      SELECT user_id % 10 AS feed, event_id AS id, event_id // 97 - CASE WHEN json_extract_string(props, '$.k')::BIGINT % 25 = 3 THEN 2 ELSE 0 END AS data_revision, event_id // 1000 AS status_revision FROM events
+    ), before AS (SELECT *, lag(data_revision) OVER w AS d, lag(status_revision) OVER w AS s FROM feed WINDOW w AS (PARTITION BY feed ORDER BY id))
+    SELECT feed, id, data_revision, status_revision, CASE WHEN data_revision < d OR status_revision < s THEN 'epoch_reset' ELSE 'revision' END AS kind
+    FROM before WHERE d IS NULL OR data_revision <> d OR status_revision <> s""",
+}
+
+_KIDS = """, kid AS (
+  SELECT p.*, u.last_usage, row_number() OVER (PARTITION BY p.agent, p.session_id, p.top ORDER BY u.last_usage DESC NULLS LAST, p.thread_id) AS place FROM pairs p
+  LEFT JOIN (SELECT agent, session_id, thread_id, max(t_ns) AS last_usage FROM rt WHERE bucket = 'own' GROUP BY 1, 2, 3) u ON u.agent = p.agent AND u.session_id = p.session_id AND u.thread_id = p.thread_id
+), chosen AS (SELECT agent, session_id, thread_id FROM rolled ORDER BY n_children DESC, agent, session_id, thread_id LIMIT 1)"""
+_NATURAL = "nullif(list_aggregate(list_transform(regexp_extract_all(lower(string_split(path, '/')[-1]), '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN lpad(x, 20, '0') ELSE x END), 'string_agg', ''), '')"
+_SORTS = {"last_activity": "last_activity", "project": f"CASE WHEN kind = 'project' THEN {_NATURAL} END"} | {c: f"CASE WHEN has_usage_rows THEN {c} END" for c in ("total", "cost", "cache_hit_rate")}
+
+
+def _pages() -> str:
+    """The first and the last page by each field in both directions."""
+    out = []
+    for field, key in _SORTS.items():
+        for down in (True, False):
+            order = f"{key} {'DESC' if down else 'ASC'} NULLS LAST, agent || '|' || session_id || '|' || thread_id"
+            ranked = f"SELECT agent, session_id, thread_id, row_number() OVER (ORDER BY {order}) AS position, count(*) OVER () AS n FROM priced"
+            for last in (False, True):
+                where = "position > (n - 1) // 6 * 6" if last else "position <= 6"
+                out.append(f"SELECT '{field}' AS field, {str(down).upper()} AS descending, {str(last).upper()} AS last_page, agent, session_id, thread_id, position FROM ({ranked}) WHERE {where}")
+    return " UNION ALL ".join(out)
+
+
+ORACLES |= {
+    "thread_children": _with("SELECT agent, session_id, top, thread_id, last_usage // 1000000 AS last_usage_ms, place FROM kid", *_threads(), _rollup(), _KIDS),
+    "thread_detail": _with(f"""SELECT place, agent, session_id, thread_id, type, n_children, self_calls, sub_calls, unknown_calls, {_VIEW} FROM (
+      SELECT 0 AS place, r.* FROM rolled r JOIN chosen USING (agent, session_id, thread_id)
+      UNION ALL SELECT k.place, r.* FROM rolled r JOIN kid k ON k.agent = r.agent AND k.session_id = r.session_id AND k.thread_id = r.thread_id
+        JOIN chosen c ON c.agent = k.agent AND c.session_id = k.session_id AND c.thread_id = k.top)""", *_threads(), _rollup(), _KIDS),
+    "session_table": _with(_pages(), *_threads(), _rollup(), f", priced AS (SELECT i.agent, i.session_id, i.thread_id, t.kind, t.path, last_activity, has_usage_rows, {_VIEW} FROM items i JOIN th t ON t.agent = i.agent AND t.session_id = i.session_id AND t.thread_id = i.thread_id)"),
+    "view_violations": _with(f"""SELECT unnest(['count that isn''t a safe integer', 'ratio out of 0 to 1', 'cost that isn''t finite', 'speed that isn''t finite', 'blank label', 'control character', 'checked']) AS rule,
+      unnest([count(*) FILTER (least(calls, errors, retried, input, output, cache_read, cache_write, cache_write_1h, reasoning, unpriced, decode_n, total) < 0), count(*) FILTER (cache_hit_rate NOT BETWEEN 0 AND 1), count(*) FILTER (cost IS NULL OR cost < 0),
+        count(*) FILTER (output_speed < 0), count(*) FILTER (agent = '' OR trim(model_name) = ''), count(*) FILTER (regexp_matches(model_name, '[\\x00-\\x1f]')), count(*)]) AS n
+      FROM (SELECT agent, model_name, {_VIEW} FROM (SELECT agent, model_name, {_sums()} FROM rows GROUP BY 1, 2))""", _META, _rows()),
+}

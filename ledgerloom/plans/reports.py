@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dates, paths, request as R
-from ..operators import dataset as D, measures as M, threads as T
+from ..operators import dataset as D, measures as M, tables as S, threads as T
+from ..operators.ranking import nearest_rank, numbered
 from ..operators.staging import staged
 from ..sources import derived
 from ..sources.tables import tables
@@ -20,29 +24,51 @@ class Ledger:
 
     def __init__(self, spark: SparkSession, sf_dir: str, scope: D.Scope = D.Scope()):
         loaded = tables(spark, sf_dir)
-        self.scope, self.metadata = scope, loaded.metadata
+        self.scope, self.path, self.metadata = scope, loaded.path, loaded.metadata
         self.rows = D.in_scope(loaded.usage(scope.first, scope.last), scope)
 
     def sessions(self) -> DataFrame:
         return D.sessions(self.rows, self.metadata, self.scope)
 
     def threads(self) -> Threads:
-        return Threads(self)
+        return Threads.of(self)
 
 
 class Threads:
+    """The threads of a scope as tables; those of the last scopes asked for are kept."""
+
+    KEPT = 8
+    _kept: dict[tuple, Threads] = {}
+
+    @classmethod
+    def of(cls, ledger: Ledger) -> Threads:
+        key = (ledger.path, ledger.scope)
+        if key not in cls._kept:
+            while len(cls._kept) >= cls.KEPT:
+                cls._kept.pop(next(iter(cls._kept)))
+            cls._kept[key] = cls(ledger)
+        return cls._kept[key]
+
     def __init__(self, ledger: Ledger):
         self.rows = ledger.rows
         self.sessions = staged(ledger.sessions())
         self.routed = staged(T.routed(self.rows, self.sessions))
         self.threads = staged(T.threads(self.routed, self.sessions))
-        self.usage = T.usage(self.routed)
+        self.usage = staged(T.usage(self.routed))
+
+    @cached_property
+    def rolled(self) -> DataFrame:
+        return staged(T.rollups(self.threads, self.usage))
 
     def rollups(self) -> DataFrame:
-        return T.rollups(self.threads, self.usage)
+        return self.rolled
+
+    @cached_property
+    def listed(self) -> DataFrame:
+        return staged(T.session_items(self.threads, self.routed, self.sessions, self.rolled))
 
     def items(self) -> DataFrame:
-        return T.session_items(self.threads, self.routed, self.sessions, self.rollups())
+        return self.listed
 
 
 def _by(rows: DataFrame, *keys) -> DataFrame:
@@ -79,14 +105,14 @@ def usage_by_day(spark, sf_dir) -> DataFrame:
 
 
 def usage_shares(spark, sf_dir) -> DataFrame:
-    """One pass over the rows for shares by agent, by provider and model, and by day."""
+    """One pass over the rows for shares by agent, by provider and model, by account, caller key and source."""
     rows = Ledger(spark, sf_dir).rows
     rows.createOrReplaceTempView("usage_shares_rows")
     out = spark.sql(
-        """SELECT CASE WHEN grouping(agent) = 0 THEN 'agent' WHEN grouping(model_name) = 0 THEN 'model' ELSE 'source' END AS dimension,
-        coalesce(agent, provider, source) AS key, coalesce(model_name, '') AS model, sum(calls) AS calls,
+        """SELECT CASE WHEN grouping(agent) = 0 THEN 'agent' WHEN grouping(model_name) = 0 THEN 'model' WHEN grouping(account) = 0 THEN 'account'
+          WHEN grouping(caller) = 0 THEN 'caller' ELSE 'source' END AS dimension, coalesce(agent, provider, account, caller, source) AS key, coalesce(model_name, '') AS model, sum(calls) AS calls,
         sum(input + cache_read + cache_write + output) AS total, round(cast(sum(cost) AS double), 6) AS cost, sum(unpriced) AS unpriced
-        FROM usage_shares_rows GROUP BY GROUPING SETS ((agent), (provider, model_name), (source))"""
+        FROM usage_shares_rows GROUP BY GROUPING SETS ((agent), (provider, model_name), (account), (caller), (source))"""
     )
     whole = F.sum("total").over(W.partitionBy("dimension"))
     return out.withColumn("share", M.ratio(F.col("total") * 1.0, whole))
@@ -104,12 +130,13 @@ def _session_view(s: DataFrame) -> DataFrame:
 
 
 def session_totals(spark, sf_dir) -> DataFrame:
-    return _session_view(Ledger(spark, sf_dir).sessions())
+    return numbered(_session_view(Ledger(spark, sf_dir).sessions()), "agent", "id")
 
 
 def session_model_effort(spark, sf_dir) -> DataFrame:
     rows = Ledger(spark, sf_dir).rows.where("NOT (agent = 'codex' AND role = 'unknown')").where("actor_id <> ''")
-    return _by(rows.withColumnRenamed("actor_id", "session_id"), "agent", "session_id", "model_name", "effort")
+    by = _by(rows.withColumnRenamed("actor_id", "session_id"), "agent", "session_id", "model_name", "effort")
+    return by.withColumn("place", F.row_number().over(W.partitionBy("agent", "session_id").orderBy("model_name", "effort")))
 
 
 def _label(rows: DataFrame, keys: list[str], key: str, name: str, label: str) -> DataFrame:
@@ -123,11 +150,11 @@ def filter_options_agents(spark, sf_dir) -> DataFrame:
     ledger = Ledger(spark, sf_dir)
     of_rows = _label(ledger.rows, ["agent"], "agent", "agent_name", "display_name")
     rest = ledger.sessions().where("agent <> ''").select("agent").distinct().join(of_rows, "agent", "left")
-    return rest.select("agent", F.coalesce("display_name", "agent").alias("display_name"))
+    return numbered(rest.select("agent", F.coalesce("display_name", "agent").alias("display_name")), "agent")
 
 
 def filter_options_models(spark, sf_dir) -> DataFrame:
-    return _label(Ledger(spark, sf_dir).rows, ["provider", "model_name"], "provider", "provider_name", "display_name")
+    return numbered(_label(Ledger(spark, sf_dir).rows, ["provider", "model_name"], "provider", "provider_name", "display_name"), "provider", "model_name")
 
 
 def filter_options_projects(spark, sf_dir) -> DataFrame:
@@ -135,11 +162,18 @@ def filter_options_projects(spark, sf_dir) -> DataFrame:
     kind = F.col("project.kind")
     only = lambda c: F.when(kind == "project", F.col(f"project.{c}")).otherwise("").alias(c)
     rank = F.when(F.col("kind") == "project", 0).when(F.col("kind") == "workspace", 1).when(F.col("kind") == "projectless", 2).otherwise(3)
-    return s.select(kind.alias("kind"), only("path"), only("name")).distinct().withColumn("kind_order", rank)
+    return s.select(kind.alias("kind"), only("path"), only("name")).distinct().transform(lambda df: numbered(df.withColumn("kind_order", rank), "kind_order", "path"))
 
 
 def agent_filter(spark, sf_dir) -> DataFrame:
-    return model_distribution(spark, sf_dir, D.Scope(FIRST, LAST, agents=("claude-desktop", "gemini")))
+    return model_distribution(spark, sf_dir, D.Scope(agents=("claude-desktop", "gemini")))
+
+
+def day_range(spark, sf_dir) -> DataFrame:
+    """All but the first and last days of the ledger: a filter on the table's partitions."""
+    a, b = tables(spark, sf_dir).usage().agg(F.min("local_day"), F.max("local_day")).first()
+    days = lambda d, n: (date.fromisoformat(d) + timedelta(days=n)).isoformat()
+    return model_distribution(spark, sf_dir, D.Scope(days(a, 4), days(b, -10)))
 
 
 def model_pair_filter(spark, sf_dir) -> DataFrame:
@@ -202,7 +236,7 @@ def thread_descendants(spark, sf_dir) -> DataFrame:
 
 
 def compaction_tokens(spark, sf_dir) -> DataFrame:
-    return T.model_effort(Ledger(spark, sf_dir).threads().routed).select(*T.KEY, "model_name", "effort", "calls", "compaction_tokens")
+    return T.model_effort(Ledger(spark, sf_dir).threads().routed).select(*T.KEY, "model_name", "effort", "calls", "compaction_tokens", "place")
 
 
 def _items(t: Threads) -> DataFrame:
@@ -210,8 +244,9 @@ def _items(t: Threads) -> DataFrame:
 
 
 def session_list(spark, sf_dir) -> DataFrame:
-    items = _items(Ledger(spark, sf_dir).threads())
-    return M.derived(items).select(*T.KEY, "type", "title", _ms("last_activity"), "has_usage_rows", "subagent_count", "self_calls", "sub_calls", "unknown_calls", "self_input", "sub_input", "unknown_input", "self_output", "sub_output", "unknown_output", *VIEW)
+    """Sessions by last activity, latest first."""
+    items = numbered(_items(Ledger(spark, sf_dir).threads()), F.desc_nulls_last("last_activity"), *T.KEY)
+    return M.derived(items).select("position", *T.KEY, "type", "title", _ms("last_activity"), "has_usage_rows", "subagent_count", "self_calls", "sub_calls", "unknown_calls", "self_input", "sub_input", "unknown_input", "self_output", "sub_output", "unknown_output", *VIEW)
 
 
 def session_detail(spark, sf_dir) -> DataFrame:
@@ -223,11 +258,9 @@ def session_detail(spark, sf_dir) -> DataFrame:
 
 def _summary(items: DataFrame) -> DataFrame:
     used = F.when(F.col("input") + F.col("output") > 0, F.col("input") + F.col("output"))
-    quantile = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY used)")
-    out = items.withColumn("used", used).agg(
-        *M.sums(), F.count("*").alias("sessions"), F.count_if(F.col("unpriced") > 0).alias("unpriced_sessions"), quantile(0.5).alias("median"), quantile(0.9).alias("p90")
-    )
-    return M.metric_view(M.derived(out))
+    ranks = nearest_rank(items.select(used.alias("used")), "used", median=50, p90=90).first()  # two numbers
+    out = items.agg(*M.sums(), F.count("*").alias("sessions"), F.count_if(F.col("unpriced") > 0).alias("unpriced_sessions"))
+    return M.metric_view(M.derived(out)).withColumns({n: F.lit(ranks[n]).cast("long") for n in ("median", "p90")})
 
 
 def summary(spark, sf_dir) -> DataFrame:
@@ -247,13 +280,22 @@ def public_summary(spark, sf_dir) -> DataFrame:
     )
 
 
-def share_top5_other(spark, sf_dir) -> DataFrame:
-    """The five models of most tokens and the rest together."""
+def _shares(spark, sf_dir, measure: str) -> DataFrame:
+    """The five models of most tokens or cost and the rest together."""
     by = _by(Ledger(spark, sf_dir).rows, "model_name")
-    rank = F.row_number().over(W.orderBy(F.desc("total"), "model_name"))
+    rank = F.row_number().over(W.orderBy(F.desc(measure), "model_name"))
     ranked = by.withColumn("label", F.when(rank <= 5, F.col("model_name")).otherwise("__other__"))
     out = ranked.groupBy("label").agg(F.sum("total").alias("total"), F.round(F.sum("cost"), 6).alias("cost"), F.sum("unpriced").alias("unpriced"))
-    return out.withColumn("percent", F.round(F.col("total") * 100.0 / F.sum("total").over(W.partitionBy()), 6))
+    whole = F.sum(measure).over(W.partitionBy())
+    return out.withColumn("percent", F.round(F.when(whole > 0, F.col(measure) * 100.0 / whole).otherwise(0.0), 6))
+
+
+def share_top5_other(spark, sf_dir) -> DataFrame:
+    return _shares(spark, sf_dir, "total")
+
+
+def share_top5_cost(spark, sf_dir) -> DataFrame:
+    return _shares(spark, sf_dir, "cost")
 
 
 def _series(spark, sf_dir, name: str, keep: int) -> DataFrame:
@@ -289,10 +331,27 @@ def tool_usage(spark, sf_dir) -> DataFrame:
 
 
 def skill_labels(spark, sf_dir) -> DataFrame:
-    """Keys as labels: words at hyphens with a capital, the first word in capitals."""
+    """Keys as labels: words at hyphens begin with a capital, name spaces are parted by a colon."""
     found = _series(spark, sf_dir, "skill", 17).select(F.col("label").alias("name")).distinct()
-    words = F.split("name", "-")
-    return found.select("name", F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1000))), " ").alias("label"))
+    found = found.unionByName(found.select(F.concat(F.lit("pack-x:"), "name").alias("name")))
+    words = lambda part: F.transform(F.split(part, "-"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1000)))
+    return found.select("name", F.array_join(F.transform(F.split("name", ":"), lambda part: F.array_join(words(part), " ")), ": ").alias("label"))
+
+
+def skills_of_day(spark, sf_dir) -> DataFrame:
+    """The series of each day, the most frequent first."""
+    order = W.partitionBy("local_day").orderBy(F.desc("n"), "label")
+    return _series(spark, sf_dir, "skill", 10).withColumn("place", F.row_number().over(order))
+
+
+def tool_usage_days(spark, sf_dir, days: int = 7) -> DataFrame:
+    """Calls by tool in the last days of the events; only 1, 7 and 30 days can be asked for."""
+    if days not in (1, 7, 30):
+        raise ValueError(f"not 1, 7 or 30 days: {days}")
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.to_date("ts").alias("d"), F.get_json_object("props", "$.k").cast("long").alias("k"))
+    last = ev.agg(F.max("d").alias("last"))
+    recent = ev.join(F.broadcast(last), F.col("d") > F.date_sub("last", days))
+    return recent.groupBy(F.concat(F.lit("t"), (F.col("k") % 13).cast("string")).alias("name")).agg(F.count("*").alias("calls"))
 
 
 def session_page(spark, sf_dir) -> DataFrame:
@@ -303,6 +362,45 @@ def session_page(spark, sf_dir) -> DataFrame:
     return s.select("agent", "id", "has_rows", key.alias("sort_cost"), n.alias("position")).where("position BETWEEN 7 AND 12")
 
 
+def session_table(spark, sf_dir) -> DataFrame:
+    """The first and the last page of the sessions by each field, in both directions."""
+    t = Ledger(spark, sf_dir).threads()
+    items, out = M.derived(_items(t)), None
+    for field in S.FIELDS:
+        for descending in (True, False):
+            for number in (1, 10**6):
+                rows = S.page(items, field, descending, number).select(F.lit(field).alias("field"), F.lit(descending).alias("descending"), F.lit(number > 1).alias("last_page"), *T.KEY, "position")
+                out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def thread_children(spark, sf_dir) -> DataFrame:
+    t = Ledger(spark, sf_dir).threads()
+    return T.children(t.threads, t.usage).select("agent", "session_id", "top", "thread_id", _ms("last_usage"), "place")
+
+
+def thread_detail(spark, sf_dir) -> DataFrame:
+    """The thread with most threads below it, and these."""
+    t = Ledger(spark, sf_dir).threads()
+    most = t.rolled.orderBy(F.desc("n_children"), *T.KEY).select(*T.KEY).first()
+    found = T.detail(M.derived(t.rolled), T.children(t.threads, t.usage), tuple(most))
+    return found.select("place", *T.KEY, "type", "n_children", "self_calls", "sub_calls", "unknown_calls", *VIEW)
+
+
+def view_violations(spark, sf_dir) -> DataFrame:
+    """How many groups by agent and model break each rule of a published view."""
+    view = _by(Ledger(spark, sf_dir).rows, "agent", "model_name")
+    whole = [c for c in VIEW if c not in ("cost", "cache_hit_rate", "output_speed")]
+    safe = F.forall(F.array(*[F.col(c).cast("long") for c in whole]), lambda x: x.isNotNull() & (x >= 0) & (x <= (1 << 53) - 1))
+    amount = lambda c: ~F.isnan(c) & (F.col(c) >= 0) & (F.col(c) < float("inf"))
+    rules = {
+        "count that isn't a safe integer": ~safe, "ratio out of 0 to 1": F.col("cache_hit_rate").isNotNull() & ~(amount("cache_hit_rate") & (F.col("cache_hit_rate") <= 1)),
+        "cost that isn't finite": F.col("cost").isNull() | ~amount("cost"), "speed that isn't finite": F.col("output_speed").isNotNull() & ~amount("output_speed"),
+        "blank label": (F.col("agent") == "") | (F.trim("model_name") == ""), "control character": F.col("model_name").rlike("[\\x00-\\x1f]"), "checked": F.lit(True),
+    }
+    return view.agg(*[F.count_if(c).alias(n) for n, c in rules.items()]).unpivot([], list(rules), "rule", "n")
+
+
 def kpi_ratios(spark, sf_dir) -> DataFrame:
     by = _by(Ledger(spark, sf_dir).rows, "agent")
     return by.select(
@@ -319,10 +417,11 @@ def range_resolution(spark, sf_dir) -> DataFrame:
     days = derived.ledger(spark, sf_dir).select(dates.civil_date(F.col("local_day")).alias("today")).distinct()
     text = lambda c: F.date_format(c, "yyyy-MM-dd")
     ranges = []
-    for name in ("today", "yesterday", "7d", "30d", "year"):
-        a, b = dates.range_days(name, F.col("today"))
+    first, last = text(F.date_sub("today", 10)), F.when(F.dayofmonth("today") % 5 == 0, "2024-02-30").otherwise(text(F.date_sub("today", 2)))
+    for name in ("today", "yesterday", "7d", "30d", "year", "custom"):
+        a, b = dates.range_days(name, F.col("today"), first, last)
         ranges.append(F.struct(F.lit(name).alias("range"), text(a).alias("first_day"), text(b).alias("last_day"), F.unix_millis(dates.midnight(a, "UTC")).alias("start_ms"), F.unix_millis(dates.day_end(b, "UTC")).alias("end_ms")))
-    return days.select(text(F.col("today")).alias("today"), F.explode(F.array(*ranges)).alias("r")).select("today", "r.*")
+    return days.select(text(F.col("today")).alias("today"), F.explode(F.array(*ranges)).alias("r")).select("today", "r.*").where("first_day IS NOT NULL")
 
 
 def local_midnight(spark, sf_dir) -> DataFrame:
@@ -335,8 +434,7 @@ def local_midnight(spark, sf_dir) -> DataFrame:
 def local_days(spark, sf_dir) -> DataFrame:
     """Requests by civil day in several zones."""
     rows = derived.ledger(spark, sf_dir).select("t_ns", F.explode(F.array(*[F.lit(z) for z in ZONES])).alias("zone"))
-    day = F.date_format(F.from_utc_timestamp(F.timestamp_micros(F.floor(F.col("t_ns") / 1000)), F.col("zone")), "yyyy-MM-dd")
-    return rows.groupBy("zone", day.alias("day")).agg(F.count("*").alias("n"))
+    return rows.groupBy("zone", dates.local_day(F.col("t_ns"), F.col("zone")).alias("day")).agg(F.count("*").alias("n"))
 
 
 def quality_violations(spark, sf_dir) -> DataFrame:
@@ -356,6 +454,6 @@ QUERIES = {
         model_distribution, project_distribution, request_metrics, usage_by_day, usage_shares, session_totals, session_model_effort, filter_options_agents, filter_options_models,
         filter_options_projects, agent_filter, model_pair_filter, project_filter, session_identity, project_classification, decode_samples, request_decode_samples, metadata_merge,
         metadata_only_sessions, supplemental_roots, thread_usage, thread_parents, thread_descendants, compaction_tokens, session_list, session_detail, summary, public_summary,
-        share_top5_other, series_top10_other, running_stack, tool_usage, skill_labels, session_page, kpi_ratios, range_resolution, local_midnight, local_days, quality_violations,
+        share_top5_other, share_top5_cost, skills_of_day, tool_usage_days, session_table, thread_children, thread_detail, view_violations, day_range, series_top10_other, running_stack, tool_usage, skill_labels, session_page, kpi_ratios, range_resolution, local_midnight, local_days, quality_violations,
     )
 }

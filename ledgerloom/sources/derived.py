@@ -62,6 +62,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         (k % 12 == 0).alias("reasoning_hidden"), (k % 9 == 0).alias("handed_on"),
         F.when((agent != "codex") | ((g % 3 == 0) & (k % 10 == 3)), F.lit(None)).otherwise(k % 4 == 1).cast("boolean").alias("compaction"),
         (F.floor(v * 1000) / 100000.0).alias("cost"), (k % 10 != 9).alias("priced"), u.alias("user_id"),
+        _text("acc", u % 4).alias("account"), _text("key", u % 6).alias("caller"),
     )
 
 
@@ -89,3 +90,33 @@ def sessions(rows: DataFrame) -> DataFrame:
         .when(gc % 6 == 4, "/var/folders/x/y/T/magpie-claude-work-9/c").otherwise(_text("/work/p", gc))
     )
     return every.select("agent", "id", cwd.alias("cwd"), _text("T", F.col("id")).alias("title"), F.when(F.col("role") == "subagent", _text("N", F.col("id"))).otherwise("").alias("nickname"), "start_ns", "last_ns", "role", "parent_session", "root_session")
+
+
+def quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A snapshot of quotas for each day: a row for each provider, its windows in the order delivered."""
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+        F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd").alias("day"), (F.col("user_id") % 4).alias("p"), F.get_json_object("props", "$.k").cast("long").alias("k")
+    )
+    by = ev.groupBy("day", "p").agg(F.sum("k").alias("s"), F.count("*").alias("n"))
+    s, n, start = F.col("s"), F.col("n"), F.to_timestamp("day")
+    after = lambda seconds: F.timestamp_seconds(F.unix_seconds(start) + seconds)
+    provider = F.when(F.col("p") == 0, "gemini").when(F.col("p") == 1, "copilot").when(F.col("p") == 2, "codex").otherwise("claude")
+    by = by.select("day", provider.alias("provider"), "s", "n").where(~((F.col("provider") == "codex") & (n % 11 == 0)))
+    copilot = F.col("provider") == "copilot"
+    window = lambda name, other, used, open_: F.struct(
+        open_.alias("unlimited"), F.when(copilot, name).otherwise(other).alias("name"), used.cast("double").alias("used"), F.when(s % 4 != 0, after(s % 90000)).alias("resets_at")
+    )
+    windows = F.array(window("chat", "5 hours", s % 131 - 10, copilot), window("Premium requests", "7 days", s % 97, F.lit(False)), window("completions", "5 hours", F.lit(1), copilot))
+    return by.select(
+        "day", "provider", F.when(n % 7 == 0, "reading failed").otherwise("").alias("error"),
+        F.when(n % 3 != 0, after(s % 86400)).alias("read_at"), F.when(n % 5 != 0, after(n % 86400)).alias("as_of"), windows.alias("windows"),
+    )
+
+
+def revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feeds of (data_revision, status_revision), in the order of their ids; some numbers fall back."""
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    e, k = F.col("event_id"), F.get_json_object("props", "$.k").cast("long")
+    return ev.select(
+        (F.col("user_id") % 10).alias("feed"), e.alias("id"), (F.floor(e / 97) - F.when(k % 25 == 3, 2).otherwise(0)).alias("data_revision"), F.floor(e / 1000).alias("status_revision")
+    )

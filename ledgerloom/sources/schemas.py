@@ -16,6 +16,12 @@ REQUEST = T.StructType(
     + [T.StructField("cost", T.DoubleType()), T.StructField("priced", T.BooleanType())]
 )
 
+#: What the wire has besides and the ledger doesn't keep.
+LANDED = T.StructType(
+    [*REQUEST.fields, T.StructField("account", T.StringType()), T.StructField("caller", T.StringType())]
+    + [T.StructField("route_id", T.IntegerType()), T.StructField("rid", T.StringType()), T.StructField("response_id", T.StringType())]
+)
+
 #: One row per (agent, id).
 SESSION = T.StructType(
     [T.StructField(c, T.StringType()) for c in ("agent", "id", "cwd", "title", "nickname")]
@@ -30,6 +36,23 @@ DAY_STATE = T.StructType(
 )
 
 _window = T.StructType([T.StructField("unlimited", T.BooleanType()), T.StructField("name", T.StringType()), T.StructField("used", T.DoubleType()), T.StructField("resets_at", T.TimestampType())])
+_totals = [T.StructField(c, T.LongType()) for c in ("calls", "errors", "input", "output", "cache_read", "cache_write", "reasoning")]
+_totals += [T.StructField("cost", T.DoubleType()), T.StructField("unpriced", T.LongType())]
+_group = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("id", "provider", "model", "account", "agent", "name")] + _totals))
+_point = T.StructType([T.StructField("label", T.StringType()), T.StructField("time", T.TimestampType()), *_totals])
+#: A summary of a period: its series by day and its groups of each kind.
+SUMMARY = T.StructType(
+    [T.StructField("period", T.StringType()), T.StructField("since", T.TimestampType()), T.StructField("bucket", T.StringType()), T.StructField("series", T.ArrayType(_point))]
+    + [T.StructField(c, _group) for c in ("agents", "models", "accounts", "callerKeys")]
+    + _totals
+)
+_tool = T.StructType([T.StructField("name", T.StringType()), T.StructField("category", T.StringType()), T.StructField("calls", T.LongType())])
+_week = T.StructType([T.StructField("start", T.StringType()), T.StructField("calls", T.MapType(T.StringType(), T.LongType()))])
+#: An overview of sessions; only the block of tools is used.
+OVERVIEW = T.StructType(
+    [T.StructField("tools", T.StructType([T.StructField("calls", T.LongType()), T.StructField("sessions", T.LongType()), T.StructField("top", T.ArrayType(_tool)), T.StructField("weeks", T.ArrayType(_week))]))]
+)
+
 #: One row per provider, its windows in the order delivered.
 QUOTA = T.StructType(
     [
