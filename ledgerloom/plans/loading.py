@@ -58,4 +58,53 @@ def changed_session_days(spark, sf_dir) -> DataFrame:
     return L.days_of_sessions(rows, L.changed_sessions(old, new))
 
 
-QUERIES = {f.__name__: f for f in (day_digest_changes, refresh_decision, snapshot_merge, changed_session_days)}
+def _state(spark, sf_dir) -> DataFrame:
+    """States of every day but each eighth, and of a day long before; some never loaded, some with a backfill to do."""
+    day = F.dayofmonth(F.to_date("day"))
+    rows = L.day_digests(derived.ledger(spark, sf_dir)).where(day % 8 != 0)
+    rows = rows.unionByName(rows.where(day == 1).select(F.lit("2023-12-25").alias("day"), "digest"))
+    return rows.select(
+        "day", F.when(day % 7 != 0, F.col("digest")).alias("fingerprint"), day.cast("long").alias("row_count"), F.when(day % 7 != 0, F.lit(1_700_000_000_000_000_000)).cast("long").alias("last_sync_ns"),
+        (day % 5 == 0).alias("frozen"), (day % 3 == 0).alias("identity_pending"), (day % 4 == 0).alias("compaction_pending"), (day % 6 == 0).alias("metrics_pending"),
+    )
+
+
+def candidate_days(spark, sf_dir) -> DataFrame:
+    series = L.day_digests(derived.ledger(spark, sf_dir)).where("dayofmonth(to_date(day)) > 9").select("day")
+    return L.candidate_days(series, _state(spark, sf_dir), "2024-02-02")
+
+
+def verified_days(spark, sf_dir) -> DataFrame:
+    """Days as landed, with one row too few on some, against pages whose total moved on others."""
+    rows = derived.ledger(spark, sf_dir)
+    day = F.dayofmonth(F.to_date("day"))
+    said = rows.groupBy(F.col("local_day").alias("day")).agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    pages = said.select("day", F.explode(F.array(F.col("n"), F.col("n") + F.when(day % 6 == 0, 1).otherwise(0))).alias("total"))
+    short = said.where(day % 4 == 0).select(F.col("least").alias("i"))
+    return L.verified_days(rows.join(short, F.col("id") == F.col("i"), "left_anti"), pages)
+
+
+def backfill_flags(spark, sf_dir) -> DataFrame:
+    """Days and their pending backfills before changed sessions, after these queued their days, and after a save of even days."""
+    state, rows = _state(spark, sf_dir), derived.ledger(spark, sf_dir)
+    changed = derived.sessions(rows).where("agent = 'codex' AND role = 'subagent' AND id LIKE '%7'").select("agent", "id")
+    queued = L.requeued(state, L.days_of_sessions(rows, changed).select(F.col("local_day").alias("day")))
+    done = L.day_digests(rows).where("dayofmonth(to_date(day)) % 2 = 0").select("day", F.col("digest").alias("fingerprint"), F.lit(1).cast("long").alias("row_count"))
+    after = L.saved_state(queued, done, 1_706_800_000_000_000_000, "2024-02-02", True)
+    out = None
+    for step, df in (("before", state), ("queued", queued), ("saved", after)):
+        one = L.day_counts(df).withColumn("step", F.lit(step))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def day_states(spark, sf_dir) -> DataFrame:
+    """The state of each day after even days were saved without identities."""
+    rows = derived.ledger(spark, sf_dir)
+    counts = rows.groupBy(F.col("local_day").alias("d")).agg(F.count("*").alias("row_count"))
+    done = L.day_digests(rows).where("dayofmonth(to_date(day)) % 2 = 0").join(counts, F.col("day") == F.col("d")).select("day", F.col("digest").alias("fingerprint"), "row_count")
+    after = L.saved_state(_state(spark, sf_dir), done, 1_706_800_000_000_000_000, "2024-02-02", False)
+    return after.select("day", F.col("fingerprint").isNotNull().alias("loaded"), "row_count", "last_sync_ns", "frozen", "identity_pending", "compaction_pending", "metrics_pending")
+
+
+QUERIES = {f.__name__: f for f in (day_digest_changes, refresh_decision, snapshot_merge, changed_session_days, candidate_days, verified_days, backfill_flags, day_states)}

@@ -440,3 +440,25 @@ ORACLES |= {
         count(*) FILTER (output_speed < 0), count(*) FILTER (agent = '' OR trim(model_name) = ''), count(*) FILTER (regexp_matches(model_name, '[\\x00-\\x1f]')), count(*)]) AS n
       FROM (SELECT agent, model_name, {_VIEW} FROM (SELECT agent, model_name, {_sums()} FROM rows GROUP BY 1, 2))""", _META, _rows()),
 }
+
+_STATE = """, days AS (SELECT DISTINCT local_day AS day FROM led), state AS (
+  SELECT day, n % 7 <> 0 AS loaded, n AS row_count, CASE WHEN n % 7 <> 0 THEN 1700000000000000000 END AS last_sync_ns, n % 5 = 0 AS frozen, n % 3 = 0 AS identity_pending, n % 4 = 0 AS compaction_pending, n % 6 = 0 AS metrics_pending
+  FROM (SELECT day, day(day::DATE) AS n FROM days WHERE day(day::DATE) % 8 <> 0 UNION ALL SELECT '2023-12-25', 25 FROM days WHERE day(day::DATE) = 1)
+)"""
+_SAVED = """CASE WHEN d.day IS NOT NULL THEN coalesce(s.day, d.day) < '2024-01-26' ELSE s.frozen END AS frozen, CASE WHEN d.day IS NOT NULL AND IDENTITY THEN FALSE ELSE coalesce(s.identity_pending, FALSE) END AS identity_pending,
+  coalesce(s.compaction_pending, FALSE) AND d.day IS NULL AS compaction_pending, coalesce(s.metrics_pending, FALSE) AND d.day IS NULL AS metrics_pending"""
+ORACLES |= {
+    "candidate_days": _with("SELECT strftime(unnest(generate_series((SELECT min(day)::DATE FROM days WHERE day(day::DATE) > 9), DATE '2024-02-02', INTERVAL 1 DAY)), '%Y-%m-%d') AS day UNION SELECT day FROM state", _STATE),
+    "verified_days": _with("SELECT day, n % 4 <> 0 AND n % 6 <> 0 AS ok FROM (SELECT day, day(day::DATE) AS n FROM days)", _STATE),
+    "backfill_flags": _with(f"""SELECT step, count(*) AS days, count(*) FILTER (last_sync_ns IS NULL) AS never_loaded, count(*) FILTER (frozen) AS frozen, count(*) FILTER (identity_pending) AS identity_pending,
+      count(*) FILTER (compaction_pending) AS compaction_pending, count(*) FILTER (metrics_pending) AS metrics_pending FROM (
+      SELECT 'before' AS step, * FROM state UNION ALL BY NAME SELECT 'queued' AS step, * FROM queued UNION ALL BY NAME
+      SELECT 'saved' AS step, CASE WHEN d.day IS NOT NULL THEN 1 ELSE s.last_sync_ns END AS last_sync_ns, {_SAVED.replace("IDENTITY", "TRUE")} FROM queued s FULL JOIN (SELECT day FROM days WHERE day(day::DATE) % 2 = 0) d ON s.day = d.day) GROUP BY step""",
+      _STATE, """, hit AS (SELECT DISTINCT local_day AS day FROM led WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT 'a' || u AS id FROM led WHERE agent = 'codex' AND u % 10 = 7) c
+        WHERE c.id IN (led.session, led.native_session, led.subagent, led.parent_agent))
+      ), queued AS (
+        SELECT coalesce(s.day, h.day) AS day, s.last_sync_ns, coalesce(s.frozen, FALSE) AS frozen, coalesce(s.identity_pending, FALSE) OR h.day IS NOT NULL AS identity_pending, coalesce(s.compaction_pending, FALSE) AS compaction_pending,
+          coalesce(s.metrics_pending, FALSE) AS metrics_pending FROM state s FULL JOIN hit h ON s.day = h.day)"""),
+    "day_states": _with(f"""SELECT coalesce(s.day, d.day) AS day, d.day IS NOT NULL OR loaded AS loaded, CASE WHEN d.day IS NOT NULL THEN d.n ELSE s.row_count END AS row_count, CASE WHEN d.day IS NOT NULL THEN 1706800000000000000 ELSE s.last_sync_ns END AS last_sync_ns,
+      {_SAVED.replace("IDENTITY", "FALSE")} FROM state s FULL JOIN (SELECT local_day AS day, count(*) AS n FROM led WHERE day(local_day::DATE) % 2 = 0 GROUP BY 1) d ON s.day = d.day""", _STATE),
+}

@@ -11,8 +11,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, TimestampType
 
-from ..functions.dates import day_end
+from ..functions.dates import day_end, local_day
 from ..sources.schemas import DAY_STATE, REQUEST
 
 FREEZE_DAYS = 7
@@ -99,9 +100,70 @@ def days_of_sessions(rows: DataFrame, changed: DataFrame) -> DataFrame:
     return each.join(changed.select(F.col("id").alias("sid")).distinct(), "sid", "left_semi").select("local_day").distinct()
 
 
+class DataLoading(Exception):
+    """Some day of the ledger hasn't been loaded yet."""
+
+
+def day_counts(state: DataFrame) -> DataFrame:
+    """One row: days, those never loaded, those frozen and those of each backfill that is pending."""
+    flags = ("frozen", "identity_pending", "compaction_pending", "metrics_pending")
+    return state.agg(F.count("*").alias("days"), F.count_if(F.col("last_sync_ns").isNull()).alias("never_loaded"), *[F.count_if(f).alias(f) for f in flags])
+
+
 def all_days_loaded(state: DataFrame, expected: int) -> bool:
-    row = state.agg(F.count("*"), F.count_if(F.col("last_sync_ns").isNull())).first()
-    return row[0] == expected and row[1] == 0
+    row = day_counts(state).first()
+    return row["days"] == expected and row["never_loaded"] == 0
+
+
+def require_loaded(state: DataFrame, expected: int) -> None:
+    """Reports ask this first: DataLoading until every day has been loaded once."""
+    if not all_days_loaded(state, expected):
+        raise DataLoading(expected)
+
+
+def candidate_days(series: DataFrame, state: DataFrame, today: str | Column) -> DataFrame:
+    """(day): every day from the first of the series (day) or today, whichever is earlier, to today, and every day
+    that has a state, which includes those with a pending backfill."""
+    today = F.to_date(F.lit(today) if isinstance(today, str) else today)
+    ends = series.where("day IS NOT NULL").agg(F.least(F.min(F.to_date("day")), today).alias("first"))
+    days = ends.select(F.explode(F.sequence(F.coalesce("first", today), today)).alias("d")).select(F.date_format("d", "yyyy-MM-dd").alias("day"))
+    return days.unionByName(state.select("day")).distinct()
+
+
+def requeued(state: DataFrame, days: DataFrame, flag: str = "identity_pending") -> DataFrame:
+    """The state with the flag of a backfill set for days (day); days without a state get one."""
+    d = days.select(F.col("day").alias("d")).distinct()
+    joined = state.join(d, F.col("day") == F.col("d"), "full")
+    value = lambda c: (F.coalesce(c, F.lit(False)) | F.col("d").isNotNull() if c == flag else F.coalesce(c, F.lit(False))).alias(c)
+    flags = ("frozen", "identity_pending", "compaction_pending", "metrics_pending")
+    return joined.select(F.coalesce("day", "d").alias("day"), "fingerprint", F.coalesce("row_count", F.lit(0)).cast("long").alias("row_count"), "last_sync_ns", *[value(c) for c in flags])
+
+
+def saved_state(state: DataFrame, saved: DataFrame, now_ns: int | Column, today: str | Column, identity_available: bool, zone: str = "UTC", horizon: int = FREEZE_DAYS) -> DataFrame:
+    """The state after days were saved: (day, fingerprint, row_count) of each.
+
+    A saved day's flags are cleared, that of identities only if these were available; it is frozen if it is older
+    than the horizon and its end has passed. Days that failed keep their state.
+    """
+    now = F.lit(now_ns).cast("long") if isinstance(now_ns, int) else now_ns
+    today = F.lit(today) if isinstance(today, str) else today
+    new = saved.select(F.col("day").alias("d"), F.col("fingerprint").alias("f"), F.col("row_count").alias("n"))
+    joined = state.join(new, F.col("day") == F.col("d"), "full")
+    done, date = F.col("d").isNotNull(), F.to_date(F.coalesce("day", "d"))
+    freeze = (date < F.date_sub(F.to_date(today), horizon)) & (now > F.unix_micros(day_end(date, zone)) * 1000)
+    kept = lambda c: F.coalesce(c, F.lit(False))
+    return joined.select(
+        F.coalesce("day", "d").alias("day"), F.when(done, F.col("f")).otherwise(F.col("fingerprint")).alias("fingerprint"),
+        F.when(done, F.col("n")).otherwise(F.col("row_count")).alias("row_count"), F.when(done, now).otherwise(F.col("last_sync_ns")).alias("last_sync_ns"),
+        F.when(done, freeze).otherwise(kept("frozen")).alias("frozen"),
+        F.when(done & F.lit(identity_available), False).otherwise(kept("identity_pending")).alias("identity_pending"),
+        *[(kept(c) & ~done).alias(c) for c in ("compaction_pending", "metrics_pending")],
+    )
+
+
+def next_revision(revision: int, saved: DataFrame, sessions_changed: bool = False) -> int:
+    """One more for each day that was saved and for a change of the sessions; the same if nothing was."""
+    return revision + saved.count() + int(sessions_changed)
 
 
 def replace_days(rows: DataFrame, path: str) -> None:
@@ -109,39 +171,43 @@ def replace_days(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("local_day").parquet(path)
 
 
+#: Rows as they land, with the time of the file that they came in.
+LANDING = StructType([*REQUEST.fields, StructField("landed", TimestampType())])
+
+
 def _one_a_request(rows: DataFrame) -> DataFrame:
-    """A row that comes twice in a day counts once, the copy of the greatest cost."""
-    last = F.max_by(F.struct(*rows.columns), F.struct("cost", "t_ns"))
+    """A row that comes twice in a day counts once, as it landed last."""
+    last = F.max_by(F.struct(*rows.columns), F.struct("landed", "t_ns", "cost"))
     return rows.groupBy("local_day", "id").agg(last.alias("r")).select("r.*")
 
 
-def save_verified(rows: DataFrame, pages: DataFrame, ledger: str, state: str, batch: int) -> None:
+def save_verified(rows: DataFrame, pages: DataFrame, ledger: str, state: str, batch: int, today: str | None = None, zone: str = "UTC") -> None:
     """Replaces the days that verified_days passes and writes their state; other days keep what they had,
     and their rows wait in the state folder for the rest. Each batch's version follows from that of the one
-    before, so a batch that runs again gives the same.
+    before, so a batch that runs again gives the same; {state}/revision/{batch} holds the revision of the data.
     """
     spark = rows.sparkSession
-    before = lambda name: spark.read.schema(REQUEST if name == "held" else DAY_STATE).parquet(f"{state}/{name}/{batch - 1}")
-    rows = rows.select(*REQUEST.fieldNames())
-    held = before("held") if batch else spark.createDataFrame([], REQUEST)
-    alone, both = _one_a_request(rows), _one_a_request(rows.unionByName(held))
+    schemas = {"held": LANDING, "days": DAY_STATE, "revision": "revision long"}
+    read = lambda name, n: spark.read.schema(schemas[name]).parquet(f"{state}/{name}/{n}")
+    before = lambda name: read(name, batch - 1) if batch else spark.createDataFrame([], schemas[name])
+    rows = rows.select(*LANDING.fieldNames())
+    alone, both = _one_a_request(rows), _one_a_request(rows.unionByName(before("held")))
     passed = lambda r: verified_days(r, pages).where("ok").select(F.col("day").alias("local_day"))
     # a whole new pull wins over what an earlier one left behind
     whole = alone.join(passed(alone), "local_day", "left_semi")
     filled = both.join(passed(both), "local_day", "left_semi").join(passed(alone), "local_day", "left_anti")
-    good = whole.unionByName(filled).select(*REQUEST.fieldNames())
-    good.write.mode("overwrite").parquet(f"{state}/good/{batch}")
+    whole.unionByName(filled).select(*REQUEST.fieldNames()).write.mode("overwrite").parquet(f"{state}/good/{batch}")
     good = spark.read.schema(REQUEST).parquet(f"{state}/good/{batch}")
     done = good.select("local_day").distinct()
-    both.join(done, "local_day", "left_anti").select(*REQUEST.fieldNames()).write.mode("overwrite").parquet(f"{state}/held/{batch}")
+    both.join(done, "local_day", "left_anti").select(*LANDING.fieldNames()).write.mode("overwrite").parquet(f"{state}/held/{batch}")
     replace_days(good, ledger)
     counts = good.groupBy(F.col("local_day").alias("d")).agg(F.count("*").alias("row_count"))
-    no = [F.lit(False).alias(c) for c in ("frozen", "identity_pending", "compaction_pending", "metrics_pending")]
+    saved = day_digests(good).join(counts, F.col("day") == F.col("d")).select("day", F.col("digest").alias("fingerprint"), "row_count")
     now = F.unix_micros(F.current_timestamp()) * 1000
-    new = day_digests(good).join(counts, F.col("day") == F.col("d")).select("day", F.col("digest").alias("fingerprint"), "row_count", now.alias("last_sync_ns"), *no)
-    if batch:
-        new = new.unionByName(before("days").join(done, F.col("day") == F.col("local_day"), "left_anti"))
-    new.write.mode("overwrite").parquet(f"{state}/days/{batch}")
+    today = F.lit(today) if today else local_day(now, zone)
+    saved_state(before("days"), saved, now, today, True, zone).write.mode("overwrite").parquet(f"{state}/days/{batch}")
+    last = (before("revision").first() or [0])[0]
+    spark.createDataFrame([(next_revision(last, saved),)], schemas["revision"]).coalesce(1).write.mode("overwrite").parquet(f"{state}/revision/{batch}")
 
 
 def load_stream(
@@ -152,9 +218,9 @@ def load_stream(
     pages gives (day, total) of every page of each day's latest pull, as they are when a batch runs; with it
     only days whose rows are all there are replaced, rows of others are held back for later batches, and
     {state}/days/{batch} has the state of all days (schemas.DAY_STATE). Without it nothing tells whether a
-    day is whole: a batch must hold whole days. A row that comes twice counts once, the copy of the greatest cost.
+    day is whole: a batch must hold whole days. A row that comes twice counts once, as it landed last.
     """
-    source = spark.readStream.schema(REQUEST).json(landing)
+    source = spark.readStream.schema(REQUEST).json(landing).select("*", F.col("_metadata.file_modification_time").alias("landed"))
     if pages is not None and state is None:
         raise ValueError("pages need a folder for the state")
 
@@ -162,7 +228,7 @@ def load_stream(
         if pages is not None:
             save_verified(batch, pages(), ledger, state, number)
         else:
-            replace_days(_one_a_request(batch), ledger)
+            replace_days(_one_a_request(batch).drop("landed"), ledger)
 
     writer = source.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -8,11 +8,11 @@ import pytest
 
 import __spark_entry__
 from ledgerloom.operators import dataset as D
-from ledgerloom.plans import loading, oracle, reports
+from ledgerloom.plans import loading, oracle, quotas, reports
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
-QUERIES = reports.QUERIES | loading.QUERIES
+QUERIES = reports.QUERIES | quotas.QUERIES | loading.QUERIES
 
 
 @pytest.fixture(scope="module")
