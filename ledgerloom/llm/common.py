@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -58,6 +60,21 @@ STEP = 512
 _KINDS = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """df; its session sends Python at most so many rows at a time from now on, as whole texts are long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(df.sparkSession.conf.get(name)) > rows:
+        df.sparkSession.conf.set(name, rows)
+    return df
+
+
+def give_back() -> None:
+    """Return free memory to the system: a worker waits for its next task with what it holds."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have none
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def by_steps(df: DataFrame, run: Callable[[pd.DataFrame], pd.DataFrame], schema: str, step: int = STEP) -> DataFrame:
     """run on frames of at most `step` rows of df, with as many Python objects at once as those need."""
     kind = pa.schema([(name, _KINDS[t]) for name, t in (c.split() for c in schema.split(", "))])
@@ -67,5 +84,6 @@ def by_steps(df: DataFrame, run: Callable[[pd.DataFrame], pd.DataFrame], schema:
             for i in range(0, batch.num_rows, step):
                 out = run(batch.slice(i, step).to_pandas())
                 yield pa.RecordBatch.from_pandas(out, schema=kind, preserve_index=False)
+        give_back()
 
-    return df.mapInArrow(each, schema)
+    return small_batches(df).mapInArrow(each, schema)

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import give_back, small_batches, table
 
 WINDOW = 1024
 #: Words that a task keeps the ids of, at most; about 180 bytes each.
@@ -217,9 +217,11 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
                 yield out()
         if rows:
             yield out()
+        encode.words.clear()
+        give_back()
 
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    return (rows.coalesce(tasks) if tasks else rows).mapInArrow(run, SCHEMA)
+    return small_batches(rows.coalesce(tasks) if tasks else rows).mapInArrow(run, SCHEMA)
 
 
 def fewer_tasks(docs: DataFrame, together: int = 4) -> int:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_steps, fold, table
+from .common import by_steps, fold, give_back, small_batches, table
 from .features import gram_hashes, labelled_sample
 
 BITS = 11
@@ -110,9 +110,10 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
         if sent.value is None:
             return pa.array(np.ones(len(texts)))
         blocks = [sent.value.scores(texts.slice(i, BLOCK).to_pylist()) for i in range(0, len(texts), BLOCK)]
+        give_back()
         return pa.array(np.concatenate([np.zeros(0), *blocks]))
 
-    return docs.withColumn("quality_score", F.arrow_udf(of, "double")(F.col("text")))
+    return small_batches(docs).withColumn("quality_score", F.arrow_udf(of, "double")(F.col("text")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
