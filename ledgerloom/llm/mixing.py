@@ -93,14 +93,16 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
 
     Rows that agree in doc_id, source and size share the copies that the mix gives them.
     """
-    taken = mix(docs, **options).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
-    taken = taken.where("copies > 0").select(F.col("doc_id").alias("i"), F.col("source").alias("s"), F.col("size").alias("n"), "copies", "rows")
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    keyed = docs.select("doc_id", "source", "text", size.alias("size"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    out = keyed.join(taken, F.col("doc_id").eqNullSafe(F.col("i")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("n")))
-    each = F.row_number().over(W.partitionBy("doc_id", "source", "size").orderBy("text"))
+    key = lambda: [F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), F.col("source").isNull(), F.coalesce("source", F.lit(""))]
+    taken = mix(docs, **options).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).where("copies > 0")
+    taken = taken.select(*[c.alias(f"t{i}") for i, c in enumerate(key())], F.col("size").alias("t4"), "copies", "rows")
+    keyed = docs.select(*[c.alias(f"k{i}") for i, c in enumerate(key())], size.alias("k4"), F.xxhash64("text").alias("h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    same = [F.col(f"k{i}") == F.col(f"t{i}") for i in range(5)]
+    # the join's and the window's keys are the same, so that texts are dealt out once
+    each = F.row_number().over(W.partitionBy(*[f"k{i}" for i in range(5)]).orderBy("h"))
     times = F.floor(F.col("copies") / F.col("rows")) + F.when(each <= F.col("copies") % F.col("rows"), 1).otherwise(0)
-    out = out.withColumn("times", times.cast("int"))
+    out = keyed.join(taken, same).withColumn("times", times.cast("int"))
     return out.select("row", F.explode(F.array_repeat(F.lit(1), F.col("times")))).select("row.*")
 
 
