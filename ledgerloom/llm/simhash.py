@@ -1,7 +1,8 @@
 """SimHash near-dedup: 64-bit fingerprints, BK-trees per shard, connected components.
 
-Distinct fingerprints are sharded so that any two within the radius meet in a shard: of radius + 1
-bands of their bits at least one agrees. Each shard's fingerprints form a BK-tree (children keyed by
+Distinct fingerprints are sharded so that any two within the radius meet in a shard: of radius + 2
+bands of their bits at least two agree, and each pair of bands (of some 21 bits) makes a shard, which
+so stays small to a billion fingerprints. Each shard's fingerprints form a BK-tree (children keyed by
 their integer Hamming distance to the parent), and its fingerprints follow only the edges whose
 distance is within the radius of their own to the node. A tree goes to the tasks whose fingerprints
 can reach it, not to every task. Crowded shards are split into several small trees, each of which all
@@ -11,11 +12,12 @@ one edge a member; components over all shards follow from these by alternating s
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_steps, staged, table
@@ -67,11 +69,18 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE, seed: int = SEED) -> Dat
 
 
 def bands(radius: int) -> list[tuple[int, int]]:
-    """(shift, width) of radius + 1 bands of the 64 bits."""
-    edges = np.linspace(0, 64, radius + 2).astype(int)
+    """(shift, width) of radius + 2 bands of the 64 bits."""
+    edges = np.linspace(0, 64, radius + 3).astype(int)
     return [(int(a), int(b - a)) for a, b in zip(edges, edges[1:], strict=False)]
 
 
+def shard_keys(fp: str, radius: int) -> list[Column]:
+    """A long for each pair of bands: two fingerprints within the radius agree in both bands of one pair at least."""
+    pick = lambda a, w: F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << w) - 1))
+    pairs = list(itertools.combinations(bands(radius), 2))
+    return [(F.shiftleft(pick(a, v), w) + pick(b, w)) * len(pairs) + i for i, ((a, v), (b, w)) in enumerate(pairs)]
+
+
 class BKForest:
     """BK-trees of many shards, built and searched level by level with arrays."""
 
@@ -155,9 +164,7 @@ def _shard_edges(codes: np.ndarray, shard: np.ndarray, member: np.ndarray, radiu
 
 def links(distinct: DataFrame, radius: int = RADIUS, tree: int = TREE, block: int = BLOCK) -> DataFrame:
     """Edges (u, v), u > v, that connect exactly the fingerprints (fp) that links within the radius connect."""
-    cut = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << w) - 1)).alias("value")) for i, (a, w) in enumerate(bands(radius))])
-    rows = distinct.select("fp", F.explode(cut).alias("s")).select("fp", (F.col("s.value") * 64 + F.col("s.band")).alias("shard"))
-    rows = staged(rows, "shards")
+    rows = staged(distinct.select("fp", F.explode(F.array(*shard_keys("fp", radius))).alias("shard")), "shards")
     crowded = rows.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > block)
     crowded = staged(crowded.select(F.col("shard").alias("c"), F.ceil(F.col("n") / tree).alias("trees"), F.ceil(F.col("n") / block).alias("blocks")), "crowded")
     groups = max(1, rows.count() // GROUP)
