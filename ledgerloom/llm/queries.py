@@ -16,4 +16,4 @@ QUERIES = {
     "op9_quality": quality.query,
     "op10_substring_dedup": substring.query,
 }
-ORACLES = {"op3_url_filter": urls.ORACLE, "op4_mixing": mixing.ORACLE, "op10_substring_dedup": substring.ORACLE}
+ORACLES = {"op3_url_filter": urls.ORACLE, "op4_mixing": mixing.ORACLE, "op7_exact_top_k": topk.ORACLE, "op10_substring_dedup": substring.ORACLE}

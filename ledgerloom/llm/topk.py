@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import broadcast_if_small, staged, table
 from .vectors import answers, best_lists, classes, norm, queries_of, usable
 
 SCALE = 1024
@@ -139,15 +139,22 @@ def search(vectors: DataFrame, k: int = 10, modulus: int = 100, scale: int = SCA
     blocks = banded.join(sizes, "band").select("band", F.pmod(F.xxhash64("rep"), F.col("parts")).alias("part"), "rep", "v", "length")
     blocks = staged(blocks, "blocks")
     reach = blocks.groupBy("band", "part").agg(F.max("length").alias("reach"))
+    # queries alike in what they can gain from are grouped: by the length that a vector needs to reach their bound
+    need = F.col("bound") / F.greatest("length", F.lit(1e-300))
     groups = max(1, -(-asking.count() // BLOCK))
-    asking = asking.withColumn("g", F.pmod(F.xxhash64("rep"), F.lit(groups)))
-    # each block with the groups of queries; a query leaves out blocks that it can't gain from
+    marks = asking.agg(F.percentile_approx(need, [i / groups for i in range(1, groups)], 20_000)).first()[0] if groups > 1 else []
+    near = F.size(F.filter(F.array(*[F.lit(float(m)) for m in sorted(set(marks))]), lambda m: m < need)) if marks else F.lit(0)
+    sized = asking.withColumn("n", near.cast("long"))
+    crowd = F.broadcast(sized.groupBy("n").agg(F.ceil(F.count("*") / BLOCK).alias("of")))  # a row for each group
+    asking = sized.join(crowd, "n").withColumn("g", F.col("n") * (1 << 20) + F.pmod(F.xxhash64("rep"), F.col("of"))).drop("n", "of")
+    # each query with the blocks that it can gain from, each block with the groups of such queries
     shelf = reach.agg(F.collect_list(F.struct("band", "part", "reach")).alias("b")).first()["b"]
     places = F.from_json(F.lit("[" + ",".join(f'{{"band":{r["band"]},"part":{r["part"]},"reach":{float(r["reach"])!r}}}' for r in shelf) + "]"), "array<struct<band:int,part:long,reach:double>>")
     useful = F.filter(places, lambda b: b["reach"] * F.col("length") * (1 + 1e-9) + 1 >= F.col("bound"))
-    right = asking.select("g", "rep", "v", "bound", F.explode(useful).alias("b")).select(F.col("b.band").alias("band"), F.col("b.part").alias("part"), "g", "rep", "v", "bound")
-    left = blocks.select("band", "part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), "rep", "v").withColumn("g", F.col("g").cast("long"))
-    right = right.withColumn("g", F.col("g").cast("long"))
+    wanted = asking.select("g", "rep", "v", "bound", F.explode(useful).alias("b")).select(F.col("b.band").alias("band"), F.col("b.part").alias("part"), "g", "rep", "v", "bound")
+    right = staged(wanted, "wanted")
+    pairs = staged(right.select("band", "part", "g").distinct(), "pairs")
+    left = blocks.join(broadcast_if_small(pairs, 100_000), ["band", "part"]).select("band", "part", "g", "rep", "v")
 
     def meet(own: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(own) or not len(queries):
@@ -164,3 +171,15 @@ def search(vectors: DataFrame, k: int = 10, modulus: int = 100, scale: int = SCA
 
 def query(spark, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE = """
+WITH sound AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024.0::DOUBLE * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, o.vec_id, list_sum(list_transform(list_zip(q.v, o.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM sound q JOIN sound o ON q.vec_id % 100 = 0 AND o.vec_id <> q.vec_id
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
