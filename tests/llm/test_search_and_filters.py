@@ -70,7 +70,10 @@ def test_neighbours_find_most_and_rank_ties_by_id(spark):
     assert set(got) == set(want) and all(len(v) == 20 for v in got.values())
     hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
     assert hits / (20 * len(want)) >= 0.9
-    assert [i for i, _ in got[0]][:5] == [1, 2, 3, 4, 5] or got[0][0][1] > got[0][-1][1]
+    for best in got.values():  # by score, ties by id
+        assert best == sorted(best, key=lambda x: (-x[1], x[0]))
+    same = [i for i, s in got[0] if abs(s - (x[0] * x[0]).sum()) < 1e-12]
+    assert same == sorted(same)
 
 
 @pytest.mark.parametrize("search", [topk.search, neighbours.search])
@@ -231,9 +234,11 @@ def test_the_ratio_alone_selects_lists():
     c, x = rng.normal(size=(500, 24)), 0.05 * rng.normal(size=(40, 24))
     c /= np.linalg.norm(c, axis=1, keepdims=True)
     graph = neighbours.Graph(c)
-    into = graph.probes(x, np.full(500, 100), 800)
+    row, at = graph.probes(x, 1.3, 8)
+    into = np.zeros((40, 500), bool)
+    into[row, at] = True
     dist = ((x[:, None] - c[None]) ** 2).sum(2)
-    assert (into == ((dist <= 1.35 * dist.min(1, keepdims=True)) | (dist.argsort(1).argsort(1) < 8))).mean() > 0.9999
+    assert (into == (dist <= 1.3 * np.sort(dist, axis=1)[:, 7:8])).mean() > 0.999
     assert into.sum(1).max() > 96
     sizes = rng.integers(0, 300, 500)
     sizes[7] = 5000
@@ -242,8 +247,22 @@ def test_the_ratio_alone_selects_lists():
     assert parts[7] == 5 and (parts[np.arange(500) != 7] == 1).all() and held[group[7]] == 5000 and (np.delete(held, group[7]) <= 1000).all()
 
 
+def test_lists_are_balanced_and_replicated(spark):
+    """One dense heap among vectors without clusters: its list is split."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(4000, 24))
+    x[:800] = x[0] + 0.05 * rng.normal(size=(800, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    told = {}
+    got = grouped(neighbours.search(spark.createDataFrame([(i, v.astype(np.float32).tolist(), 1, 0.0) for i, v in enumerate(x)], VECTORS), told=told))
+    want = brute(x.astype(np.float32).astype(float), np.arange(4000), 20, 20)
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
+    assert hits / (20 * len(want)) >= 0.9
+    assert told["greatest"] <= 2 * told["median"] + 1 and told["replicas"] > 1.3 and told["read"] < 0.7
+
+
 def test_all_lists_in_the_ratio_are_searched(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "PER_CENTROID", 10)
+    monkeypatch.setattr(neighbours, "PER_LIST", 10)
     rows = vectors(n=3000, d=16, seed=5)
     x = np.array([r[1] for r in rows[:3000]], np.float32).astype(float)
     got, want = grouped(neighbours.search(spark.createDataFrame(rows, VECTORS), modulus=100, prune=1e9)), brute(x, np.arange(3000), 20, 100)
