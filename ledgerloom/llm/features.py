@@ -34,9 +34,10 @@ def sample_rate(rows: int, most: int) -> float:
     return 1.0 if rows <= most else most / rows
 
 
-def in_sample(doc_id: Column, rate: float) -> Column:
+def in_sample(doc_id: Column, rate: float | Column) -> Column:
     """The same share of ids on every run."""
-    return F.pmod(F.xxhash64(doc_id.cast("string"), F.lit("sample")), F.lit(1 << 30).cast("long")) < int(rate * (1 << 30))
+    rate = rate if isinstance(rate, Column) else F.lit(float(rate))
+    return F.pmod(F.xxhash64(doc_id.cast("string"), F.lit("sample")), F.lit(1 << 30).cast("long")) < F.floor(rate * (1 << 30))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int | dict[int, int]) -> DataFrame:
@@ -51,7 +52,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int |
         rates = {k: sample_rate(counts.get(k, 0), most[k]) for k in (0, 1)}
     else:
         rates = dict.fromkeys((0, 1), sample_rate(sum(counts.values()), most))
-    bound = sum(most.values()) if isinstance(most, dict) else most
     picked = known.where(F.when(F.col("label") == 1, in_sample(F.col("doc_id"), rates[1])).otherwise(in_sample(F.col("doc_id"), rates[0])))
-    picked = picked.distinct().limit(2 * bound)
+    picked = picked.distinct()  # `most` rows, about
     return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "label"), {k: (counts.get(k, 0), rates[k]) for k in (0, 1)}

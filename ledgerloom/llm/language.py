@@ -15,16 +15,18 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_steps, fold, table
-from .features import gram_hashes, in_sample, sample_rate
+from .common import broadcast_if_small, by_steps, fold, staged, table
+from .features import gram_hashes, in_sample
 
 ORDERS = (1, 2, 3)
 BITS = 14
-#: Bounds of what is learned from: texts of each language, landmarks of each.
+#: Bounds of what is learned from: texts of each language, texts of all (but LEAST of each language), landmarks of
+#: each language and of all. Every language is learned, however many there are.
 PER_LANGUAGE = 500
-LANDMARKS = 32
-MAX_LANGUAGES = 250
 MAX_TEXTS = 4000
+LEAST = 8
+LANDMARKS = 32
+MAX_LANDMARKS = 2048
 RIDGE = 1e-2
 BATCH = 256
 UND = "und"
@@ -57,7 +59,9 @@ class Model:
         languages = sorted(set(langs), key=lambda x: x.encode())
         langs = np.array(langs, dtype=object)
         x = _unit(features)
-        marks = x[np.sort(np.concatenate([np.flatnonzero(langs == k)[:landmarks] for k in languages]))]
+        each = min(landmarks, max(1, MAX_LANDMARKS // len(languages)))
+        at = np.sort(np.concatenate([np.flatnonzero(langs == k)[:each] for k in languages]))
+        marks = x[at[:: -(-len(at) // MAX_LANDMARKS)]]
         values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
         kept = values > 1e-6 * values.max()
         root = vectors[:, kept] / np.sqrt(values[kept])
@@ -80,21 +84,21 @@ class Model:
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     """From texts with a language outside the held-out fold; of each language at most about per_language."""
     known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 0))
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
-    if not counts:
+    counts = staged(known.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    languages = counts.count()
+    if not languages:
         return None
-    per_language = min(per_language, max(8, MAX_TEXTS // len(counts)))
-    keep = F.lit(False)
-    for r in counts:
-        keep |= (F.col("lang") == F.lit(r["lang"])) & in_sample(F.col("doc_id"), sample_rate(r["n"], per_language))
+    per_language = min(per_language, max(LEAST, MAX_TEXTS // languages))
+    rates = counts.select(F.col("lang").alias("of"), F.least(F.lit(1.0), per_language / F.col("n")).alias("rate"))
+    picked = known.join(broadcast_if_small(rates), F.col("lang") == F.col("of")).where(in_sample(F.col("doc_id"), F.col("rate")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             batch = batch[[has_letter(t) for t in batch["text"]]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "lang": batch["lang"], "bits": [np.packbits(presence(t)).tobytes() for t in batch["text"]]})
 
-    rows = known.where(keep).select(F.col("doc_id").cast("long"), "lang", "text").mapInPandas(run, "doc_id long, lang string, bits binary")
-    rows = sorted(rows.limit(2 * per_language * len(counts)).collect(), key=lambda r: (r["doc_id"], r["lang"], bytes(r["bits"])))
+    rows = picked.select(F.col("doc_id").cast("long"), "lang", "text").mapInPandas(run, "doc_id long, lang string, bits binary")
+    rows = sorted(rows.collect(), key=lambda r: (r["doc_id"], r["lang"], bytes(r["bits"])))
     if not rows:
         return None
     features = np.stack([np.unpackbits(np.frombuffer(r["bits"], np.uint8)) for r in rows]).astype(bool)
@@ -108,7 +112,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     learned. Null ids are kept, equal rows are scored each, other columns are ignored, an empty table
     gives an empty result.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_LANGUAGES * LANDMARKS rows of 2**BITS
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_LANDMARKS rows of 2**BITS
 
     def run(batch: pd.DataFrame) -> pd.DataFrame:
         own = sent.value
