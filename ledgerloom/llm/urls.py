@@ -6,7 +6,8 @@ level 2 takes for false, and so on until a level has no false positive. For ever
 the first level that lacks it tells whether it is listed, exactly and without a join.
 
 The levels' size follows the list, not the corpus: level 1 is sized so that it passes about as many
-false keys as there are listed ones. Their bits are literals of the plan, of a checked size.
+false keys as there are listed ones. Their bits are literals of the plan; a list whose literals would be too
+long is split, and each part makes a cascade and a round over the urls of its own.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ RULES = (
     ("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"),
     ("block", "example.net/de/8"), ("block", "org/es/"),
 )
-#: A level's bits, at most; a list that needs more is looked up by a join.
+#: A level's bits, about, at most; a list that needs more is split by a hash, and its parts are looked up in rounds.
 MAX_BITS = 1 << 26
 HASHES = 3
 
@@ -84,18 +85,21 @@ class Cascade:
             known = F.when(self._has(key, level, *self.levels[level]), known).otherwise(F.lit(level % 2 == 1))
         return F.coalesce(known, F.lit(False))
 
+    @staticmethod
+    def bits(n_in: int, n_out: int, first: bool) -> int:
+        """What a level of n_in keys needs."""
+        false = max(n_in / max(n_out, 1), 1e-9) if first else 0.25
+        return max(64, math.ceil(-HASHES * n_in / math.log(1 - min(false, 0.5) ** (1 / HASHES))))
+
     @classmethod
-    def fit(cls, listed: DataFrame, universe: DataFrame, max_bits: int = MAX_BITS) -> Cascade | None:
-        """From (key) tables of distinct keys; None if a level would need more than max_bits."""
+    def fit(cls, listed: DataFrame, universe: DataFrame) -> Cascade:
+        """From (key) tables of distinct keys."""
         others = universe.join(listed, "key", "left_anti")
         levels: list[tuple[int, dict[int, int]]] = []
         inside, outside = listed, others
         n_in, n_out = inside.count(), outside.count()
         while n_in:
-            false = max(n_in / max(n_out, 1), 1e-9) if not levels else 0.25
-            bits = max(64, math.ceil(-HASHES * n_in / math.log(1 - min(false, 0.5) ** (1 / HASHES))))
-            if bits > max_bits:
-                return None
+            bits = cls.bits(n_in, n_out, not levels)
             level = len(levels)
             at = inside.select(F.explode(F.array(*_positions(F.col("key"), level, bits))).alias("p"))
             words = at.groupBy(F.floor(F.col("p") / 64).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 AS INT)))").alias("bits"))
@@ -109,44 +113,49 @@ class Cascade:
 def judge(pages: DataFrame, rules=RULES, max_bits: int = MAX_BITS) -> DataFrame:
     """page_id, host, path, rule, verdict of every row of pages.
 
-    A rule (action, "host/path prefix") fits its host and all subdomains; the longest wins, of equally
-    long ones the first by code point. A url that no rule fits isn't listed: it is allowed, its rule is
-    null. Null urls and urls without "://" have an empty host and path and are allowed. Equal rows are
-    judged each; other columns are ignored; an empty table gives an empty result.
+    rules: pairs (action, "host/path prefix"), or a table (key, action) of any length. A rule fits its host and
+    all subdomains; the longest wins, of equally long ones the first by code point, of one with both actions
+    block. A url that no rule fits isn't listed: it is allowed, its rule is null. Null urls and urls without
+    "://" have an empty host and path and are allowed. Equal rows are judged each; other columns are ignored; an
+    empty table gives an empty result.
     """
     spark = pages.sparkSession
+    table_ = rules if isinstance(rules, DataFrame) else spark.createDataFrame([(r, a) for a, r in rules], "key string, action string")
+    table_ = staged(table_.groupBy("key").agg(F.max_by("action", F.col("action") == "block").alias("action")), "listed")
+    if isinstance(rules, DataFrame):  # a few shapes, however many rules
+        cut = F.instr("key", "/")
+        found = table_.select(F.size(F.split(F.substring("key", F.lit(1), cut - 1), r"\.")).alias("n"), (F.length("key") - cut + 1).alias("m")).distinct()
+        forms = sorted((r["n"], r["m"]) for r in found.collect())
+    else:
+        forms = shapes(rules)
     host, path = parts(F.col("url"))
     urls = pages.select("page_id", host.alias("host"), path.alias("path"))
-    keys = candidates(F.col("host"), F.col("path"), shapes(rules))
-    urls = staged(urls.withColumn("keys", keys), "urls")
+    urls = staged(urls.withColumn("keys", candidates(F.col("host"), F.col("path"), forms)), "urls")
     universe = staged(urls.select(F.explode("keys").alias("key")).distinct(), "url-keys")
-    found = []
-    for action in ("block", "allow"):
-        rows = [(r,) for a, r in dict((r, (a, r)) for a, r in rules).values() if a == action]
-        listed = spark.createDataFrame(rows, "key string").distinct() if rows else None
-        cascade = Cascade.fit(staged(listed, "listed"), universe, max_bits) if rows else Cascade([])
-        if cascade is None:
-            return _joined(urls, rules)
-        found.append((action, cascade))
-    (_, block), (_, allow) = found
-    hits = F.filter(
-        F.transform("keys", lambda k: F.struct(k.alias("key"), F.when(block.lists(k), "block").when(allow.lists(k), "allow").alias("action"))),
-        lambda x: x["action"].isNotNull(),
-    )
-    first = F.try_element_at(hits, F.lit(1))
+    n = table_.count()
+    rounds = min(max(1, -(-Cascade.bits(n, universe.count(), True) // max_bits)), max(1, n))
+    part = lambda key: F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(rounds))
+    urls = urls.withColumn("hits", F.array().cast("array<struct<i:int,key:string,action:string>>"))
+    for k in range(rounds):
+        own = lambda df, k=k: df.where(part("key") == k) if rounds > 1 else df
+        listed, keys = own(table_), own(universe)
+        block, allow = (Cascade.fit(staged(listed.where(F.col("action") == a).select("key"), "part"), keys) for a in ("block", "allow"))
+        each = F.transform("keys", _looked_up(block, allow, part if rounds > 1 else None, k))
+        urls = urls.withColumn("hits", F.concat("hits", F.filter(each, lambda x: x["action"].isNotNull())))
+        if rounds > 1:
+            urls = staged(urls, "url-hits")
+    first = F.try_element_at(F.array_sort("hits"), F.lit(1))
     return urls.select("page_id", "host", "path", first["key"].alias("rule"), F.coalesce(first["action"], F.lit("allow")).alias("verdict"))
 
 
-def _joined(urls: DataFrame, rules) -> DataFrame:
-    """The same for lists too long for literals: the keys are looked up by a join."""
-    listed = urls.sparkSession.createDataFrame([(r, a) for a, r in rules], "key string, action string").dropDuplicates(["key"])
-    rows = urls.withColumn("row_", F.monotonically_increasing_id())
-    rows = staged(rows, "url-rows")
-    hits = rows.select("row_", F.posexplode("keys").alias("i", "key")).join(listed, "key")
-    best = hits.groupBy("row_").agg(F.min(F.struct("i", "key", "action")).alias("hit"))
-    return rows.join(best, "row_", "left").select(
-        "page_id", "host", "path", F.col("hit.key").alias("rule"), F.coalesce("hit.action", F.lit("allow")).alias("verdict")
-    )
+def _looked_up(block: Cascade, allow: Cascade, part, k: int):
+    """(key, its place) -> struct(i, key, action); action is null for keys that aren't listed in part k."""
+
+    def look(key: Column, i: Column) -> Column:
+        action = F.when(block.lists(key), "block").when(allow.lists(key), "allow")
+        return F.struct(i.alias("i"), key.alias("key"), (action if part is None else F.when(part(key) == k, action)).alias("action"))
+
+    return look
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
