@@ -34,6 +34,16 @@ def test_language_scores_are_those_of_kernel_ridge_regression():
     assert np.allclose(got[:, 0], want, atol=2e-3) and np.allclose(got[:, 1], -got[:, 0], atol=2e-3)
 
 
+def test_every_language_is_learned(spark):
+    """More languages than landmarks, each with a script of its own."""
+    rows = [(8 * k + i + 1, "".join(chr(0x4E00 + 40 * k + (7 * i + j) % 40) for j in range(60)), f"l{k:03}") for k in range(300) for i in range(8)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) == 300 and len(model.landmarks) <= language.MAX_LANDMARKS
+    scores = model.scores([t for _, t, _ in rows[::8]])
+    right = sum(model.languages[i] == g for i, (_, _, g) in zip(scores.argmax(1), rows[::8], strict=True))
+    assert right > 270
+
+
 def hashed(text, orders, bits):
     data = text.lower().encode()
     return {int(h) for n in orders for part in gram_hashes(data, n, bits) for h in part}

@@ -102,6 +102,8 @@ def test_urls(spark, options):
         ("http://example.com", ("example.com", "", None, "allow")), ("http://example.com?/en/7", ("example.com", "", None, "allow")), ("http://a://b/en/", ("a:", "//b/en/", None, "allow")),
     ] * 2
     assert judged(spark, [u for u, _ in cases], **options) == {i: want for i, (_, want) in enumerate(cases)}
+    listed = spark.createDataFrame([(r, a) for a, r in urls.RULES], "key string, action string")
+    assert judged(spark, [u for u, _ in cases[:8]], rules=listed, **options) == {i: want for i, (_, want) in enumerate(cases[:8])}
 
 
 def test_cascade_is_exact(spark):
