@@ -2,8 +2,9 @@
 
 The feature of a text is which hashed n-grams of four and five bytes of its lower-cased form it has.
 A feature's scale is the log ratio of its smoothed shares in toxic and other texts; a logistic
-regression on the scaled features gives the weights. Learning takes a bounded sample of each label;
-the intercept is set back to the labels' own proportion.
+regression on the scaled features gives the weights. The features that differ most surely have a weight each,
+all others share one, on the mean of their ratios. Learning takes a bounded sample of each label; the
+intercept is set back to the labels' own proportion.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from .features import gram_hashes, labelled_sample
 
 ORDERS = (4, 5)
 BITS = 20
-#: Bounds of the sample of labelled rows, by label, and the features kept.
+#: Bounds of the sample of labelled rows, by label, and of the features with weights of their own.
 SAMPLE = {0: 8000, 1: 8000}
 FEATURES = 2048
 LEAST_DOCS = 5
@@ -71,11 +72,11 @@ def log_count_ratios(counts: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray,
 
 
 def logistic(x: np.ndarray, scale: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 200) -> tuple[np.ndarray, float]:
-    """Weights on x * scale and an intercept, by accelerated gradient steps. x: uint8 presence."""
+    """Weights on x * scale and an intercept, by accelerated gradient steps."""
     w, b, vw, vb = np.zeros(x.shape[1]), 0.0, np.zeros(x.shape[1]), 0.0
     n = max(1, len(x))
-    xs = x.astype(np.float32)
-    norm = float(np.sqrt((xs * (scale.astype(np.float32) ** 2)).sum(1)).max(initial=1.0)) ** 2
+    xs = x.astype(np.float32, copy=False)
+    norm = 1.0
     probe = np.random.default_rng(0).normal(size=x.shape[1]).astype(np.float32)
     for _ in range(8):  # largest curvature, by power steps
         probe = (xs.T @ (xs @ (probe * scale))) * scale / n
@@ -95,44 +96,65 @@ def logistic(x: np.ndarray, scale: np.ndarray, y: np.ndarray, l2: float = 1.0, s
     return w, b
 
 
+def occurrences(text: str | None, ratio: np.ndarray) -> tuple[np.ndarray, float]:
+    """(feature numbers as they occur, mean of `ratio` over them)."""
+    data = (text or "").lower().encode()
+    found = np.concatenate([np.zeros(0, np.int64), *[h for n in ORDERS for h in gram_hashes(data, n, BITS)]])
+    return found, float(ratio[found].mean()) if len(found) else 0.0
+
+
 class Model:
-    """Features (sorted numbers), their weights in a text's sum, the intercept."""
+    """Features (sorted numbers), their weights in a text's sum, the intercept; the ratios of all other features
+    and the weight that they share."""
 
-    def __init__(self, features: np.ndarray, weights: np.ndarray, intercept: float):
-        self.features, self.weights, self.intercept = features, weights, intercept
+    def __init__(self, features: np.ndarray, weights: np.ndarray, intercept: float, ratio: np.ndarray | None = None, shared: float = 0.0):
+        self.features, self.weights, self.intercept, self.shared = features, weights, intercept, shared
+        self.others = others(ratio, features) if ratio is not None else np.zeros(1 << BITS, np.float32)
         self._table = None
 
     def score(self, text: str | None) -> float:
         if self._table is None:
             self._table = np.zeros(1 << BITS, np.int32)
             self._table[self.features] = np.arange(1, len(self.features) + 1)
-        data, hit = (text or "").lower().encode(), np.zeros(len(self.features) + 1, bool)
-        for n in ORDERS:
-            for h in gram_hashes(data, n, BITS):
-                hit[self._table[h]] = True
-        s = self.intercept + float(self.weights[hit[1:]].sum())
+        found, rest = occurrences(text, self.others)
+        hit = np.zeros(len(self.features) + 1, bool)
+        hit[self._table[found]] = True
+        s = self.intercept + float(self.weights[hit[1:]].sum()) + self.shared * rest
         return float(1 / (1 + np.exp(-np.clip(s, -500, 500))))
 
 
+def others(ratio: np.ndarray, kept: np.ndarray) -> np.ndarray:
+    """The ratios of the features without a weight of their own."""
+    out = ratio.astype(np.float32)
+    out[kept] = 0
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: dict[int, int] = SAMPLE) -> Model:
     rows, known = labelled_sample(docs, labels, label, sample)
     rows = staged(rows.repartition(PARTS), "toxicity-sample")
     counts, texts = _counts(rows)
     ratio, kept = log_count_ratios(counts, texts)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"label": batch["label"], "bits": [np.packbits(np.isin(kept, grams(t), assume_unique=True)).tobytes() for t in batch["text"]]})
+    rest = others(ratio, kept)
+    sent = docs.sparkSession.sparkContext.broadcast(rest)  # 2**BITS numbers
+
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
+        bits = [np.packbits(np.isin(kept, grams(t), assume_unique=True)).tobytes() for t in batch["text"]]
+        return pd.DataFrame({"label": batch["label"], "bits": bits, "rest": [occurrences(t, sent.value)[1] for t in batch["text"]]})
 
-    got = sorted((r["label"], bytes(r["bits"])) for r in rows.mapInPandas(run, "label int, bits binary").collect())
+    got = sorted((r["label"], bytes(r["bits"]), r["rest"]) for r in by_steps(rows, run, "label int, bits binary, rest double").collect())
     y = np.array([r[0] for r in got], float)
     if len(set(y)) < 2:  # nothing to tell apart
         share = (y.sum() + 0.5) / (len(y) + 1)
         return Model(kept[:0], np.zeros(0), float(np.log(share / (1 - share))) if len(y) else 0.0)
-    x = np.stack([np.unpackbits(np.frombuffer(r[1], np.uint8), count=len(kept)) for r in got])
-    w, b = logistic(x, ratio[kept], y)
+    x = np.empty((len(got), len(kept) + 1), np.float32)
+    for i, r in enumerate(got):
+        x[i, :-1] = np.unpackbits(np.frombuffer(r[1], np.uint8), count=len(kept))
+        x[i, -1] = r[2]
+    w, b = logistic(x, np.append(ratio[kept], 1.0), y)
     prior = np.log(max(known[1][1], 1e-9) / max(known[0][1], 1e-9))  # how much more often label 1 was sampled
-    return Model(kept, w * ratio[kept], b - float(prior))
+    return Model(kept, w[:-1] * ratio[kept], b - float(prior), ratio, float(w[-1]))
 
 
 def classify(docs: DataFrame, model: Model) -> DataFrame:
@@ -141,7 +163,7 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
     Null and empty texts get the score of no feature at all. Null ids are kept, equal rows are scored
     each, other columns are ignored, an empty table gives an empty result.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES weights at most
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS ratios, FEATURES weights at most
 
     def run(batch: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"doc_id": batch["doc_id"], "score": np.array([sent.value.score(t if isinstance(t, str) else None) for t in batch["text"]], float)})
