@@ -13,13 +13,14 @@ SALTS = 32
 
 def usable(vectors: DataFrame, nonzero: bool) -> DataFrame:
     """(vec_id long, v array<double>) of vectors without null or non-finite components, all of the
-    most frequent length (of equally frequent ones the longest). Null ids take no part."""
+    most frequent length (of equally frequent ones the longest). Null ids take no part, nor do vectors so
+    large that the sum of their squares overflows a double."""
     v = F.col("embedding").cast("array<double>")
     sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).where(sound)
     if nonzero:
         rows = rows.where(F.exists("v", lambda x: x != 0))
-    rows = staged(rows, "vectors")
+    rows = staged(rows.where(norm(F.col("v")) < F.lit(float("inf"))), "vectors")
     common = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
     return rows.where(F.size("v") == common["d"]) if common else rows
 
