@@ -105,20 +105,32 @@ def row_sessions(rows: DataFrame, metadata: DataFrame) -> DataFrame:
     """
     codex = F.col("agent") == "codex"
     kind = F.when(~codex | (F.col("role") == ""), "blank").otherwise(F.col("role"))
-    event = lambda id_, kind, sub, parent, root, counts: F.struct(id_.alias("sid"), kind.alias("kind"), F.lit(sub).alias("sub"), parent.alias("parent"), root.alias("root"), F.lit(counts).alias("acts"))
-    blank = F.lit("")
-    acting = event(F.col("actor_id"), kind, 1, F.when(kind == "subagent", F.col("parent_agent")).otherwise(blank), F.when(kind == "main", F.col("actor_id")).when(kind == "subagent", F.col("session")).otherwise(blank), True)
-    naming = F.when(codex & (F.col("role") == "subagent") & (F.col("session") != ""), event(F.col("session"), F.lit("root"), 0, blank, F.col("session"), False))
+    blank, actor, session = F.lit(""), F.col("actor_id"), F.col("session")
+
+    def event(of: Column, kind: Column, sub: int, parent: Column, root: Column) -> Column:
+        """What a row says of a session; sub: 1 if it is the session's own request."""
+        parts = {"sid": of, "kind": kind, "sub": F.lit(sub), "parent": parent, "root": root, "acts": F.lit(sub == 1)}
+        return F.struct(*[c.alias(n) for n, c in parts.items()])
+
+    parent = F.when(kind == "subagent", F.col("parent_agent")).otherwise(blank)
+    root = F.when(kind == "main", actor).when(kind == "subagent", session).otherwise(blank)
+    acting = event(actor, kind, 1, parent, root)
+    naming = F.when(codex & (F.col("role") == "subagent") & (session != ""), event(session, F.lit("root"), 0, blank, session))
     ev = rows.withColumn("ev", F.explode(F.array_compact(F.array(acting, naming)))).where(F.col("ev.sid") != "")
     ev = ev.withColumns({"sid": F.col("ev.sid"), "ord": F.struct("t_ns", "id", "ev.sub"), "of": F.struct("ev.kind", "ev.parent", "ev.root", "project")})
     acts = F.col("ev.acts")
-    told = lambda *kinds: F.min_by(F.when(F.col("ev.kind").isin(*kinds), F.col("of")), F.when(F.col("ev.kind").isin(*kinds), F.col("ord")))
+
+    def told(*kinds: str) -> Column:
+        wanted = F.col("ev.kind").isin(*kinds)
+        return F.min_by(F.when(wanted, F.col("of")), F.when(wanted, F.col("ord")))
+
     counted = acts & ~(codex & (F.col("ev.kind") == "unknown"))
     grouped = ev.groupBy("agent", "sid").agg(
         F.min_by("of", "ord").alias("first_event"), told("main", "subagent").alias("told"), told("main", "subagent", "root").alias("told_or_named"),
         F.max(acts).alias("has_rows"), F.min(F.when(counted, F.col("t_ns"))).alias("first_usage"), F.max(F.when(counted, F.col("t_ns"))).alias("last_usage"), *sums(ADDITIVE, counted),
     )
-    meta = metadata.select(F.col("agent").alias("ma"), F.col("id").alias("mi"), F.col("project").alias("m_project"), "title", "nickname", "start_ns", "last_ns", F.col("role").alias("mr"), F.col("parent_session").alias("mp"), F.col("root_session").alias("mroot"))
+    names = {"agent": "ma", "id": "mi", "project": "m_project", "role": "mr", "parent_session": "mp", "root_session": "mroot"}
+    meta = metadata.select(*[F.col(c).alias(n) for c, n in names.items()], "title", "nickname", "start_ns", "last_ns")
     s = grouped.join(meta, (F.col("agent") == F.col("ma")) & (F.col("sid") == F.col("mi")), "left")
     known = F.col("mi").isNotNull()
     first, mr = F.col("first_event.kind"), F.coalesce("mr", F.lit(""))

@@ -10,6 +10,8 @@ from .measures import ADDITIVE, sums
 from .staging import staged
 
 KEY = ["agent", "session_id", "thread_id"]
+#: The order of rows within the data set.
+ORDER = ("t_ns", "agent", "resolved_id", "subagent", "provider", "model", "effort", "id")
 
 
 def routed(rows: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -21,15 +23,17 @@ def routed(rows: DataFrame, sessions: DataFrame) -> DataFrame:
     s = sessions.select(F.col("agent").alias("sa"), F.col("id").alias("si"), F.col("role").alias("s_role"), F.col("project").alias("s_project"))
     rows = rows.join(s, (F.col("agent") == F.col("sa")) & (F.col("resolved_id") == F.col("si"))).drop("sa", "si")
     codex = sessions.where(F.col("agent") == "codex")
-    actor = codex.select(F.col("id").alias("actor"), F.col("root_session").alias("a_root"), F.col("parent_session").alias("a_parent"), F.col("title").alias("a_title"), F.col("nickname").alias("a_nick"), F.col("project").alias("a_project"))
+    names = {"id": "actor", "root_session": "a_root", "parent_session": "a_parent", "title": "a_title", "nickname": "a_nick", "project": "a_project"}
+    actor = codex.select(*[F.col(c).alias(n) for c, n in names.items()])
     is_codex, role = F.col("agent") == "codex", F.col("role")
     sub = is_codex & (role == "subagent")
     rows = rows.join(actor, sub & (F.col("subagent") == F.col("actor")), "left")
     root = F.coalesce("a_root", F.lit(""))
     anchor = F.when(F.col("session") != "", F.col("session")).when(root != "", root).otherwise(F.col("subagent"))
     # requests that look a thread up: by their session id
-    seeks = F.when(is_codex & (role == "unknown"), F.when(F.col("session") != "", F.col("session")).otherwise(F.col("resolved_id"))).when(is_codex & (role == "") & (F.col("s_role") != ""), F.col("resolved_id"))
-    rows = rows.withColumns({"anchor": F.when(sub, anchor), "seeks": seeks, "ord": F.struct("t_ns", "agent", "resolved_id", "subagent", "provider", "model", "effort", "id")})
+    lost = F.when(F.col("session") != "", F.col("session")).otherwise(F.col("resolved_id"))
+    seeks = F.when(is_codex & (role == "unknown"), lost).when(is_codex & (role == "") & (F.col("s_role") != ""), F.col("resolved_id"))
+    rows = rows.withColumns({"anchor": F.when(sub, anchor), "seeks": seeks, "ord": F.struct(*ORDER)})
     told = F.when(sub, F.array_distinct(F.array("anchor", "subagent"))).when(F.col("seeks").isNotNull(), F.array("seeks"))
     looks = rows.select("id", "ord", "anchor", "seeks", F.explode(told).alias("of"))
     start = codex.select(F.col("id").alias("of"), F.when((F.col("role") == "subagent") & (F.col("root_session") != ""), F.col("root_session")).otherwise(F.col("id")).alias("start"))
@@ -40,40 +44,70 @@ def routed(rows: DataFrame, sessions: DataFrame) -> DataFrame:
     seen = seen.join(start, "of", "left").select(F.col("id").alias("seeker"), F.coalesce("latest", "start").alias("mapped"))
     rows = rows.join(seen, F.col("id") == F.col("seeker"), "left").drop("seeker")
     claude_sub = (F.col("agent") == "claude") & (F.col("subagent") != "")
-    session_id = F.when(is_codex & (role == "main"), F.col("session")).when(sub, F.col("anchor")).when(F.col("seeks").isNotNull(), F.coalesce("mapped", "seeks")).otherwise(F.col("resolved_id"))
-    thread_id = F.when(claude_sub, F.col("subagent")).when(is_codex & (role == "main"), F.col("session")).when(sub, F.col("subagent")).when(F.col("seeks").isNotNull(), F.col("seeks")).otherwise(F.col("resolved_id"))
+    is_main, sought, own = is_codex & (role == "main"), F.col("seeks").isNotNull(), F.col("resolved_id")
+    session_id = F.when(is_main, F.col("session")).when(sub, F.col("anchor")).when(sought, F.coalesce("mapped", "seeks")).otherwise(own)
+    thread_id = F.when(claude_sub | sub, F.col("subagent")).when(is_main, F.col("session")).when(sought, F.col("seeks")).otherwise(own)
     legacy = is_codex & (role == "") & F.col("kind").isin(*SUBAGENT_KINDS)
     bucket = F.when(F.col("seeks").isNotNull(), "unknown").when(legacy, "legacy").otherwise("own")
     return rows.withColumns({"session_id": session_id, "thread_id": thread_id, "bucket": bucket, "claude_sub": claude_sub, "codex_sub": sub})
 
 
+def _claims(rows: DataFrame, n: int, type_, session, thread, order=None, title="", nickname="", project=None, parent="") -> DataFrame:
+    """What rows say of a thread. n and order tell which claim comes first; blank fields say nothing."""
+    column = lambda x: F.lit(x) if isinstance(x, str) else x
+    none = F.struct(F.lit("").alias("kind"), F.lit("").alias("path"), F.lit("").alias("name"))
+    start = F.struct(*[F.lit(0).cast("long").alias(c) if c in ("t_ns", "id") else F.lit("").alias(c) for c in ORDER])
+    return rows.select(
+        "agent",
+        session.alias("session_id"),
+        thread.alias("thread_id"),
+        column(type_).alias("type"),
+        column(title).alias("title"),
+        column(nickname).alias("nickname"),
+        (none if project is None else project).alias("project"),
+        column(parent).alias("parent"),
+        F.struct(F.lit(n).alias("n"), (start if order is None else order).alias("o")).alias("ord"),
+    )
+
+
+def _claimed(routed_rows: DataFrame, sessions: DataFrame) -> DataFrame:
+    """All claims: of the sessions, of the roots they name, and of the rows."""
+    session, thread, order, blank = F.col("session_id"), F.col("thread_id"), F.col("ord"), F.lit("")
+    root, own = F.col("root_session"), F.col("id")
+    is_codex = F.col("agent") == "codex"
+    is_sub = is_codex & (F.col("role") == "subagent")
+    kind = F.when(is_sub, "subagent").when(is_codex & (F.col("role") == "unknown"), "unknown").otherwise("main")
+    above = F.when(is_sub & (root != ""), root).otherwise(own)
+    parent = F.when(is_sub, F.col("parent_session")).otherwise("")
+    of_sessions = _claims(sessions, 0, kind, above, own, title=F.col("title"), nickname=F.col("nickname"), project=F.col("project"), parent=parent)
+    of_roots = _claims(sessions.where(is_sub & (root != "")), 1, "main", root, root).distinct()
+
+    title, nickname = F.coalesce("a_title", blank), F.coalesce("a_nick", blank)
+    project = F.when(F.col("claude_sub"), F.col("s_project")).when(F.col("actor").isNotNull(), F.col("a_project")).otherwise(F.col("project"))
+    of_subs = _claims(routed_rows.where("claude_sub OR codex_sub"), 2, "subagent", session, thread, order, title, nickname, project)
+    anchored = F.col("codex_sub") & (session != thread)
+    of_mains = _claims(routed_rows.where(is_codex & ((F.col("role") == "main") | anchored)), 2, "main", session, session, order)
+    of_lost = _claims(routed_rows.where("seeks IS NOT NULL AND mapped IS NULL"), 2, "unknown", session, thread, order)
+    return of_sessions.unionByName(of_roots).unionByName(of_subs).unionByName(of_mains).unionByName(of_lost)
+
+
 def threads(routed_rows: DataFrame, sessions: DataFrame) -> DataFrame:
     """A row per thread: type, title, nickname, project, parent. What comes first in order wins."""
-    s = sessions.withColumn("root", F.when(F.col("root_session") != "", F.col("root_session")).otherwise(F.col("id")))
-    is_sub = (F.col("agent") == "codex") & (F.col("role") == "subagent")
-    kind = F.when(is_sub, "subagent").when((F.col("agent") == "codex") & (F.col("role") == "unknown"), "unknown").otherwise("main")
-    blank = F.lit("")
-    none = F.struct(blank.alias("kind"), blank.alias("path"), blank.alias("name"))
-    zero = F.struct(F.lit(0).cast("long").alias("t_ns"), *[blank.alias(c) for c in ("agent", "resolved_id", "subagent", "provider", "model", "effort")], F.lit(0).cast("long").alias("id"))
-    ordered = lambda n, o: F.struct(F.lit(n).alias("n"), o.alias("o"))
-    of = ["type", "title", "nickname", "project", "parent", "ord"]
-    own = s.select("agent", F.when(is_sub, F.col("root")).otherwise(F.col("id")).alias("session_id"), F.col("id").alias("thread_id"), kind.alias("type"), "title", "nickname", "project", F.when(is_sub, F.col("parent_session")).otherwise("").alias("parent"), ordered(0, zero).alias("ord"))
-    roots = s.where(is_sub & (F.col("root_session") != "")).select("agent", F.col("root_session").alias("session_id"), F.col("root_session").alias("thread_id"), F.lit("main").alias("type"), blank.alias("title"), blank.alias("nickname"), none.alias("project"), blank.alias("parent"), ordered(1, zero).alias("ord")).distinct()
-    r = routed_rows
-    sub = r.where("claude_sub OR codex_sub").select(*KEY, F.lit("subagent").alias("type"), F.coalesce("a_title", blank).alias("title"), F.coalesce("a_nick", blank).alias("nickname"), F.when(F.col("claude_sub"), F.col("s_project")).when(F.col("actor").isNotNull(), F.col("a_project")).otherwise(F.col("project")).alias("project"), blank.alias("parent"), ordered(2, F.col("ord")).alias("ord"))
-    main = r.where((F.col("agent") == "codex") & ((F.col("role") == "main") | (F.col("codex_sub") & (F.col("session_id") != F.col("thread_id"))))).select("agent", "session_id", F.col("session_id").alias("thread_id"), F.lit("main").alias("type"), blank.alias("title"), blank.alias("nickname"), none.alias("project"), blank.alias("parent"), ordered(2, F.col("ord")).alias("ord"))
-    lost = r.where(F.col("seeks").isNotNull() & F.col("mapped").isNull()).select(*KEY, F.lit("unknown").alias("type"), blank.alias("title"), blank.alias("nickname"), none.alias("project"), blank.alias("parent"), ordered(2, F.col("ord")).alias("ord"))
-    every = own.unionByName(roots).unionByName(sub).unionByName(main).unionByName(lost).select(*KEY, *of)
-    first = lambda c: F.coalesce(F.min_by(F.when(F.col(c) != "", F.col(c)), F.when(F.col(c) != "", F.col("ord"))), blank)
+    first = lambda c: F.coalesce(F.min_by(F.when(F.col(c) != "", F.col(c)), F.when(F.col(c) != "", F.col("ord"))), F.lit(""))
     found = F.col("project.kind") != "unknown"
-    out = every.groupBy(*KEY).agg(
-        F.min_by("type", "ord").alias("type"), F.max(F.col("type") == "main").alias("a_main"), first("title").alias("title"), first("nickname").alias("nickname"),
-        F.coalesce(F.min_by(F.when(found, F.col("project")), F.when(found, F.col("ord"))), F.min_by("project", "ord")).alias("project"), first("parent").alias("parent"),
-    )
+    project = F.min_by(F.when(found, F.col("project")), F.when(found, F.col("ord")))
+    out = _claimed(routed_rows, sessions).groupBy(*KEY).agg(
+        F.min_by("type", "ord").alias("type"),
+        F.max(F.col("type") == "main").alias("a_main"),
+        first("title").alias("title"),
+        first("nickname").alias("nickname"),
+        F.coalesce(project, F.min_by("project", "ord")).alias("project"),
+        first("parent").alias("parent"),
+    )
     out = out.withColumn("type", F.when((F.col("type") == "unknown") & F.col("a_main"), "main").otherwise(F.col("type"))).drop("a_main")
-    given = parents(r).select(F.col("agent").alias("pa"), F.col("session_id").alias("ps"), F.col("thread_id").alias("pt"), F.col("parent").alias("given"))
-    out = out.join(given, (F.col("agent") == F.col("pa")) & (F.col("session_id") == F.col("ps")) & (F.col("thread_id") == F.col("pt")), "left")
-    return out.withColumn("parent", F.coalesce("given", "parent")).drop("pa", "ps", "pt", "given")
+    given = parents(routed_rows).select(*[F.col(k).alias(f"g_{k}") for k in KEY], F.col("parent").alias("given"))
+    same = [F.col(k) == F.col(f"g_{k}") for k in KEY]
+    return out.join(given, same, "left").withColumn("parent", F.coalesce("given", "parent")).drop("given", *[f"g_{k}" for k in KEY])
 
 
 def parents(routed_rows: DataFrame) -> DataFrame:

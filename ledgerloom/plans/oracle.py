@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .reports import FIRST, ZONES
+from .reports import ZONES
 
 _LEDGER = """
 ev AS (
@@ -152,7 +152,7 @@ base AS (
   FROM made d LEFT JOIN tot t ON t.agent = d.agent AND t.sid = d.sid LEFT JOIN acts a ON a.agent = d.agent AND a.sid = d.sid
 ), onlymeta AS (
   SELECT m.agent, m.id, TRUE AS matched, title, nickname, role, parent_session, root_session, kind, path, name, last_ns, FALSE AS has_rows, NULL::BIGINT AS first_usage, NULL::BIGINT AS last_usage, NOTHING
-  FROM meta m WHERE agent <> 'codex' AND last_ns IS NOT NULL AND strftime(make_timestamp(last_ns // 1000), '%Y-%m-%d') BETWEEN 'DAY1' AND 'DAY2' AND AGENTS
+  FROM meta m WHERE agent <> 'codex' AND last_ns IS NOT NULL AND strftime(make_timestamp(last_ns // 1000), '%Y-%m-%d') BETWEEN DAY1 AND DAY2 AND AGENTS
     AND NOT EXISTS (SELECT 1 FROM rowses r WHERE r.agent = m.agent AND r.id = m.id)
 ), every AS (SELECT * FROM rowses UNION ALL BY NAME SELECT * FROM onlymeta
 ), roots AS (SELECT DISTINCT root_session AS root FROM every WHERE agent = 'codex' AND role = 'subagent' AND root_session <> ''
@@ -165,7 +165,7 @@ base AS (
 )"""
 
 
-def _sessions(first: str = "0000-01-01", last: str = "9999-12-31", agents: str = "TRUE") -> str:
+def _sessions(first: str = "'0000-01-01'", last: str = "'9999-12-31'", agents: str = "TRUE") -> str:
     nothing = ", ".join(f"0::{'DECIMAL(38, 10)' if n == 'cost_sum' else 'BIGINT'} AS {n}" for n in _NAMES)
     text = _SESSIONS.replace("SUMS", _sums()).replace("ZEROS", _zeros()).replace("NOTHING", nothing)
     return text.replace("DAY1", first).replace("DAY2", last).replace("AGENTS", agents)
@@ -284,6 +284,13 @@ def _top(prefix: str, mod: int, keep: int) -> str:
     return _TOP.replace("PREFIX", prefix).replace("MOD", str(mod)).replace("KEEP", str(keep))
 
 
+
+
+def _day(n: int) -> str:
+    """So many days after the first of the ledger."""
+    return f"(SELECT strftime(min(local_day)::DATE + {n}, '%Y-%m-%d') FROM led)"
+
+
 _LABEL = "coalesce(first({name} ORDER BY pos) FILTER ({name} <> '' AND {name} <> {key}), {key})"
 
 ORACLES = {
@@ -308,8 +315,8 @@ ORACLES = {
     "decode_samples": _with(f"SELECT id, tokens, win AS window_ms FROM ({_OWN})"),
     "request_decode_samples": _with(f"SELECT id, tokens, win AS window_ms FROM ({_METRIC})"),
     "metadata_merge": _with("SELECT * FROM meta0", _META),
-    "metadata_only_sessions": _with("SELECT agent, id, title, kind, path, name, last_ns // 1000000 AS last_ms, has_rows FROM onlymeta", _META, _rows(f"local_day BETWEEN '{FIRST}' AND '2024-01-30'"), _sessions(FIRST, "2024-01-30")),
-    "supplemental_roots": _with("SELECT agent, id, role, root_session, kind, path, last_ns // 1000000 AS last_ms FROM sess WHERE agent = 'codex' AND NOT has_rows", _META, _rows("local_day = '2024-01-10' AND ((provider = 'p1' AND model_name = 'm3') OR (provider = 'p0' AND model_name = 'm1'))"), _sessions("2024-01-10", "2024-01-10", "FALSE")),
+    "metadata_only_sessions": _with("SELECT agent, id, title, kind, path, name, last_ns // 1000000 AS last_ms, has_rows FROM onlymeta", _META, _rows(f"local_day >= {_day(4)}"), _sessions(_day(4), "(SELECT max(local_day) FROM led)")),
+    "supplemental_roots": _with("SELECT agent, id, role, root_session, kind, path, last_ns // 1000000 AS last_ms FROM sess WHERE agent = 'codex' AND NOT has_rows", _META, _rows(f"local_day = {_day(9)} AND ((provider = 'p1' AND model_name = 'm3') OR (provider = 'p0' AND model_name = 'm1'))"), _sessions(_day(9), _day(9), "FALSE")),
     "thread_usage": _with(f"SELECT agent, session_id, thread_id, bucket, first_usage // 1000000 AS first_usage_ms, last_usage // 1000000 AS last_usage_ms, {_VIEW} FROM (SELECT agent, session_id, thread_id, bucket, min(t_ns) AS first_usage, max(t_ns) AS last_usage, {_sums()} FROM rt GROUP BY 1, 2, 3, 4)", *_threads()),
     "thread_parents": _with("SELECT agent, session_id, thread_id, type, title, nickname, kind, path, parent FROM th", *_threads()),
     "thread_descendants": _with("SELECT * FROM reach WHERE top <> thread_id", *_threads()),

@@ -16,7 +16,6 @@ from ..sources import derived
 from ..sources.tables import tables
 
 VIEW = ("calls", "errors", "retried", "input", "output", "cache_read", "cache_write", "cache_write_1h", "reasoning", "unpriced", "decode_n", "cost", "total", "cache_hit_rate", "output_speed")
-FIRST, LAST = "2024-01-05", "2024-01-20"
 
 
 class Ledger:
@@ -169,11 +168,18 @@ def agent_filter(spark, sf_dir) -> DataFrame:
     return model_distribution(spark, sf_dir, D.Scope(agents=("claude-desktop", "gemini")))
 
 
+def _span(spark, sf_dir, after: int, before: int) -> tuple[str, str]:
+    """So many days after the first day of the ledger and after its last; the whole ledger if it is empty."""
+    ends = tables(spark, sf_dir).usage().agg(F.min("local_day"), F.max("local_day")).first()
+    if ends[0] is None:
+        return D.Scope.first, D.Scope.last
+    a, b = ((date.fromisoformat(d) + timedelta(days=n)).isoformat() for d, n in zip(ends, (after, before), strict=True))
+    return min(a, b), max(a, b)
+
+
 def day_range(spark, sf_dir) -> DataFrame:
     """All but the first and last days of the ledger: a filter on the table's partitions."""
-    a, b = tables(spark, sf_dir).usage().agg(F.min("local_day"), F.max("local_day")).first()
-    days = lambda d, n: (date.fromisoformat(d) + timedelta(days=n)).isoformat()
-    return model_distribution(spark, sf_dir, D.Scope(days(a, 4), days(b, -10)))
+    return model_distribution(spark, sf_dir, D.Scope(*_span(spark, sf_dir, 4, -10)))
 
 
 def model_pair_filter(spark, sf_dir) -> DataFrame:
@@ -210,13 +216,14 @@ def metadata_merge(spark, sf_dir) -> DataFrame:
 
 
 def metadata_only_sessions(spark, sf_dir) -> DataFrame:
-    ledger = Ledger(spark, sf_dir, D.Scope(FIRST, "2024-01-30"))
+    ledger = Ledger(spark, sf_dir, D.Scope(*_span(spark, sf_dir, 4, 0)))
     return _session_view(D.metadata_only(D.row_sessions(ledger.rows, ledger.metadata), ledger.metadata, ledger.scope)).select("agent", "id", "title", "kind", "path", "name", "last_ms", "has_rows")
 
 
 def supplemental_roots(spark, sf_dir) -> DataFrame:
     """Sessions without rows that only their children name, for two models on one day."""
-    ledger = Ledger(spark, sf_dir, D.Scope("2024-01-10", "2024-01-10", models=(("p1", "m3"), ("p0", "m1"))))
+    day = _span(spark, sf_dir, 9, 0)[0]
+    ledger = Ledger(spark, sf_dir, D.Scope(day, day, models=(("p1", "m3"), ("p0", "m1"))))
     every = ledger.sessions()
     return _session_view(every).where("agent = 'codex' AND NOT has_rows").select("agent", "id", "role", "root_session", "kind", "path", "last_ms")
 
@@ -357,9 +364,10 @@ def tool_usage_days(spark, sf_dir, days: int = 7) -> DataFrame:
 def session_page(spark, sf_dir) -> DataFrame:
     """Sessions by cost, largest first and those without rows last; page 2 of six."""
     s = _session_view(Ledger(spark, sf_dir).sessions())
-    key = F.when(F.col("has_rows"), F.col("cost"))
-    n = F.row_number().over(W.orderBy(key.desc_nulls_last(), "agent", "id"))
-    return s.select("agent", "id", "has_rows", key.alias("sort_cost"), n.alias("position")).where("position BETWEEN 7 AND 12")
+    s = s.select("agent", "id", "has_rows", F.when(F.col("has_rows"), F.col("cost")).alias("sort_cost"))
+    order = [F.desc_nulls_last("sort_cost"), "agent", "id"]
+    n = F.row_number().over(W.orderBy(*order))  # two pages
+    return s.orderBy(*order).limit(12).withColumn("position", n).where("position >= 7")
 
 
 def session_table(spark, sf_dir) -> DataFrame:
