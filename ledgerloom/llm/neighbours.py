@@ -31,7 +31,7 @@ REPLICAS = 4
 DEGREE = 24
 #: Squared distances are compared: a boundary vector's further lists to its nearest, a query's lists to its BASE-th.
 BOUNDARY = 1.3
-PRUNE = 1.3
+PRUNE = 1.35
 BASE = 8
 #: Rounds in which lists of more than UNEVEN times the median are split; the last deals them out by hash.
 UNEVEN = 2
