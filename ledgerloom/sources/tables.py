@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import dataset as D
@@ -30,8 +33,13 @@ class Tables:
 
 
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
-    """Those of a folder, loaded from its events once in an application."""
+    """Those of a folder, loaded from its events once in an application, and again if they are gone."""
     key = (spark.sparkContext.applicationId, sf_dir)
+    if key in _loaded:
+        try:
+            _loaded[key].usage()
+        except AnalysisException:  # no such path
+            del _loaded[key]
     if key not in _loaded:
-        _loaded[key] = Tables(spark, sf_dir, f"{shared_dir(spark)}/tables-{len(_loaded)}")
+        _loaded[key] = Tables(spark, sf_dir, f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}")
     return _loaded[key]

@@ -135,3 +135,16 @@ def test_enriching_then_scoping_is_what_usage_rows_gives(spark):
     a = D.usage_rows(rows, meta, scope).select("id").collect()
     b = reports.Ledger(spark, SF, scope).rows.select("id").collect()
     assert sorted(a) == sorted(b)
+
+
+@needs_tables
+def test_tables_that_are_gone_are_loaded_again(spark):
+    import shutil
+
+    from ledgerloom.sources.tables import tables
+
+    first = tables(spark, SF)
+    assert tables(spark, SF) is first
+    shutil.rmtree(first.path.removeprefix("file:"))
+    again = tables(spark, SF)
+    assert again.path != first.path and again.usage().count() > 0
