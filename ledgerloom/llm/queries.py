@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language, mixing, neighbours, packing, quality, simhash, substring, topk, toxicity, urls
+from . import language, lines, mixing, neighbours, packing, phrases, quality, simhash, substring, topk, toxicity, urls, whitening
 
 QUERIES = {
     "op1_posting_lists": neighbours.query,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_packing": packing.query,
     "op9_quality": quality.query,
     "op10_substring_dedup": substring.query,
+    "op11_line_dedup": lines.query,
+    "op12_collocations": phrases.query,
+    "op13_whitening": whitening.query,
 }
-ORACLES = {"op3_url_filter": urls.ORACLE, "op4_mixing": mixing.ORACLE, "op7_exact_top_k": topk.ORACLE, "op10_substring_dedup": substring.ORACLE}
+ORACLES = {"op3_url_filter": urls.ORACLE, "op4_mixing": mixing.ORACLE, "op7_exact_top_k": topk.ORACLE, "op10_substring_dedup": substring.ORACLE, "op11_line_dedup": lines.ORACLE, "op12_collocations": phrases.ORACLE}
