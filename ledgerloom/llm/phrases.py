@@ -41,7 +41,7 @@ UNKNOWN = "und"
 #: Bits of a bitmap at most (32 MB).
 FILTER = 1 << 28
 #: Tokens that a task counts at once, about.
-BLOCK = 1 << 20
+BLOCK = 1 << 21
 SALTS = 64
 _CLEAN = bytes(10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 _END = b"\n"
@@ -109,7 +109,7 @@ def _mixed(h: np.ndarray, more: np.ndarray) -> np.ndarray:
 
 def _summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(where each distinct key stands first, its weight in all, for each key the number of its kind)."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     new = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1])) if len(keys) else np.zeros(0, np.int64)
     kind = np.empty(len(keys), np.int64)
     kind[order] = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(keys))))
@@ -147,9 +147,12 @@ class Block:
 
     def distinct(self, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(a place of each distinct phrase of n words at `at`, its weight)."""
-        key = self.lang[at]
+        key, most = self.lang[at], len(self.langs)
         for j in range(n):
-            first, weight, key = _summed(key * len(self.words) + self.word[at + j], self.weight[at])
+            if most * len(self.words) >= 1 << 62:
+                key, most = _summed(key, self.weight[at])[2], len(at)
+            key, most = key * len(self.words) + self.word[at + j], most * len(self.words)
+        first, weight, _ = _summed(key, self.weight[at])
         return at[first], weight
 
     def known(self, n: int, bitmap: np.ndarray) -> np.ndarray:
@@ -219,17 +222,15 @@ def frequent(parsed: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFram
     """((lang, phrase, words, f) of phrases of 1 to 4 words with at least `least` occurrences, (lang, n) with all words)."""
     ones = _hashed(parsed, 1, None, least)
     twos = _hashed(parsed, 2, ones, least)
-    one, two = _bitmap(ones), _bitmap(twos)
+    one, two, three = _bitmap(ones), _bitmap(twos), _bitmap(_hashed(parsed, 3, twos, least))
 
     def of(block: Block) -> Iterator[pa.RecordBatch]:
         ends = np.flatnonzero(block.starts)
         lang, total = np.unique(block.lang[ends]), np.bincount(block.lang[ends], block.weight[ends])
         out: tuple[list, list, list, list] = ([block.langs[x] for x in lang], [None] * len(lang), [0] * len(lang), [int(total[x]) for x in lang])
-        pair = block.known(2, two.value)
-        good = block.starts & block.known(1, one.value)
+        known = [block.known(n, x.value) for n, x in ((1, one), (2, two), (3, three))]
         for n in range(1, LONGEST + 1):
-            if n > 1:
-                good = (block.starts if n == 2 else good) & block.after(pair, n - 2)
+            good = block.starts & (known[n - 1] if n < LONGEST else known[2] & block.after(known[2], 1))
             at, weight = block.distinct(np.flatnonzero(good), n)
             for column, values in zip(out, ([block.langs[x] for x in block.lang[at]], [b" ".join([block.words[w] for w in row]).decode() for row in block.word[at[:, None] + np.arange(n)].tolist()], [n] * len(at), weight.tolist()), strict=True):
                 column += values
