@@ -62,16 +62,26 @@ def merged_metadata(sessions: DataFrame, home: str = paths.HOME) -> DataFrame:
     return paths.with_project(out, home)
 
 
-def enriched(ledger: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Accepted requests with family, identity, project and a column for each measure: the table that reports scan."""
+def accepted(ledger: DataFrame) -> DataFrame:
+    """Accepted requests with family, identity and a column for each measure; nothing of session metadata."""
     rows = ledger.where(~R.rejected()).withColumn("agent", R.family(F.col("agent")))
     rows = rows.withColumn("i", R.identity(F.col("agent"))).where(F.col("i.resolved_id") != "")
     rows = rows.withColumns({"resolved_id": F.col("i.resolved_id"), "actor_id": F.col("i.actor_id"), "role": F.col("i.role"), "model_name": R.model_name()}).drop("i")
+    return with_measures(rows)
+
+
+def with_projects(rows: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Rows with the project of their session or else of their actor, and whether each has metadata."""
     of = lambda n: metadata.select(F.col("agent").alias(f"a{n}"), F.col("id").alias(f"i{n}"), F.col("project").alias(f"p{n}"))
     rows = rows.join(of(1), (F.col("agent") == F.col("a1")) & (F.col("resolved_id") == F.col("i1")), "left")
     rows = rows.join(of(2), (F.col("agent") == F.col("a2")) & (F.col("actor_id") == F.col("i2")), "left")
     rows = rows.withColumns({"matched": F.col("i1").isNotNull(), "actor_matched": F.col("i2").isNotNull(), "project": F.coalesce("p1", "p2", paths.unknown())})
-    return with_measures(rows.drop("a1", "i1", "p1", "a2", "i2", "p2"))
+    return rows.drop("a1", "i1", "p1", "a2", "i2", "p2")
+
+
+def enriched(ledger: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Accepted requests with family, identity, project and a column for each measure: the table that reports scan."""
+    return with_projects(accepted(ledger), metadata)
 
 
 def in_scope(rows: DataFrame, scope: Scope = Scope()) -> DataFrame:
@@ -97,12 +107,9 @@ def order() -> Column:
     return F.struct("t_ns", "id")
 
 
-def row_sessions(rows: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Sessions that rows name, with role, root, project and totals.
-
-    A codex session's role comes from its metadata if that says main or subagent, otherwise from the
-    first row that tells; a session that subagent rows name as their root first of all is main.
-    """
+def session_acts(rows: DataFrame, *by: str) -> DataFrame:
+    """What accepted rows say of each session that they name, for each value of `by`: the first event of all, the first
+    that tells a role, the first that tells or names one, each with its place in the order, times and sums."""
     codex = F.col("agent") == "codex"
     kind = F.when(~codex | (F.col("role") == ""), "blank").otherwise(F.col("role"))
     blank, actor, session = F.lit(""), F.col("actor_id"), F.col("session")
@@ -117,18 +124,35 @@ def row_sessions(rows: DataFrame, metadata: DataFrame) -> DataFrame:
     acting = event(actor, kind, 1, parent, root)
     naming = F.when(codex & (F.col("role") == "subagent") & (session != ""), event(session, F.lit("root"), 0, blank, session))
     ev = rows.withColumn("ev", F.explode(F.array_compact(F.array(acting, naming)))).where(F.col("ev.sid") != "")
-    ev = ev.withColumns({"sid": F.col("ev.sid"), "ord": F.struct("t_ns", "id", "ev.sub"), "of": F.struct("ev.kind", "ev.parent", "ev.root", "project")})
+    ev = ev.withColumns({"sid": F.col("ev.sid"), "ord": F.struct("t_ns", "id", "ev.sub"), "of": F.struct("ev.kind", "ev.parent", "ev.root", "resolved_id")})
     acts = F.col("ev.acts")
 
     def told(*kinds: str) -> Column:
         wanted = F.col("ev.kind").isin(*kinds)
-        return F.min_by(F.when(wanted, F.col("of")), F.when(wanted, F.col("ord")))
+        return F.min(F.when(wanted, F.struct("ord", "of")))  # the order is total: the first has no equal
 
     counted = acts & ~(codex & (F.col("ev.kind") == "unknown"))
-    grouped = ev.groupBy("agent", "sid").agg(
-        F.min_by("of", "ord").alias("first_event"), told("main", "subagent").alias("told"), told("main", "subagent", "root").alias("told_or_named"),
+    return ev.groupBy(*by, "agent", "sid").agg(
+        F.min(F.struct("ord", "of")).alias("first_event"), told("main", "subagent").alias("told"), told("main", "subagent", "root").alias("told_or_named"),
         F.max(acts).alias("has_rows"), F.min(F.when(counted, F.col("t_ns"))).alias("first_usage"), F.max(F.when(counted, F.col("t_ns"))).alias("last_usage"), *sums(ADDITIVE, counted),
     )
+
+
+def merged_acts(acts: DataFrame) -> DataFrame:
+    """Those of several days as one."""
+    least = [F.min(c).alias(c) for c in ("first_event", "told", "told_or_named")]
+    return acts.groupBy("agent", "sid").agg(*least, F.max("has_rows").alias("has_rows"), F.min("first_usage").alias("first_usage"), F.max("last_usage").alias("last_usage"), *sums())
+
+
+def acting_sessions(acts: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Sessions that rows name, with role, root, project and totals.
+
+    A codex session's role comes from its metadata if that says main or subagent, otherwise from the
+    first row that tells; a session that subagent rows name as their root first of all is main.
+    """
+    grouped = acts.withColumns({c: F.col(f"{c}.of") for c in ("first_event", "told", "told_or_named")})
+    of = metadata.select(F.col("agent").alias("fa"), F.col("id").alias("fi"), F.col("project").alias("f_project"))
+    grouped = grouped.join(of, (F.col("agent") == F.col("fa")) & (F.col("first_event.resolved_id") == F.col("fi")), "left").drop("fa", "fi")
     names = {"agent": "ma", "id": "mi", "project": "m_project", "role": "mr", "parent_session": "mp", "root_session": "mroot"}
     meta = metadata.select(*[F.col(c).alias(n) for c, n in names.items()], "title", "nickname", "start_ns", "last_ns")
     s = grouped.join(meta, (F.col("agent") == F.col("ma")) & (F.col("sid") == F.col("mi")), "left")
@@ -147,13 +171,18 @@ def row_sessions(rows: DataFrame, metadata: DataFrame) -> DataFrame:
         .when(by_row.isNotNull(), told_role)
         .otherwise(of(start, mp, mroot))
     )
-    project = F.when(known, F.col("m_project")).when(first != "root", F.col("first_event.project")).otherwise(paths.unknown())
+    project = F.when(known, F.col("m_project")).when(first != "root", F.coalesce("f_project", paths.unknown())).otherwise(paths.unknown())
     return s.withColumn("r", role).select(
         "agent", F.col("sid").alias("id"), known.alias("matched"), F.coalesce("title", F.lit("")).alias("title"), F.coalesce("nickname", F.lit("")).alias("nickname"),
         "r.role", "r.parent_session", "r.root_session", project.alias("project"), "last_ns", F.col("has_rows"), "first_usage", "last_usage", *ADDITIVE,
     )
 
 
+def row_sessions(rows: DataFrame, metadata: DataFrame) -> DataFrame:
+    """acting_sessions of rows that weren't summed up before."""
+    return acting_sessions(session_acts(rows), metadata)
+
+
 def _bare(meta: DataFrame) -> DataFrame:
     """Metadata rows as sessions without requests."""
     zero = {n: F.lit(0).cast("decimal(38,10)" if n == "cost" else "long") for n in ADDITIVE}
@@ -178,7 +207,12 @@ def metadata_only(known: DataFrame, metadata: DataFrame, scope: Scope = Scope())
 
 def sessions(rows: DataFrame, metadata: DataFrame, scope: Scope = Scope()) -> DataFrame:
     """All sessions of the data set: those with rows, metadata-only ones and roots that only children name."""
-    of_rows = staged(row_sessions(rows, metadata))
+    return all_sessions(row_sessions(rows, metadata), metadata, scope)
+
+
+def all_sessions(of_rows: DataFrame, metadata: DataFrame, scope: Scope = Scope()) -> DataFrame:
+    """Sessions that rows name, metadata-only ones and roots that only children name."""
+    of_rows = staged(of_rows)
     every = of_rows.unionByName(metadata_only(of_rows, metadata, scope))
     roots = every.where((F.col("agent") == "codex") & (F.col("role") == "subagent") & (F.col("root_session") != "")).select(F.col("root_session").alias("root")).distinct()
     named = every.join(roots, (F.col("agent") == "codex") & (F.col("id") == F.col("root")), "left")

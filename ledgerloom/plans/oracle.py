@@ -354,32 +354,51 @@ ORACLES |= {
     "local_days": f"SELECT zone, strftime((ts AT TIME ZONE 'UTC') AT TIME ZONE zone, '%Y-%m-%d') AS day, count(*) AS n FROM events, (SELECT unnest([{_ZONE_LIST}]) AS zone) GROUP BY 1, 2",
 }
 
-_DIGESTS = """, later AS (
-  SELECT * REPLACE (CASE WHEN local_day IN ('2024-01-03', '2024-01-29') THEN cost + 1 ELSE cost END AS cost) FROM led WHERE NOT (local_day = '2024-01-12' AND id % 20 = 0)
-), was AS (
+_ENDS = """, ends AS (SELECT min(local_day)::DATE AS f, max(local_day)::DATE AS l FROM led)"""
+_LATER = _ENDS + """, later AS (
+  SELECT led.* REPLACE (CASE WHEN local_day::DATE - f IN (2, 28) THEN cost + 1 ELSE cost END AS cost) FROM led, ends WHERE NOT (local_day::DATE - f = 11 AND id % 20 = 0)
+)"""
+_DIGESTS = _LATER + """, was AS (
   SELECT local_day AS day, count(*) AS calls, sum(input) AS input, sum(cost::DECIMAL(38, 10)) AS cost, count(*) FILTER (input + output > 0 AND NOT priced) AS unpriced FROM led GROUP BY 1
 ), now AS (
   SELECT local_day AS day, count(*) AS calls, sum(input) AS input, sum(cost::DECIMAL(38, 10)) AS cost, count(*) FILTER (input + output > 0 AND NOT priced) AS unpriced FROM later GROUP BY 1
 ), differ AS (
   SELECT day, was.calls <> now.calls OR was.input <> now.input OR was.cost <> now.cost OR was.unpriced <> now.unpriced AS changed FROM was JOIN now USING (day)
 )"""
-_SNAPSHOTS = """, hashed AS (SELECT *, ('0x' || substr(md5(agent || id), 1, 4))::BIGINT AS h FROM ses
-), old AS (SELECT * FROM hashed WHERE h % 11 <> 0
-), new AS (SELECT * REPLACE (CASE WHEN h % 7 = 0 THEN 'moved' ELSE root_session END AS root_session) FROM hashed WHERE h % 5 <> 0)"""
+_SNAPSHOTS = """, hashed AS MATERIALIZED (SELECT *, ('0x' || substr(md5(agent || id), 1, 4))::BIGINT AS h FROM ses
+), old AS MATERIALIZED (SELECT *, h % 3 = 0 AS disappeared FROM hashed WHERE h % 11 <> 0
+), new AS MATERIALIZED (
+  SELECT * REPLACE (CASE WHEN h % 13 = 0 THEN '' WHEN h % 7 = 0 THEN 'moved' ELSE root_session END AS root_session, CASE WHEN h % 13 = 0 THEN '' ELSE role END AS role, CASE WHEN h % 13 = 0 THEN '' ELSE parent_session END AS parent_session,
+    CASE WHEN h % 17 = 0 THEN 'edited' ELSE title END AS title) FROM hashed WHERE h % 5 <> 0
+), pair AS (
+  SELECT k.agent, k.id, n.id IS NOT NULL AS here, o.id IS NOT NULL AS had, coalesce(o.disappeared, FALSE) AS was_gone, n.title AS title, o.title AS o_title, n.cwd, n.nickname, n.start_ns, n.last_ns,
+    o.cwd AS o_cwd, o.nickname AS o_nickname, o.start_ns AS o_start_ns, o.last_ns AS o_last_ns,
+    n.role, n.parent_session, n.root_session, o.role AS o_role, o.parent_session AS o_parent, o.root_session AS o_root, n.role <> '' OR n.parent_session <> '' OR n.root_session <> '' AS tells
+  FROM (SELECT agent, id FROM old UNION SELECT agent, id FROM new) k LEFT JOIN old o ON o.agent = k.agent AND o.id = k.id LEFT JOIN new n ON n.agent = k.agent AND n.id = k.id
+), merged AS (
+  SELECT agent, id, CASE WHEN here THEN title ELSE o_title END AS title, CASE WHEN here AND (tells OR NOT had) THEN role ELSE o_role END AS role, CASE WHEN here AND (tells OR NOT had) THEN parent_session ELSE o_parent END AS parent_session,
+    CASE WHEN here AND (tells OR NOT had) THEN root_session ELSE o_root END AS root_session, NOT here AS disappeared, coalesce(o_start_ns, 1800000000000000000) // 1000000 AS first_seen_ms, CASE WHEN here THEN 1800000000000000000 ELSE o_last_ns END // 1000000 AS last_seen_ms,
+    CASE WHEN here THEN cwd ELSE o_cwd END AS cwd, CASE WHEN here THEN nickname ELSE o_nickname END AS nickname, CASE WHEN here THEN start_ns ELSE o_start_ns END AS start_ns, CASE WHEN here THEN last_ns ELSE o_last_ns END AS last_ns
+  FROM pair
+), told_ids AS (
+  SELECT DISTINCT unnest([id, o_parent, o_root, parent_session, root_session]) AS id FROM pair
+  WHERE here AND agent = 'codex' AND tells AND (NOT had OR role <> o_role OR parent_session <> o_parent OR root_session <> o_root)
+), told_days AS (
+  SELECT DISTINCT local_day FROM led WHERE agent = 'codex' AND EXISTS (SELECT 1 FROM told_ids c WHERE c.id <> '' AND c.id IN (led.session, led.native_session, led.subagent, led.parent_agent))
+)"""
 
 ORACLES |= {
     "day_digest_changes": _with("SELECT day FROM differ WHERE changed", _DIGESTS),
-    "refresh_decision": _with("""SELECT day, decision, decision = 'skip: freeze' OR (starts_with(decision, 'skip') AND n % 5 = 0) AS frozen FROM (
-      SELECT day, n, CASE WHEN n % 16 = 0 THEN 'pull: compaction' WHEN n % 17 = 0 THEN 'pull: metrics' WHEN n % 9 = 0 THEN 'pull: identity' WHEN n % 11 = 0 THEN 'pull: never loaded'
-        WHEN n % 6 <> 1 AND changed THEN 'pull: changed' WHEN n % 5 = 0 THEN 'skip: frozen' WHEN day < '2024-01-24' AND n % 7 <> 0 AND n % 13 <> 0 THEN 'skip: freeze'
-        WHEN (n % 13 = 0 AND n % 7 <> 0) OR n % 6 = 1 THEN 'pull: unverified' WHEN day >= '2024-01-30' THEN 'pull: recent' WHEN day < '2024-01-24' THEN 'pull: old' ELSE 'skip: same' END AS decision
-      FROM (SELECT *, day(day::DATE) AS n FROM differ))""", _DIGESTS),
-    "snapshot_merge": _with("""SELECT coalesce(n.agent, o.agent) AS agent, coalesce(n.id, o.id) AS id, CASE WHEN n.id IS NOT NULL THEN n.root_session ELSE o.root_session END AS root_session, n.id IS NULL AS disappeared,
-      coalesce(o.start_ns, 1800000000000000000) // 1000000 AS first_seen_ms, CASE WHEN n.id IS NOT NULL THEN 1800000000000000000 ELSE o.last_ns END // 1000000 AS last_seen_ms
-      FROM old o FULL JOIN new n ON o.agent = n.agent AND o.id = n.id""", _META, _SNAPSHOTS),
-    "changed_session_days": _with("""SELECT DISTINCT local_day FROM led WHERE EXISTS (
-      SELECT 1 FROM (SELECT n.id FROM new n LEFT JOIN old o ON o.agent = n.agent AND o.id = n.id WHERE o.id IS NULL OR o.root_session <> n.root_session) c
-      WHERE c.id IN (led.session, led.native_session, led.subagent, led.parent_agent))""", _META, _SNAPSHOTS),
+    "refresh_decision": _with("""SELECT day, served, decision, decision = 'skip: freeze' OR (starts_with(decision, 'skip') AND n % 5 = 0) AS frozen FROM (
+      SELECT day, n, served, CASE WHEN n % 16 = 0 THEN 'pull: compaction' WHEN n % 17 = 0 THEN 'pull: metrics' WHEN n % 9 = 0 THEN 'pull: identity' WHEN n % 11 = 0 THEN 'pull: never loaded'
+        WHEN served AND n % 6 <> 1 AND changed THEN 'pull: changed' WHEN n % 5 = 0 THEN 'skip: frozen' WHEN day::DATE < l - 6 AND n % 7 <> 0 AND n % 13 <> 0 THEN 'skip: freeze'
+        WHEN (n % 13 = 0 AND n % 7 <> 0) OR NOT served THEN 'pull: unverified' WHEN day::DATE >= l THEN 'pull: recent' WHEN day::DATE < l - 6 THEN 'pull: old' ELSE 'skip: same' END AS decision
+      FROM (SELECT *, day(day::DATE) AS n FROM differ), ends, (VALUES (TRUE), (FALSE)) v(served))""", _DIGESTS),
+    "snapshot_merge": _with("SELECT agent, id, title, role, parent_session, root_session, disappeared, first_seen_ms, last_seen_ms FROM merged", _META, _SNAPSHOTS),
+    "session_changes": _with("""SELECT * FROM (SELECT agent, id, CASE WHEN NOT had THEN 'new' WHEN NOT here AND NOT was_gone THEN 'gone' WHEN here AND was_gone THEN 'back'
+      WHEN here AND tells AND (role <> o_role OR parent_session <> o_parent OR root_session <> o_root) THEN 'moved'
+      WHEN here AND (title <> o_title OR cwd <> o_cwd OR nickname <> o_nickname OR start_ns <> o_start_ns OR last_ns <> o_last_ns) THEN 'edited' END AS change FROM pair) WHERE change IS NOT NULL""", _META, _SNAPSHOTS),
+    "changed_session_days": _with("SELECT local_day FROM told_days", _META, _SNAPSHOTS),
 }
 
 _QUOTAS = """WITH by_day AS (
@@ -450,22 +469,43 @@ ORACLES |= {
 
 _STATE = """, days AS (SELECT DISTINCT local_day AS day FROM led), state AS (
   SELECT day, n % 7 <> 0 AS loaded, n AS row_count, CASE WHEN n % 7 <> 0 THEN 1700000000000000000 END AS last_sync_ns, n % 5 = 0 AS frozen, n % 3 = 0 AS identity_pending, n % 4 = 0 AS compaction_pending, n % 6 = 0 AS metrics_pending
-  FROM (SELECT day, day(day::DATE) AS n FROM days WHERE day(day::DATE) % 8 <> 0 UNION ALL SELECT '2023-12-25', 25 FROM days WHERE day(day::DATE) = 1)
+  FROM (SELECT day, day(day::DATE) AS n FROM days WHERE day(day::DATE) % 8 <> 0 UNION ALL SELECT strftime(min(day)::DATE - 7, '%Y-%m-%d'), day(min(day)::DATE - 7) FROM days WHERE day(day::DATE) % 8 <> 0)
 )"""
-_SAVED = """CASE WHEN d.day IS NOT NULL THEN coalesce(s.day, d.day) < '2024-01-26' ELSE s.frozen END AS frozen, CASE WHEN d.day IS NOT NULL AND IDENTITY THEN FALSE ELSE coalesce(s.identity_pending, FALSE) END AS identity_pending,
+_SAVED = """CASE WHEN d.day IS NOT NULL THEN coalesce(s.day, d.day)::DATE < (SELECT max(day)::DATE - 4 FROM days) ELSE s.frozen END AS frozen, CASE WHEN d.day IS NOT NULL AND IDENTITY THEN FALSE ELSE coalesce(s.identity_pending, FALSE) END AS identity_pending,
   coalesce(s.compaction_pending, FALSE) AND d.day IS NULL AS compaction_pending, coalesce(s.metrics_pending, FALSE) AND d.day IS NULL AS metrics_pending"""
 ORACLES |= {
-    "candidate_days": _with("SELECT strftime(unnest(generate_series((SELECT min(day)::DATE FROM days WHERE day(day::DATE) > 9), DATE '2024-02-02', INTERVAL 1 DAY)), '%Y-%m-%d') AS day UNION SELECT day FROM state", _STATE),
+    "candidate_days": _with("SELECT strftime(unnest(generate_series((SELECT min(day)::DATE FROM days WHERE day(day::DATE) > 9), (SELECT max(day)::DATE + 3 FROM days), INTERVAL 1 DAY)), '%Y-%m-%d') AS day UNION SELECT day FROM state", _STATE),
     "verified_days": _with("SELECT day, n % 4 <> 0 AND n % 6 <> 0 AS ok FROM (SELECT day, day(day::DATE) AS n FROM days)", _STATE),
     "backfill_flags": _with(f"""SELECT step, count(*) AS days, count(*) FILTER (last_sync_ns IS NULL) AS never_loaded, count(*) FILTER (frozen) AS frozen, count(*) FILTER (identity_pending) AS identity_pending,
       count(*) FILTER (compaction_pending) AS compaction_pending, count(*) FILTER (metrics_pending) AS metrics_pending FROM (
       SELECT 'before' AS step, * FROM state UNION ALL BY NAME SELECT 'queued' AS step, * FROM queued UNION ALL BY NAME
       SELECT 'saved' AS step, CASE WHEN d.day IS NOT NULL THEN 1 ELSE s.last_sync_ns END AS last_sync_ns, {_SAVED.replace("IDENTITY", "TRUE")} FROM queued s FULL JOIN (SELECT day FROM days WHERE day(day::DATE) % 2 = 0) d ON s.day = d.day) GROUP BY step""",
-      _STATE, """, hit AS (SELECT DISTINCT local_day AS day FROM led WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT 'a' || u AS id FROM led WHERE agent = 'codex' AND u % 10 = 7) c
+      _STATE, """, hit AS (SELECT DISTINCT local_day AS day FROM led WHERE agent = 'codex' AND EXISTS (SELECT 1 FROM (SELECT DISTINCT 'a' || u AS id FROM led WHERE agent = 'codex' AND u % 10 = 7) c
         WHERE c.id IN (led.session, led.native_session, led.subagent, led.parent_agent))
       ), queued AS (
         SELECT coalesce(s.day, h.day) AS day, s.last_sync_ns, coalesce(s.frozen, FALSE) AS frozen, coalesce(s.identity_pending, FALSE) OR h.day IS NOT NULL AS identity_pending, coalesce(s.compaction_pending, FALSE) AS compaction_pending,
           coalesce(s.metrics_pending, FALSE) AS metrics_pending FROM state s FULL JOIN hit h ON s.day = h.day)"""),
-    "day_states": _with(f"""SELECT coalesce(s.day, d.day) AS day, d.day IS NOT NULL OR loaded AS loaded, CASE WHEN d.day IS NOT NULL THEN d.n ELSE s.row_count END AS row_count, CASE WHEN d.day IS NOT NULL THEN 1706800000000000000 ELSE s.last_sync_ns END AS last_sync_ns,
+    "day_states": _with(f"""SELECT coalesce(s.day, d.day) AS day, d.day IS NOT NULL OR loaded AS loaded, CASE WHEN d.day IS NOT NULL THEN d.n ELSE s.row_count END AS row_count, CASE WHEN d.day IS NOT NULL THEN 4000000000000000000 ELSE s.last_sync_ns END AS last_sync_ns,
       {_SAVED.replace("IDENTITY", "FALSE")} FROM state s FULL JOIN (SELECT local_day AS day, count(*) AS n FROM led WHERE day(local_day::DATE) % 2 = 0 GROUP BY 1) d ON s.day = d.day""", _STATE),
 }
+#: The ledger and session metadata that the load's story ends with: two days replaced, the later sessions merged.
+_LOADED = _LATER.replace("later AS", "later0 AS") + _SNAPSHOTS + """, later AS (
+  SELECT x.* FROM later0 x, ends WHERE x.local_day::DATE - f IN (2, 11) UNION ALL SELECT x.* FROM led x, ends WHERE x.local_day::DATE - f NOT IN (2, 11)
+)"""
+_LOADED_META = _META[_META.index(", meta0 AS") :].replace("FROM ses ", "FROM merged ").replace("meta0", "lmeta0").replace("meta AS", "lmeta AS").replace("FROM meta0", "FROM lmeta0")
+_LOADED_ROWS = _rows().replace("FROM led", "FROM later").replace("JOIN meta ", "JOIN lmeta ")
+_LOADED_SESSIONS = _sessions().replace("JOIN meta ", "JOIN lmeta ").replace("FROM meta ", "FROM lmeta ")
+_PART = "SELECT '{0}' AS report, {1} AS key, calls, errors, input, output, decode_n, cost, total, output_speed FROM ({2})"
+ORACLES |= {
+    "load_story": _with("""SELECT s.step, d.day, CASE WHEN s.step >= 3 AND d.day::DATE - f = 11 THEN d.n - d.lost ELSE d.n END AS row_count, s.step >= 2 AND t.local_day IS NOT NULL AND NOT (s.step >= 3 AND d.day::DATE - f IN (2, 11)) AND NOT (s.step = 7 AND d.day::DATE = l) AS identity_pending,
+        d.day::DATE < l - 7 AS frozen, (s.step >= 3 AND d.day::DATE - f = 28 AND NOT (s.step = 7 AND d.day::DATE = l)) OR (s.step >= 6 AND d.day::DATE = l - 1) AS waits, (s.step >= 5 AND d.day::DATE = l - 1) OR (s.step BETWEEN 5 AND 6 AND d.day::DATE = l) AS recent,
+        1 + (SELECT count(*) FROM days) + 1 + (s.step >= 2)::INT + CASE WHEN s.step >= 3 THEN 2 ELSE 0 END + CASE WHEN s.step >= 7 THEN 1 ELSE 0 END AS revision, TRUE AS complete
+      FROM (SELECT local_day AS day, count(*) AS n, count(*) FILTER (id % 20 = 0) AS lost FROM led GROUP BY 1) d, ends, (SELECT unnest(range(1, 8))::INT AS step) s LEFT JOIN told_days t ON t.local_day = d.day""", _META, _ENDS, _SNAPSHOTS, ", days AS (SELECT DISTINCT local_day AS day FROM led)"),
+    "reports_after_reload": _with(" UNION ALL ".join([
+        _PART.format("model", "model_name", f"SELECT model_name, {_VIEW} FROM (SELECT model_name, {_sums()} FROM rows GROUP BY 1)"),
+        _PART.format("project", "kind || '|' || path", f"SELECT kind, path, {_VIEW} FROM (SELECT p_kind AS kind, CASE WHEN p_kind = 'project' THEN p_path ELSE '' END AS path, {_sums()} FROM rows GROUP BY 1, 2)"),
+        _PART.format("day", "local_day", f"SELECT local_day, {_VIEW} FROM (SELECT local_day, {_sums()} FROM rows GROUP BY 1)"),
+        _PART.format("session", "concat_ws('|', agent, id, title, role, root_session, kind, path, first_usage_ms, last_usage_ms)", f"SELECT {_SESSION_COLUMNS}, {_VIEW} FROM sess"),
+    ]), _META, _LOADED, _LOADED_META, _LOADED_ROWS, _LOADED_SESSIONS),
+    "stored_threads": _with(ORACLES["thread_usage"].partition(_THREADS)[2], _META, _LOADED, _LOADED_META, _LOADED_ROWS, _LOADED_SESSIONS, _THREADS.replace("JOIN meta ", "JOIN lmeta ").replace("FROM meta ", "FROM lmeta ")),
+}

@@ -13,6 +13,7 @@ from ..operators import dataset as D, measures as M, tables as S, threads as T
 from ..operators.ranking import nearest_rank, numbered
 from ..operators.staging import staged
 from ..sources import derived
+from ..sources.store import Snapshot
 from ..sources.tables import tables
 
 VIEW = ("calls", "errors", "retried", "input", "output", "cache_read", "cache_write", "cache_write_1h", "reasoning", "unpriced", "decode_n", "cost", "total", "cache_hit_rate", "output_speed")
@@ -21,13 +22,23 @@ VIEW = ("calls", "errors", "retried", "input", "output", "cache_read", "cache_wr
 class Ledger:
     """The tables of one data set and scope, made on demand."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, scope: D.Scope = D.Scope()):
-        loaded = tables(spark, sf_dir)
+    def __init__(self, spark: SparkSession, source: str | Snapshot, scope: D.Scope = D.Scope()):
+        """source: a folder of test tables, or a version of a store; reports on it merge its partial sums."""
+        self.stored = None if isinstance(source, str) else source
+        loaded = self.stored or tables(spark, source)
         self.scope, self.path, self.metadata = scope, loaded.path, loaded.metadata
         self.rows = D.in_scope(loaded.usage(scope.first, scope.last), scope)
 
+    @property
+    def measures(self) -> DataFrame:
+        """What sums by session, model, effort, project or day are made of: the rows, or the partial sums of each day."""
+        return D.in_scope(self.stored.cells(self.scope.first, self.scope.last), self.scope) if self.stored else self.rows
+
     def sessions(self) -> DataFrame:
-        return D.sessions(self.rows, self.metadata, self.scope)
+        s = self.scope
+        if self.stored and not (s.agents or s.models or s.projects):
+            return D.all_sessions(D.acting_sessions(D.merged_acts(self.stored.acts(s.first, s.last)), self.metadata), self.metadata, s)
+        return D.sessions(self.rows, self.metadata, s)
 
     def threads(self) -> Threads:
         return Threads.of(self)
@@ -77,25 +88,25 @@ def _by(rows: DataFrame, *keys) -> DataFrame:
 
 
 def model_distribution(spark, sf_dir, scope=D.Scope()) -> DataFrame:
-    return _by(Ledger(spark, sf_dir, scope).rows, "model_name").orderBy(F.desc("total"), "model_name")
+    return _by(Ledger(spark, sf_dir, scope).measures, "model_name").orderBy(F.desc("total"), "model_name")
 
 
 def project_distribution(spark, sf_dir, scope=D.Scope()) -> DataFrame:
-    rows = Ledger(spark, sf_dir, scope).rows
+    rows = Ledger(spark, sf_dir, scope).measures
     kind = F.col("project.kind")
     rows = rows.withColumns({"kind": kind, "path": F.when(kind == "project", F.col("project.path")).otherwise("")})
     return _by(rows, "kind", "path").orderBy(F.desc("total"), "kind", "path")
 
 
 def request_metrics(spark, sf_dir) -> DataFrame:
-    rows = Ledger(spark, sf_dir).rows
+    rows = Ledger(spark, sf_dir).measures
     out = M.metric_view(rows.groupBy("agent").agg(*M.sums(M.METRICS)))
     return out.select("agent", "rm_calls", "rm_errors", "rm_retried", "rm_samples", "rm_ttft_n", "metric_speed", "mean_ttft_s")
 
 
 def usage_by_day(spark, sf_dir) -> DataFrame:
     """Every day from the first to the last, also those without requests."""
-    rows = Ledger(spark, sf_dir).rows
+    rows = Ledger(spark, sf_dir).measures
     ends = rows.agg(F.min(F.to_date("local_day")).alias("a"), F.max(F.to_date("local_day")).alias("b"))
     days = ends.where("a IS NOT NULL").select(F.explode(F.sequence("a", "b")).alias("d")).select(F.date_format("d", "yyyy-MM-dd").alias("local_day"))
     sums = rows.groupBy("local_day").agg(*M.sums())
@@ -106,13 +117,14 @@ def usage_by_day(spark, sf_dir) -> DataFrame:
 def usage_shares(spark, sf_dir) -> DataFrame:
     """One pass over the rows for shares by agent, by provider and model, by account, caller key and source."""
     rows = Ledger(spark, sf_dir).rows
-    rows.createOrReplaceTempView("usage_shares_rows")
-    out = spark.sql(
-        """SELECT CASE WHEN grouping(agent) = 0 THEN 'agent' WHEN grouping(model_name) = 0 THEN 'model' WHEN grouping(account) = 0 THEN 'account'
-          WHEN grouping(caller) = 0 THEN 'caller' ELSE 'source' END AS dimension, coalesce(agent, provider, account, caller, source) AS key, coalesce(model_name, '') AS model, sum(calls) AS calls,
-        sum(input + cache_read + cache_write + output) AS total, round(cast(sum(cost) AS double), 6) AS cost, sum(unpriced) AS unpriced
-        FROM usage_shares_rows GROUP BY GROUPING SETS ((agent), (provider, model_name), (account), (caller), (source))"""
-    )
+    keys = ("agent", "provider", "model_name", "account", "caller", "source")
+    total = F.sum(F.col("input") + F.col("cache_read") + F.col("cache_write") + F.col("output"))
+    sets = [[F.col(c) for c in names] for names in (("agent",), ("provider", "model_name"), ("account",), ("caller",), ("source",))]
+    by = rows.groupingSets(sets, *[F.col(k) for k in keys]).agg(
+        *[F.grouping(k).alias(f"no_{k}") for k in keys], F.sum("calls").alias("calls"), total.alias("total"), F.round(F.sum("cost").cast("double"), 6).alias("cost"), F.sum("unpriced").alias("unpriced")
+    )
+    of = F.when(F.col("no_agent") == 0, "agent").when(F.col("no_model_name") == 0, "model").when(F.col("no_account") == 0, "account").when(F.col("no_caller") == 0, "caller").otherwise("source")
+    out = by.select(of.alias("dimension"), F.coalesce("agent", "provider", "account", "caller", "source").alias("key"), F.coalesce("model_name", F.lit("")).alias("model"), "calls", "total", "cost", "unpriced")
     whole = F.sum("total").over(W.partitionBy("dimension"))
     return out.withColumn("share", M.ratio(F.col("total") * 1.0, whole))
 
@@ -133,7 +145,7 @@ def session_totals(spark, sf_dir) -> DataFrame:
 
 
 def session_model_effort(spark, sf_dir) -> DataFrame:
-    rows = Ledger(spark, sf_dir).rows.where("NOT (agent = 'codex' AND role = 'unknown')").where("actor_id <> ''")
+    rows = Ledger(spark, sf_dir).measures.where("NOT (agent = 'codex' AND role = 'unknown')").where("actor_id <> ''")
     by = _by(rows.withColumnRenamed("actor_id", "session_id"), "agent", "session_id", "model_name", "effort")
     return by.withColumn("place", F.row_number().over(W.partitionBy("agent", "session_id").orderBy("model_name", "effort")))
 
@@ -289,7 +301,7 @@ def public_summary(spark, sf_dir) -> DataFrame:
 
 def _shares(spark, sf_dir, measure: str) -> DataFrame:
     """The five models of most tokens or cost and the rest together."""
-    by = _by(Ledger(spark, sf_dir).rows, "model_name")
+    by = _by(Ledger(spark, sf_dir).measures, "model_name")
     rank = F.row_number().over(W.orderBy(F.desc(measure), "model_name"))
     ranked = by.withColumn("label", F.when(rank <= 5, F.col("model_name")).otherwise("__other__"))
     out = ranked.groupBy("label").agg(F.sum("total").alias("total"), F.round(F.sum("cost"), 6).alias("cost"), F.sum("unpriced").alias("unpriced"))

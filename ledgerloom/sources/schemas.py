@@ -29,6 +29,9 @@ SESSION = T.StructType(
     + [T.StructField(c, T.StringType()) for c in ("role", "parent_session", "root_session")]
 )
 
+#: The session table: what snapshots have said of each session so far.
+SESSION_STATE = T.StructType([*SESSION.fields, T.StructField("first_seen_ns", T.LongType()), T.StructField("last_seen_ns", T.LongType()), T.StructField("disappeared", T.BooleanType())])
+
 #: One row per day of the ledger: what was loaded and what is still to be pulled again.
 DAY_STATE = T.StructType(
     [T.StructField("day", T.StringType()), T.StructField("fingerprint", T.StringType()), T.StructField("row_count", T.LongType()), T.StructField("last_sync_ns", T.LongType())]

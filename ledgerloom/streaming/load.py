@@ -1,23 +1,21 @@
-"""Incremental load of the ledger by local day, in batch or as a stream of landed files.
+"""The rules of the incremental load by local day: what is verified, pulled again, merged and remembered.
 
-State is a table with a row per day (schemas.DAY_STATE). A day's rows are replaced as a whole, each day
-in its own folder, so that a day that fails its checks keeps what it had. What has to be pulled again
-follows from day digests.
+State is a table with a row per day (schemas.DAY_STATE). What has to be pulled again follows from day digests,
+backfills and changed summaries. streaming/sync.py applies the rules to landed files and a store.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType, TimestampType
 
-from ..functions.dates import day_end, local_day
-from ..sources.schemas import DAY_STATE, REQUEST
+from ..functions.dates import day_end
+from ..sources.store import DataLoading
 
 FREEZE_DAYS = 7
 DIGEST_COLUMNS = ("calls", "input", "cost", "unpriced")
+#: The digest of a day without requests.
+EMPTY = ""
 
 
 def day_digests(rows: DataFrame, key: str = "local_day") -> DataFrame:
@@ -37,6 +35,23 @@ def summary_fingerprint(groups: DataFrame, columns: list[str]) -> DataFrame:
     return groups.agg(F.sha2(F.concat_ws(":", F.count("*").cast("string"), *[part(n) for n in range(5)]).cast("binary"), 256).alias("fingerprint"))
 
 
+def proven_pages(pages: DataFrame) -> DataFrame:
+    """(day, total) of the days whose pages, as landed (day, offset, count, total), cover 0 to the total with no gap and
+    no overlap, all of them naming one total.
+
+    Every page starts one step up and ends one step down: the steps at each offset cancel out but for one up at 0
+    and one down at the total exactly if every row is covered once. No task sees all pages of a day.
+    """
+    said = pages.groupBy("day").agg(F.min("total").alias("total"), F.max("total").alias("high"), F.min("count").alias("least"), F.max("count").alias("most"))
+    step = lambda at, up: F.struct(at.alias("at"), F.lit(up).alias("up"))
+    edges = pages.where("count > 0").select("day", F.explode(F.array(step(F.col("offset"), 1), step(F.col("offset") + F.col("count"), -1))).alias("e"))
+    edges = edges.groupBy("day", F.col("e.at").alias("at")).agg(F.sum("e.up").alias("up")).where("up <> 0")
+    ends = edges.groupBy(F.col("day").alias("d")).agg(F.count("*").alias("n"), F.count_if((F.col("at") == 0) & (F.col("up") == 1)).alias("starts"), F.max(F.when(F.col("up") == -1, F.col("at"))).alias("end"))
+    found = said.join(ends, F.col("day") == F.col("d"), "left")
+    whole = F.when(F.col("total") == 0, F.col("d").isNull() & (F.col("most") == 0)).otherwise((F.col("n") == 2) & (F.col("starts") == 1) & (F.col("end") == F.col("total")))
+    return found.where((F.col("total") == F.col("high")) & (F.col("least") >= 0) & F.coalesce(whole, F.lit(False))).select("day", "total")
+
+
 def verified_days(rows: DataFrame, pages: DataFrame) -> DataFrame:
     """(day, ok): whether a day's landed rows are as many as all its pages said. pages: (day, total)."""
     said = pages.groupBy("day").agg(F.min("total").alias("low"), F.max("total").alias("high"))
@@ -44,10 +59,12 @@ def verified_days(rows: DataFrame, pages: DataFrame) -> DataFrame:
     return said.join(found, F.col("day") == F.col("d"), "left").select("day", ((F.col("low") == F.col("high")) & (F.coalesce("n", F.lit(0)) == F.col("low"))).alias("ok"))
 
 
-def refresh_decisions(state: DataFrame, digests: DataFrame, today: str | Column, identity_available: bool, recent_pending: bool, zone: str = "UTC", horizon: int = FREEZE_DAYS) -> DataFrame:
-    """(day, decision, freeze) for every day of the state, the first rule that fits winning.
+def refresh_decisions(state: DataFrame, digests: DataFrame, today: str | Column, identity_available: bool, recent: list[str], digests_available: bool = True, zone: str = "UTC", horizon: int = FREEZE_DAYS) -> DataFrame:
+    """(day, decision, frozen) for every day of the state, the first rule that fits winning.
 
-    digests: (day, digest) as upstream has them now; a day without one can't be verified.
+    digests: (day, digest) as upstream has them now; a day without one can't have changed. digests_available: whether
+    upstream serves digests at all; if not, every day that isn't frozen is pulled. recent: days to pull because
+    the summary changed, until they are saved.
     """
     today = F.lit(today) if isinstance(today, str) else today
     d = digests.select(F.col("day").alias("dd"), "digest")
@@ -55,55 +72,85 @@ def refresh_decisions(state: DataFrame, digests: DataFrame, today: str | Column,
     date = F.to_date("day")
     old = date < F.date_sub(F.to_date(today), horizon)
     ended = F.col("last_sync_ns") > F.unix_micros(day_end(date, zone)) * 1000
-    verified = F.col("digest").isNotNull()
-    recent = F.lit(recent_pending) & (date >= F.date_sub(F.to_date(today), 1))
+    served = F.lit(digests_available)
     freeze = old & F.coalesce(ended, F.lit(False))
     decision = (
         F.when(F.col("compaction_pending"), "pull: compaction").when(F.col("metrics_pending"), "pull: metrics")
         .when(F.lit(identity_available) & F.col("identity_pending"), "pull: identity").when(F.col("fingerprint").isNull(), "pull: never loaded")
-        .when(verified & (F.col("digest") != F.col("fingerprint")), "pull: changed").when(F.col("frozen"), "skip: frozen").when(freeze, "skip: freeze")
-        .when(F.col("last_sync_ns").isNull() | ~verified, "pull: unverified").when(recent, "pull: recent").when(old, "pull: old").otherwise("skip: same")
+        .when(served & (F.col("digest") != F.col("fingerprint")), "pull: changed").when(F.col("frozen"), "skip: frozen").when(freeze, "skip: freeze")
+        .when(F.col("last_sync_ns").isNull() | ~served, "pull: unverified").when(F.col("day").isin(*recent), "pull: recent").when(old, "pull: old").otherwise("skip: same")
     )
     return s.select("day", decision.alias("decision"), ((decision == "skip: freeze") | (F.startswith(decision, F.lit("skip")) & F.col("frozen"))).alias("frozen"))
 
 
-def merged_sessions(old: DataFrame, new: DataFrame, now_ns: int | Column, identity_available: bool) -> DataFrame:
-    """The session table after a snapshot: what the snapshot lacks has disappeared, what it has is updated;
-    roles and parents only where identities are available; the first time seen stays."""
+IDENTITY = ("role", "parent_session", "root_session")
+
+
+def _told(side: str) -> Column:
+    """Whether a session of a snapshot says anything of its identity."""
+    blank = lambda c: F.coalesce(F.col(f"{side}.{c}"), F.lit("")) == ""
+    return ~(blank(IDENTITY[0]) & blank(IDENTITY[1]) & blank(IDENTITY[2]))
+
+
+def _same(columns: tuple[str, ...]) -> Column:
+    out = F.lit(True)
+    for c in columns:
+        text = c not in ("start_ns", "last_ns")
+        side = lambda x, c=c, text=text: F.coalesce(f"{x}.{c}", F.lit("")) if text else F.col(f"{x}.{c}")
+        out &= side("o").eqNullSafe(side("n"))
+    return out
+
+
+def _both(old: DataFrame, new: DataFrame, how: str) -> DataFrame:
+    return old.alias("o").join(new.alias("n"), (F.col("o.agent") == F.col("n.agent")) & (F.col("o.id") == F.col("n.id")), how)
+
+
+def tells_identities(new: DataFrame) -> bool:
+    """Whether a snapshot says anything of the identity of any codex session."""
+    return not new.alias("n").where((F.col("n.agent") == "codex") & _told("n")).isEmpty()
+
+
+def merged_sessions(old: DataFrame, new: DataFrame, now_ns: int | Column) -> DataFrame:
+    """The session table after a snapshot: what the snapshot lacks has disappeared, what it has is updated; role, parent
+    and root of a session only if it comes with any of them; the first time seen stays."""
     now = F.lit(now_ns) if isinstance(now_ns, int) else now_ns
-    o, n = old.alias("o"), new.alias("n")
-    joined = o.join(n, (F.col("o.agent") == F.col("n.agent")) & (F.col("o.id") == F.col("n.id")), "full")
     here, had = F.col("n.id").isNotNull(), F.col("o.id").isNotNull()
     take = lambda c: F.when(here, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c)
-    known = lambda c: F.when(here & (F.lit(identity_available) | ~had), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c)
-    return joined.select(
+    known = lambda c: F.when(here & (_told("n") | ~had), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c)
+    return _both(old, new, "full").select(
         F.coalesce("n.agent", "o.agent").alias("agent"), F.coalesce("n.id", "o.id").alias("id"), *[take(c) for c in ("cwd", "title", "nickname", "start_ns", "last_ns")],
-        *[known(c) for c in ("role", "parent_session", "root_session")], F.coalesce("o.first_seen_ns", now).alias("first_seen_ns"),
+        *[known(c) for c in IDENTITY], F.coalesce("o.first_seen_ns", now).alias("first_seen_ns"),
         F.when(here, now).otherwise(F.col("o.last_seen_ns")).alias("last_seen_ns"), (~here).alias("disappeared"),
     )
 
 
+def snapshot_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(agent, id, change): sessions of which a snapshot says something new. new, back (had disappeared), gone (newly
+    missing), moved (another identity) or edited (title, nickname, cwd or times)."""
+    here, had, was_gone = F.col("n.id").isNotNull(), F.col("o.id").isNotNull(), F.coalesce("o.disappeared", F.lit(False))
+    change = (
+        F.when(~had, "new").when(~here & ~was_gone, "gone").when(here & was_gone, "back").when(here & _told("n") & ~_same(IDENTITY), "moved")
+        .when(here & ~_same(("cwd", "title", "nickname", "start_ns", "last_ns")), "edited")
+    )
+    return _both(old, new, "full").select(F.coalesce("n.agent", "o.agent").alias("agent"), F.coalesce("n.id", "o.id").alias("id"), change.alias("change")).where("change IS NOT NULL")
+
+
 def changed_sessions(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(agent, id) of sessions that are new or whose identity changed, nulls compared as values."""
-    o, n = old.alias("o"), new.alias("n")
-    joined = n.join(o, (F.col("o.agent") == F.col("n.agent")) & (F.col("o.id") == F.col("n.id")), "left")
-    same = F.col("o.id").isNotNull()
-    for c in ("role", "parent_session", "root_session"):
-        same &= F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}"))
-    return joined.where(~same).select("n.agent", "n.id")
+    """(id): of codex sessions that come with an identity that is new or another than before, the session itself and its
+    parents and roots, before and now."""
+    joined = _both(old, new.where("agent = 'codex'"), "right")
+    moved = joined.where(_told("n") & (F.col("o.id").isNull() | ~_same(IDENTITY)))
+    ids = F.array("n.id", "o.parent_session", "o.root_session", "n.parent_session", "n.root_session")
+    return moved.select(F.explode(ids).alias("id")).where("id <> ''").distinct()
 
 
 def days_of_sessions(rows: DataFrame, changed: DataFrame) -> DataFrame:
-    """Days on which a changed session id occurs in any of the four columns that can hold one."""
+    """Days on which codex requests name a changed session (id) in any of the four columns that can hold one."""
     ids = F.explode(F.array_distinct(F.array("session", "native_session", "subagent", "parent_agent")))
-    each = rows.select("local_day", ids.alias("sid")).where("sid <> ''").distinct()
+    each = rows.where("agent = 'codex'").select("local_day", ids.alias("sid")).where("sid <> ''").distinct()
     return each.join(changed.select(F.col("id").alias("sid")).distinct(), "sid", "left_semi").select("local_day").distinct()
 
 
-class DataLoading(Exception):
-    """Some day of the ledger hasn't been loaded yet."""
-
-
 def day_counts(state: DataFrame) -> DataFrame:
     """One row: days, those never loaded, those frozen and those of each backfill that is pending."""
     flags = ("frozen", "identity_pending", "compaction_pending", "metrics_pending")
@@ -159,76 +206,3 @@ def saved_state(state: DataFrame, saved: DataFrame, now_ns: int | Column, today:
         F.when(done & F.lit(identity_available), False).otherwise(kept("identity_pending")).alias("identity_pending"),
         *[(kept(c) & ~done).alias(c) for c in ("compaction_pending", "metrics_pending")],
     )
-
-
-def next_revision(revision: int, saved: DataFrame, sessions_changed: bool = False) -> int:
-    """One more for each day that was saved and for a change of the sessions; the same if nothing was."""
-    return revision + saved.count() + int(sessions_changed)
-
-
-def replace_days(rows: DataFrame, path: str) -> None:
-    """The rows' days replaced in the ledger, other days untouched."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("local_day").parquet(path)
-
-
-#: Rows as they land, with the time of the file that they came in.
-LANDING = StructType([*REQUEST.fields, StructField("landed", TimestampType())])
-
-
-def _one_a_request(rows: DataFrame) -> DataFrame:
-    """A row that comes twice in a day counts once, as it landed last."""
-    last = F.max_by(F.struct(*rows.columns), F.struct("landed", "t_ns", "cost"))
-    return rows.groupBy("local_day", "id").agg(last.alias("r")).select("r.*")
-
-
-def save_verified(rows: DataFrame, pages: DataFrame, ledger: str, state: str, batch: int, today: str | None = None, zone: str = "UTC") -> None:
-    """Replaces the days that verified_days passes and writes their state; other days keep what they had,
-    and their rows wait in the state folder for the rest. Each batch's version follows from that of the one
-    before, so a batch that runs again gives the same; {state}/revision/{batch} holds the revision of the data.
-    """
-    spark = rows.sparkSession
-    schemas = {"held": LANDING, "days": DAY_STATE, "revision": "revision long"}
-    read = lambda name, n: spark.read.schema(schemas[name]).parquet(f"{state}/{name}/{n}")
-    before = lambda name: read(name, batch - 1) if batch else spark.createDataFrame([], schemas[name])
-    rows = rows.select(*LANDING.fieldNames())
-    alone, both = _one_a_request(rows), _one_a_request(rows.unionByName(before("held")))
-    passed = lambda r: verified_days(r, pages).where("ok").select(F.col("day").alias("local_day"))
-    # a whole new pull wins over what an earlier one left behind
-    whole = alone.join(passed(alone), "local_day", "left_semi")
-    filled = both.join(passed(both), "local_day", "left_semi").join(passed(alone), "local_day", "left_anti")
-    whole.unionByName(filled).select(*REQUEST.fieldNames()).write.mode("overwrite").parquet(f"{state}/good/{batch}")
-    good = spark.read.schema(REQUEST).parquet(f"{state}/good/{batch}")
-    done = good.select("local_day").distinct()
-    both.join(done, "local_day", "left_anti").select(*LANDING.fieldNames()).write.mode("overwrite").parquet(f"{state}/held/{batch}")
-    replace_days(good, ledger)
-    counts = good.groupBy(F.col("local_day").alias("d")).agg(F.count("*").alias("row_count"))
-    saved = day_digests(good).join(counts, F.col("day") == F.col("d")).select("day", F.col("digest").alias("fingerprint"), "row_count")
-    now = F.unix_micros(F.current_timestamp()) * 1000
-    today = F.lit(today) if today else local_day(now, zone)
-    saved_state(before("days"), saved, now, today, True, zone).write.mode("overwrite").parquet(f"{state}/days/{batch}")
-    last = (before("revision").first() or [0])[0]
-    spark.createDataFrame([(next_revision(last, saved),)], schemas["revision"]).coalesce(1).write.mode("overwrite").parquet(f"{state}/revision/{batch}")
-
-
-def load_stream(
-    spark: SparkSession, landing: str, ledger: str, checkpoint: str, once: bool = True, pages: Callable[[], DataFrame] | None = None, state: str | None = None
-):
-    """Landed JSON files as a stream: each micro-batch replaces the days it holds.
-
-    pages gives (day, total) of every page of each day's latest pull, as they are when a batch runs; with it
-    only days whose rows are all there are replaced, rows of others are held back for later batches, and
-    {state}/days/{batch} has the state of all days (schemas.DAY_STATE). Without it nothing tells whether a
-    day is whole: a batch must hold whole days. A row that comes twice counts once, as it landed last.
-    """
-    source = spark.readStream.schema(REQUEST).json(landing).select("*", F.col("_metadata.file_modification_time").alias("landed"))
-    if pages is not None and state is None:
-        raise ValueError("pages need a folder for the state")
-
-    def save(batch: DataFrame, number: int) -> None:
-        if pages is not None:
-            save_verified(batch, pages(), ledger, state, number)
-        else:
-            replace_days(_one_a_request(batch).drop("landed"), ledger)
-
-    writer = source.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer).start()
