@@ -18,11 +18,17 @@ def shared_dir(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = _own.setdefault(app, tempfile.mkdtemp(prefix="spark-shared-"))
+        if app not in _own:
+            _own[app] = tempfile.mkdtemp(prefix="spark-shared-")
+        base = _own[app]
     return f"{base.rstrip('/')}/{app}"
 
 
+def staged_path(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
+
+
 def staged(df: DataFrame) -> DataFrame:
-    path = f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    path = staged_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.request import SUBAGENT_KINDS
 from .measures import ADDITIVE, sums
+from .scans import latest_before
 from .staging import staged
 
 KEY = ["agent", "session_id", "thread_id"]
@@ -18,7 +19,7 @@ def routed(rows: DataFrame, sessions: DataFrame) -> DataFrame:
     """Rows of known sessions with their thread (session_id, thread_id), bucket and activity session.
 
     Requests of unknown role follow the latest thread that an earlier row gave to their session id, else
-    the one that the sessions give; a window over the rows of each id finds it.
+    the one that the sessions give; a scan in order finds it, in parts where an id has many rows.
     """
     s = sessions.select(F.col("agent").alias("sa"), F.col("id").alias("si"), F.col("role").alias("s_role"), F.col("project").alias("s_project"))
     rows = rows.join(s, (F.col("agent") == F.col("sa")) & (F.col("resolved_id") == F.col("si"))).drop("sa", "si")
@@ -39,8 +40,7 @@ def routed(rows: DataFrame, sessions: DataFrame) -> DataFrame:
     start = codex.select(F.col("id").alias("of"), F.when((F.col("role") == "subagent") & (F.col("root_session") != ""), F.col("root_session")).otherwise(F.col("id")).alias("start"))
     named = codex.where((F.col("role") == "subagent") & (F.col("root_session") != "")).select(F.col("root_session").alias("of"), F.col("root_session").alias("start"))
     start = named.unionByName(start.join(named.select("of"), "of", "left_anti")).distinct()
-    before = W.partitionBy("of").orderBy("ord").rowsBetween(W.unboundedPreceding, -1)
-    seen = looks.withColumn("latest", F.last("anchor", ignorenulls=True).over(before)).where(F.col("seeks").isNotNull())
+    seen = latest_before(looks, "of", "ord", "anchor").where(F.col("seeks").isNotNull())
     seen = seen.join(start, "of", "left").select(F.col("id").alias("seeker"), F.coalesce("latest", "start").alias("mapped"))
     rows = rows.join(seen, F.col("id") == F.col("seeker"), "left").drop("seeker")
     claude_sub = (F.col("agent") == "claude") & (F.col("subagent") != "")
@@ -136,19 +136,24 @@ def model_effort(routed_rows: DataFrame) -> DataFrame:
 def descendants(all_threads: DataFrame) -> DataFrame:
     """(agent, session_id, top, thread_id): each subagent with all subagents below it, by parent ids.
 
-    Rounds of joins; a pair once found isn't followed again, so cycles end.
+    Pairs up to a distance of 2**k join the threads that are 2**k below, so depth doubles with each round; without
+    cycles every pair is made once. Cycles end as soon as a round finds no new pair.
     """
+    of = ["agent", "session_id"]
     subs = all_threads.where("type = 'subagent'").select(*KEY, "parent")
-    edges = staged(subs.where("parent <> ''").select(F.col("agent").alias("ea"), F.col("session_id").alias("es"), F.col("parent").alias("ep"), F.col("thread_id").alias("et")))
-    reach = staged(subs.select("agent", "session_id", F.col("thread_id").alias("top"), "thread_id"))
-    new, every = reach, reach
-    while True:
-        step = new.join(edges, (F.col("agent") == F.col("ea")) & (F.col("session_id") == F.col("es")) & (F.col("thread_id") == F.col("ep")))
-        step = step.select("agent", "session_id", "top", F.col("et").alias("thread_id")).distinct()
-        new = staged(step.join(every, ["agent", "session_id", "top", "thread_id"], "left_anti"))
+    known = subs.select(*of, F.col("thread_id").alias("parent"))
+    jump = staged(subs.where("parent <> ''").join(known, [*of, "parent"], "left_semi").select(*of, "thread_id", F.col("parent").alias("up")))
+    every = jump.select(*of, F.col("up").alias("top"), "thread_id")
+    while not jump.isEmpty():
+        above = every.select(*of, "top", F.col("thread_id").alias("up"))
+        new = jump.join(above, [*of, "up"]).select(*of, "top", "thread_id").distinct()
+        new = staged(new.join(every, [*of, "top", "thread_id"], "left_anti"))
         if new.isEmpty():
-            return every.where("top <> thread_id")
+            break
         every = every.unionByName(new)
+        further = jump.select(*of, F.col("thread_id").alias("up"), F.col("up").alias("further"))
+        jump = staged(jump.join(further, [*of, "up"]).select(*of, "thread_id", F.col("further").alias("up")))
+    return every.where("top <> thread_id")
 
 
 def children(all_threads: DataFrame, by_bucket: DataFrame) -> DataFrame:

@@ -388,8 +388,9 @@ def session_table(spark, sf_dir) -> DataFrame:
     items, out = M.derived(_items(t)), None
     for field in S.FIELDS:
         for descending in (True, False):
+            pages = S.Pages(items, field, descending)
             for number in (1, 10**6):
-                rows = S.page(items, field, descending, number).select(F.lit(field).alias("field"), F.lit(descending).alias("descending"), F.lit(number > 1).alias("last_page"), *T.KEY, "position")
+                rows = pages.page(number).select(F.lit(field).alias("field"), F.lit(descending).alias("descending"), F.lit(number > 1).alias("last_page"), *T.KEY, "position")
                 out = rows if out is None else out.unionByName(rows)
     return out
 
