@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged, table
-from .vectors import answers, best_lists, classes, norm, queries_of, usable
+from .vectors import LARGEST, answers, best_lists, classes, norm, queries_of, usable
 
 #: Bounds of the index: vectors that it is fitted to (and that a split looks at), vectors of a list before
 #: replicas, lists before splits (a fifth of the sample), lists a vector may be in.
@@ -148,6 +148,17 @@ class Graph:
         return np.concatenate(out)
 
 
+def row_products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Row-wise inner products in doubles, the same sum wherever a vector stands; infinite beyond them."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        out = (q * v).sum(1)
+        bad = ~np.isfinite(out)
+        if bad.any():
+            m, n = np.abs(q[bad]).max(axis=1), np.abs(v[bad]).max(axis=1)
+            out[bad] = (q[bad] / m[:, None] * (v[bad] / n[:, None])).sum(1) * m * n
+    return out
+
+
 def balanced_centroids(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     """k-means of unit vectors whose assignment pays for a cluster's size, so that no list grows far beyond the rest."""
     rng = np.random.default_rng(0)
@@ -202,10 +213,12 @@ class Lists:
 
         def even(x: np.ndarray, query: bool = False) -> np.ndarray:
             """Scaled by the longest vector, with the component that gives all vectors its length."""
-            x = x / longest
-            rest = np.zeros(len(x)) if query else np.sqrt(np.maximum(1 - (x * x).sum(1), 0))
             if query:  # a query's own length doesn't change its order
-                x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+                x = x / np.abs(x).max(axis=1, keepdims=True)
+                x = x / np.linalg.norm(x, axis=1, keepdims=True)
+            else:
+                x = x / longest
+            rest = np.zeros(len(x)) if query else np.sqrt(np.maximum(1 - (x * x).sum(1), 0))
             return np.concatenate([x, rest[:, None]], axis=1).astype(np.float32)
 
         return even
@@ -264,9 +277,8 @@ def search(vectors: DataFrame, k: int = 20, modulus: int = 20, prune: float = PR
     the largest inner products found; ties go to the smaller id.
 
     Null, zero and ragged vectors, those with null or non-finite components and null ids take no part;
-    a query of fewer others gets them all. Equal vectors are searched once; rows that repeat
-    an id and vector count once. An empty table gives no row. Lengths whose squares overflow count as
-    infinite and take no part either.
+    a query of fewer others gets them all. Equal vectors are searched once; an id counts once, with
+    the least of its vectors. An empty table gives no row. A product beyond doubles is infinite.
 
     told: gets the figures of the lists, and what share of the stored rows a query reads (told["read"]).
     """
@@ -321,15 +333,17 @@ def search(vectors: DataFrame, k: int = 20, modulus: int = 20, prune: float = PR
         asker = np.repeat(np.arange(len(q)), queries["lists"].map(len))
         wanted = np.concatenate(queries["lists"].to_list())
         products = np.full((len(q), len(v)), -np.inf)
+        large = float(np.abs(q).max()) * float(np.abs(v).max()) * q.shape[1] > LARGEST / 4  # order by scaled products then
+        q_, v_ = (q / np.abs(q).max(axis=1, keepdims=True), v / np.abs(v).max()) if large else (q, v)
         for at in np.unique(members["list"]):
             rows, columns = asker[wanted == at], column[(members["list"] == at).to_numpy()]
-            products[rows[:, None], columns[None, :]] = q[rows] @ v[columns].T
+            products[rows[:, None], columns[None, :]] = q_[rows] @ v_[columns].T
         most = min(k + 4, len(v))
         top = np.argpartition(-products, most - 1, axis=1)[:, :most]
         i, j = np.repeat(np.arange(len(q)), most), top.ravel()
         seen = products[i, j] > -np.inf
         i, j = i[seen], j[seen]
-        exact = (q[i] * v[j]).sum(1)  # the same sum wherever a vector stands
+        exact = row_products(q[i], v[j])
         best = best_lists(i, near[j], exact, k + 1)
         return pd.DataFrame({"rep": queries["rep"].to_numpy(), "best": best + [[]] * (len(q) - len(best))})
 

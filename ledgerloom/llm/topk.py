@@ -85,12 +85,14 @@ def search(vectors: DataFrame, k: int = 10, modulus: int = 100, scale: int = SCA
     the highest integer inner products of floor(scale * component); ties go to the smaller id.
 
     Null and ragged vectors, those with null or non-finite components and null ids take no part; zero
-    vectors do. A query of fewer others gets them all. Equal integer vectors are searched once; rows
-    that repeat an id and vector count once. Scores must
-    fit 64 bits. An empty table gives no row.
+    vectors do. A query of fewer others gets them all. Equal integer vectors are searched once; an id
+    counts once, with the least of its vectors. An integer or a score that leaves 64 bits is an error.
+    An empty table gives no row.
     """
     spark = vectors.sparkSession
-    whole = usable(vectors, nonzero=False).select("vec_id", F.transform("v", lambda x: F.floor(x * F.lit(float(scale))).cast("double")).alias("v"))
+    bad = F.raise_error(F.lit("a component is too large for an integer of 64 bits")).cast("double")
+    large = float(1 << 62) / scale
+    whole = usable(vectors, nonzero=False).select("vec_id", F.transform("v", lambda x: F.when(F.abs(x) < large, F.floor(x * F.lit(float(scale))).cast("double")).otherwise(bad)).alias("v"))
     whole = staged(whole, "integers")
     reps = classes(whole, k + 1)
     asked = queries_of(whole, reps, modulus)

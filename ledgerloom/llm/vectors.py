@@ -9,20 +9,27 @@ from pyspark.sql import functions as F
 from .common import staged
 
 SALTS = 32
+#: The largest double: lengths beyond count as this.
+LARGEST = 1.7976931348623157e308
 
 
 def usable(vectors: DataFrame, nonzero: bool) -> DataFrame:
     """(vec_id long, v array<double>) of vectors without null or non-finite components, all of the
-    most frequent length (of equally frequent ones the longest). Null ids take no part, nor do vectors so
-    large that the sum of their squares overflows a double."""
+    most frequent length (of equally frequent ones the longest). Null ids take no part; of several vectors
+    of one id the least does, by its components in order."""
     v = F.col("embedding").cast("array<double>")
     sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).where(sound)
     if nonzero:
         rows = rows.where(F.exists("v", lambda x: x != 0))
-    rows = staged(rows.where(norm(F.col("v")) < F.lit(float("inf"))), "vectors")
+    rows = staged(rows, "vectors")
     common = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
-    return rows.where(F.size("v") == common["d"]) if common else rows
+    rows = rows.where(F.size("v") == common["d"]) if common else rows
+    again = staged(rows.groupBy("vec_id").agg(F.count("*").alias("n")).where("n > 1").select("vec_id"), "repeated-ids")
+    if again.isEmpty():
+        return rows
+    least = rows.join(again, "vec_id", "left_semi").groupBy("vec_id").agg(F.min("v").alias("v"))
+    return staged(rows.join(again, "vec_id", "left_anti").unionByName(least), "vectors")
 
 
 def classes(rows: DataFrame, first: int) -> DataFrame:
@@ -74,4 +81,7 @@ def queries_of(rows: DataFrame, reps: DataFrame, modulus: int) -> DataFrame:
 
 
 def norm(v: Column) -> Column:
-    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    """Length, scaled by the largest component, so that no square overflows; 0 for zero vectors."""
+    most = F.array_max(F.transform(v, F.abs))
+    scaled = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + (x / most) * (x / most)))
+    return F.when(most > 0, F.least(most * scaled, F.lit(LARGEST))).otherwise(F.lit(0.0))
