@@ -39,7 +39,7 @@ class Ranged:
     def between(self, first: int, last: int, name: str = "position") -> DataFrame:
         """The rows at the positions first to last, from 1, with these; only their ranges are read and sorted."""
         starts = sorted(self.before.items(), key=lambda x: x[1])
-        ends = [b for _, b in starts[1:]] + [self.count]
+        ends = [b for _, b in starts[1:]] + [self.count] * bool(starts)
         wanted = {p: b for (p, b), end in zip(starts, ends, strict=True) if b < last and end >= first}
         own = F.row_number().over(W.partitionBy("part_").orderBy(*self.order))
         before = F.coalesce(*[F.when(F.col("part_") == p, F.lit(b).cast("long")) for p, b in wanted.items()], F.lit(0).cast("long"))

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import dates, paths, request as R
 from ledgerloom.sources.schemas import REQUEST
-from ledgerloom.streaming import load as L
+from ledgerloom.sources.store import Store
+from ledgerloom.streaming import load as L, sync
 
 BASE = {"status": 200, "error": "", "output": 100, "reasoning": 0, "ms": 1200, "ttft_ms": 200, "first_text_ms": 0, "first_reasoning_ms": 0, "flow_ms": 0, "reasoning_hidden": False, "source": "gateway", "agent": "codex"}
 
@@ -76,16 +77,24 @@ def test_civil_date(spark, text, ok):
     assert (spark.createDataFrame([(text,)], "d string").select(dates.civil_date(F.col("d"))).first()[0] is not None) == ok
 
 
-def test_stream_replaces_only_landed_days(spark, tmp_path):
-    def land(name, rows):
+def landing(spark, path):
+    """land(name, rows, pages): a file of requests lands, and a new stream loads it into the store, which it gives."""
+
+    def land(name, rows, pages=None):
         full = [tuple(({f.name: None for f in REQUEST.fields} | r)[f.name] for f in REQUEST.fields) for r in rows]
-        spark.createDataFrame(full, REQUEST).write.json(str(tmp_path / "landing" / name))
-        L.load_stream(spark, str(tmp_path / "landing" / "*"), str(tmp_path / "ledger"), str(tmp_path / "mark")).awaitTermination()
-        return sorted((r["local_day"].isoformat() if hasattr(r["local_day"], "isoformat") else r["local_day"], r["id"], r["cost"]) for r in spark.read.parquet(str(tmp_path / "ledger")).collect())
+        spark.createDataFrame(full, REQUEST).write.json(str(path / "landing" / name))
+        manifest = (lambda: spark.createDataFrame(pages, "day string, total long")) if pages else None
+        sync.usage_stream(spark, str(path / "landing" / "*"), str(path / "store"), str(path / "mark"), manifest, today="2026-01-02").awaitTermination()
+        return Store(spark, str(path / "store")).snapshot()
+
+    return land
+
 
-    first = land("a", [{"id": 1, "local_day": "2026-01-01", "cost": 1.0}, {"id": 2, "local_day": "2026-01-02", "cost": 1.0}])
+def test_stream_replaces_only_landed_days(spark, tmp_path):
+    land, days = landing(spark, tmp_path), lambda s: sorted((r["local_day"], r["id"], r["cost"]) for r in s.requests().collect())
+    first = days(land("a", [{"id": 1, "local_day": "2026-01-01", "cost": 1.0}, {"id": 2, "local_day": "2026-01-02", "cost": 1.0}]))
     assert [x[1] for x in first] == [1, 2]
-    second = land("b", [{"id": 3, "local_day": "2026-01-02", "cost": 2.0}])
+    second = days(land("b", [{"id": 3, "local_day": "2026-01-02", "cost": 2.0}]))
     assert [(x[0], x[1]) for x in second] == [("2026-01-01", 1), ("2026-01-02", 3)]
 
 
@@ -103,18 +112,10 @@ def test_fingerprint_ignores_order(spark):
 
 
 def test_stream_holds_days_back_until_all_rows_are_there(spark, tmp_path):
-    at = lambda name: str(tmp_path / name)
-
-    def land(name, rows, pages):
-        full = [tuple(({f.name: None for f in REQUEST.fields} | r)[f.name] for f in REQUEST.fields) for r in rows]
-        spark.createDataFrame(full, REQUEST).write.json(at(f"landing/{name}"))
-        manifest = lambda: spark.createDataFrame(pages, "day string, total long")
-        L.load_stream(spark, at("landing/*"), at("ledger"), at("mark"), pages=manifest, state=at("state")).awaitTermination()
-        state = spark.read.parquet(at(f"state/days/{'abcd'.index(name)}"))
-        return sorted((str(r["local_day"]), r["id"]) for r in spark.read.parquet(at("ledger")).collect()), {r["day"]: r["row_count"] for r in state.collect()}
-
     one, two = "2026-01-01", "2026-01-02"
     row = lambda day, i: {"id": i, "local_day": day, "cost": 1.0}
-    assert land("a", [row(one, 1), row(two, 2)], [(one, 1), (two, 3)]) == ([(one, 1)], {one: 1})
-    assert land("b", [row(two, 3), row(two, 4), row(one, 9)], [(one, 2), (one, 3), (two, 3)]) == ([(one, 1), (two, 2), (two, 3), (two, 4)], {one: 1, two: 3})
-    assert land("c", [row(one, 5), row(one, 6)], [(one, 2)])[0][:2] == [(one, 5), (one, 6)]
+    land = landing(spark, tmp_path)
+    seen = lambda s: (sorted((r["local_day"], r["id"]) for r in s.requests().collect()), {d: x["row_count"] for d, x in s.days.items() if x["last_sync_ns"] is not None})
+    assert seen(land("a", [row(one, 1), row(two, 2)], [(one, 1), (two, 3)])) == ([(one, 1)], {one: 1})
+    assert seen(land("b", [row(two, 3), row(two, 4), row(one, 9)], [(one, 2), (one, 3), (two, 3)])) == ([(one, 1), (two, 2), (two, 3), (two, 4)], {one: 1, two: 3})
+    assert seen(land("c", [row(one, 5), row(one, 6)], [(one, 2)]))[0][:2] == [(one, 5), (one, 6)]
