@@ -12,6 +12,8 @@ from ..functions.dates import local_day
 from .measures import ADDITIVE, sums, with_measures
 from .staging import staged
 
+#: More models than these are looked up instead of being tried one by one.
+MANY = 32
 KINDS = ("project", "workspace", "projectless", "unknown")
 
 
@@ -89,7 +91,10 @@ def in_scope(rows: DataFrame, scope: Scope = Scope()) -> DataFrame:
     rows = rows.where(F.col("local_day").between(scope.first, scope.last))
     if scope.agents:
         rows = rows.where(F.col("agent").isin(*scope.agents))
-    if scope.models:
+    if len(scope.models) > MANY:
+        named = rows.sparkSession.createDataFrame(list(scope.models), "provider string, model_name string")
+        rows = rows.join(F.broadcast(named), ["provider", "model_name"], "left_semi")  # the caller's list
+    elif scope.models:
         wanted = F.lit(False)
         for provider, model in scope.models:
             wanted |= (F.col("provider") == provider) & (F.col("model_name") == model)

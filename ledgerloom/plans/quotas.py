@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ..operators import quotas as Q
+from ..operators.scans import latest_before
 from ..sources import derived
 from ..sources.readers import supplemented
 
@@ -29,8 +30,8 @@ def quota_keeper(spark, sf_dir) -> DataFrame:
 
 def revision_feed(spark, sf_dir) -> DataFrame:
     """What subscribers are told: each new pair of revisions, and a reset where either falls back."""
-    by = W.partitionBy("feed").orderBy("id")
-    rows = derived.revisions(spark, sf_dir).withColumns({"d": F.lag("data_revision").over(by), "s": F.lag("status_revision").over(by)})
+    rows = derived.revisions(spark, sf_dir).withColumn("pair", F.struct("data_revision", "status_revision"))
+    rows = latest_before(rows, "feed", "id", "pair").withColumns({"d": F.col("latest.data_revision"), "s": F.col("latest.status_revision")})
     back = (F.col("data_revision") < F.col("d")) | (F.col("status_revision") < F.col("s"))
     same = (F.col("data_revision") == F.col("d")) & (F.col("status_revision") == F.col("s"))
     kind = F.when(back, "epoch_reset").when(~F.coalesce(same, F.lit(False)), "revision")

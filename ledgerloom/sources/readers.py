@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .schemas import DAY_STATE, LANDED, OVERVIEW, QUOTA, REQUEST, SESSION, SUMMARY
+from .schemas import LANDED, OVERVIEW, QUOTA, REQUEST, SESSION, SUMMARY
 
 
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
@@ -67,11 +67,6 @@ def read_tools(spark: SparkSession, path: str) -> DataFrame:
     return tools.select("calls", F.explode("top").alias("t")).select("calls", "t.name", "t.category", F.col("t.calls").alias("tool_calls"))
 
 
-def read_day_state(spark: SparkSession, path: str, first: str, last: str) -> DataFrame:
-    """The state of the days between two, both included."""
-    return spark.read.schema(DAY_STATE).parquet(path).where(F.col("day").between(first, last))
-
-
 def read_days(spark: SparkSession, path: str, schema: StructType, first: str | None = None, last: str | None = None) -> DataFrame:
     """A table with a folder for each local day, between two days, both included: a filter on its partition column."""
     rows = spark.read.schema(schema).parquet(path)

@@ -52,9 +52,10 @@ class Snapshot:
         at = [f"{self.store.path}/{a}" for a in at]
         return self.spark.read.schema(schema).parquet(*at) if at else self.spark.createDataFrame([], schema)
 
-    def state(self) -> DataFrame:
-        """The state of each day (schemas.DAY_STATE)."""
-        return self.spark.createDataFrame([tuple(d[f.name] for f in DAY_STATE.fields) for d in self.days.values()], DAY_STATE)
+    def state(self, first: str = "0000-01-01", last: str = "9999-12-31") -> DataFrame:
+        """The state of each day (schemas.DAY_STATE) between two, both included."""
+        rows = [tuple(d[f.name] for f in DAY_STATE.fields) for day, d in self.days.items() if first <= day <= last]
+        return self.spark.createDataFrame(rows, DAY_STATE)
 
     def requests(self, first: str | None = None, last: str | None = None) -> DataFrame:
         return self._between("rows", REQUEST, first, last)

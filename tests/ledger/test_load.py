@@ -159,6 +159,7 @@ def test_readers_keep_their_version_until_it_is_vacuumed(spark, tmp_path):
             old = store.snapshot()
     assert [r["cost"] for r in old.requests(ONE, ONE).collect()] == [1.0]
     assert all(old.days[TWO]["rows"] in f for f in old.requests(TWO, TWO).inputFiles())  # one day is read
+    assert [r["day"] for r in old.state(TWO).collect()] == [TWO] and old.state("2026-01-03").count() == 0
     gone = store.vacuum(keep=2)
     assert any(g.startswith("manifest/") for g in gone) and old.days[ONE]["rows"].partition("/day_")[0] in {g.partition("/day_")[0] for g in gone}
     assert [(r["id"], r["cost"]) for r in store.snapshot(3).requests().collect()] == [(1, 2.0), (2, 7.0)]

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import ranking, scans, tables as S, threads as T
+from ledgerloom.operators import dataset as D, ranking, scans, tables as S, threads as T
 
 
 @pytest.fixture(autouse=True)
@@ -100,6 +100,15 @@ def test_a_deep_page_sorts_only_its_range(spark):
     assert len(pages.rows.before) == 8 and 1 <= len(set(re.findall(r"\b\d\b", read))) <= 2 and "part_" in read
 
 
+def test_long_lists_of_models_are_looked_up(spark, monkeypatch):
+    rows = spark.createDataFrame([("2024-01-01", f"p{i % 7}", f"m{i}", i) for i in range(200)], "local_day string, provider string, model_name string, id int")
+    pairs = tuple((f"p{i % 7}", f"m{i}") for i in range(0, 200, 3)) + (("p0", "m1"), ("", "m5"))
+    ids = lambda: sorted(r["id"] for r in D.in_scope(rows, D.Scope(models=pairs)).collect())
+    looked_up = ids()
+    monkeypatch.setattr(D, "MANY", 1000)
+    assert looked_up == ids() == list(range(0, 200, 3))
+
+
 @pytest.mark.parametrize("descending", [False, True])
 def test_names_are_collated_and_digits_go_by_value(spark, descending):
     long = "9" * 25
