@@ -1,9 +1,10 @@
 """Packing token sequences online by the sum-of-squares rule.
 
 Each task packs its own documents as they come: a level array counts the open windows by fill; a
-piece goes to the level that makes the sum of squared counts smallest. Full windows leave at once, so
-a task holds only its open ones. What is open at the end is cut and joined into full windows and at
-most ten short ones whose lengths are powers of two, which need no padding.
+piece goes to the level that makes the sum of squared counts smallest. Full windows leave at once, and
+open ones are bounded in number, so a task's memory doesn't grow with its documents. Windows that are open
+at the end go into each other by the same rule, cut where they don't fit; less than one window is left then,
+cut at powers of two.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from .common import give_back, small_batches, table
 
 WINDOW = 1024
+#: Windows that a task holds open, at most; some 2 KB each, 4 KB at most.
+OPEN = 4096
 #: Words that a task keeps the ids of, at most; about 180 bytes each.
 CACHED_WORDS = 400_000
 #: Characters of texts that are encoded together, about.
@@ -43,6 +46,8 @@ class Ids:
         self.tokenizer, self.cached, self.words = Tokenizer.from_file(path), cached, {}
         self.newline = self.encode("\n")
         self.simple = len(self.newline) == 1
+        #: Whether marks after letters are cut off before anything else, so that their ids don't depend on the word.
+        self.marked = [w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str("word" + MARKS)][1:] == [MARKS]
         self.marks: dict[str, bytes] = {}
 
     def encode(self, text: str) -> list[int]:
@@ -57,7 +62,7 @@ class Ids:
         those that are new, words without their marks included."""
         known, bare = self.words, {}
         for w in words:
-            b = w.rstrip(MARKS)
+            b = w.rstrip(MARKS) if self.marked else w
             if len(b) < len(w) and b.removeprefix("\n").isalpha():
                 bare[w] = b
         whole = [w for w in words if w not in bare] if bare else words
@@ -102,56 +107,86 @@ class Ids:
         return self.many([text])[0]
 
 
+def split(pieces: list, room: int) -> tuple[list, list]:
+    """The first `room` ids of pieces (doc, start, ids, total), and the others."""
+    first: list = []
+    for k, (doc, start, ids, total) in enumerate(pieces):
+        size = len(ids) // 4
+        if size > room:
+            head = [(doc, start, ids[: room * 4], total)] if room else []
+            return first + head, [(doc, start + room, ids[room * 4 :], total), *pieces[k + 1 :]]
+        first.append(pieces[k])
+        room -= size
+    return first, []
+
+
 class SumOfSquares:
-    """Open windows by fill level. put() gives the windows that became full."""
+    """Open windows by fill level, `most` of them at most.
+
+    Pieces go where the sum of squared counts becomes least: whole into a window with room or a new one. Once
+    `most` windows are open no piece opens another: it goes into a window with room or, cut, fills a
+    window while its rest stays open in that one's stead, whichever makes the sum least. finish() puts the
+    open windows into each other by the same rule until one is left.
+    """
 
-    def __init__(self, window: int):
-        self.window, self.counts, self.open = window, np.zeros(window + 1, np.int64), [[] for _ in range(window + 1)]
+    def __init__(self, window: int, most: int):
+        self.window, self.most, self.held = window, most, 0
+        self.counts, self.open = np.zeros(window + 1, np.int64), [[] for _ in range(window + 1)]
 
-    def level(self, size: int) -> int:
-        """The fill level (0: a new window) that minimises the sum of squared counts; ties go to the fullest."""
-        n = self.counts
-        fits = self.window - size
-        after = n[size : self.window + 1]
-        change = 1 - 2 * n[: fits + 1] + 2 * after + 1
+    def level(self, size: int, new: bool) -> int:
+        """The fill level that pieces of `size` ids go to; 0: a new window. Ties go to whole pieces, then to the fullest."""
+        n, fits = self.counts, self.window - size
+        change = 2 - 2 * n[: fits + 1] + 2 * n[size:]
         change[0] = 2 * n[size] + 1
         change[fits] = 1 - 2 * n[fits] if fits else -1  # the window is full then and counts no more
-        levels = np.flatnonzero((n[: fits + 1] > 0) | (np.arange(fits + 1) == 0))
-        return int(levels[::-1][np.argmin(change[levels][::-1])])
-
-    def put(self, piece: tuple, size: int) -> list | None:
-        at = self.level(size)
-        held = self.open[at].pop() if at else []
-        if at:
-            self.counts[at] -= 1
-        held.append(piece)
-        if at + size == self.window:
-            return held
-        self.counts[at + size] += 1
-        self.open[at + size].append(held)
+        usable = n[: fits + 1] > 0
+        usable[0] = new
+        levels = np.flatnonzero(usable)[::-1]
+        whole = levels[np.argmin(change[levels])] if len(levels) else None
+        if new:
+            return int(whole)
+        over = fits + 1 + np.flatnonzero(n[fits + 1 : self.window])[::-1]
+        if not len(over):
+            return int(whole)
+        cut = 2 - 2 * n[over] + 2 * n[over - fits]
+        best = int(np.argmin(cut))
+        return int(whole) if whole is not None and change[whole] <= cut[best] else int(over[best])
+
+    def take(self, level: int) -> list:
+        self.counts[level] -= 1
+        self.held -= 1
+        return self.open[level].pop()
+
+    def hold(self, pieces: list, level: int) -> None:
+        self.counts[level] += 1
+        self.held += 1
+        self.open[level].append(pieces)
+
+    def put(self, pieces: list, size: int, new: bool | None = None) -> list | None:
+        """Place pieces of `size` ids in all, fewer than a window; the window that became full, if one did."""
+        at = self.level(size, self.held < self.most if new is None else new)
+        inside, room = (self.take(at) if at else []), self.window - at
+        if size > room:
+            pieces, rest = split(pieces, room)
+            self.hold(rest, size - room)
+        if size >= room:
+            return inside + pieces
+        self.hold(inside + pieces, at + size)
         return None
 
-    def rest(self) -> Iterator[list]:
-        for level in range(self.window, 0, -1):
-            yield from self.open[level]
-
-
-def cut_rest(windows: Iterator[list], window: int) -> Iterator[list]:
-    """Pieces of open windows joined into full ones; the last stretch is cut at powers of two."""
-    pieces = [p for held in windows for p in held]
-    left = sum(len(p[2]) // 4 for p in pieces)
-    sizes = [window] * (left // window) + [1 << b for b in range(window.bit_length(), -1, -1) if (left % window) >> b & 1]
-    pieces.reverse()
-    for size in sizes:
-        out, room = [], size
-        while room:
-            doc, start, ids, total = pieces.pop()
-            if len(ids) // 4 > room:
-                pieces.append((doc, start + room, ids[room * 4 :], total))
-                ids = ids[: room * 4]
-            out.append((doc, start, ids, total))
-            room -= len(ids) // 4
-        yield out
+    def finish(self) -> Iterator[list]:
+        """Full windows, then the last open one cut at powers of two, which need no padding."""
+        while self.held > 1:
+            level = self.window - int(np.argmax(self.counts[::-1]))  # of the most frequent levels the fullest
+            if done := self.put(self.take(level), level, new=False):
+                yield done
+        for level in np.flatnonzero(self.counts):
+            pieces, left = self.take(int(level)), int(level)
+            while left:
+                size = 1 << (left.bit_length() - 1)
+                head, pieces = split(pieces, size)
+                left -= size
+                yield head
 
 
 def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = 0, tasks: int | None = None) -> DataFrame:
@@ -161,12 +196,12 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
     document is the end id alone. Null ids are kept. Equal rows are packed each by itself; other columns
     are ignored. An empty table gives no sequence. A sequence's id is its task's number, then a count.
 
-    tasks: partitions are joined to so many, without a shuffle; the more texts a task has, the fewer windows
-    are open at its end and the fewer words are encoded again.
+    tasks: partitions are joined to so many, without a shuffle; the more texts a task has, the fewer documents
+    are cut and the fewer words are encoded again.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer, end = Ids(tokenizer_path), SumOfSquares(window), int(end_id).to_bytes(4, "little")
+        encode, packer, end = Ids(tokenizer_path), SumOfSquares(window, OPEN), int(end_id).to_bytes(4, "little")
         sequence = TaskContext.get().partitionId() << 40
         rows: list[tuple] = []
         held = 0
@@ -207,11 +242,11 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
                 full = total - total % window
                 for start in range(0, full, window):
                     emit([(doc, start, ids[start * 4 : (start + window) * 4], total)])
-                if full < total and (done := packer.put((doc, full, ids[full * 4 :], total), total - full)):
+                if full < total and (done := packer.put([(doc, full, ids[full * 4 :], total)], total - full)):
                     emit(done)
                 if held > 1_000_000:
                     yield out()
-        for pieces in cut_rest(packer.rest(), window):
+        for pieces in packer.finish():
             emit(pieces)
             if held > 1_000_000:
                 yield out()

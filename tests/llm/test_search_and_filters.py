@@ -207,22 +207,66 @@ def test_packing_keeps_every_id_once(spark):
     assert packing.pack(docs(spark, []), TOKENIZER).count() == 0
 
 
-def test_sum_of_squares_picks_the_least():
+def squares_after(counts, window, size, level):
+    """The sum of squared counts once `size` ids went to `level`: whole, or cut where they fill its window."""
+    n = counts.copy()
+    n[level] -= level > 0
+    end = level + size
+    n[end if end < window else end - window] += end != window
+    return int((n[1:] ** 2).sum())
+
+
+@pytest.mark.parametrize("new", [True, False])
+def test_sum_of_squares_picks_the_least(new):
     rng = np.random.default_rng(4)
-    p = packing.SumOfSquares(32)
-    for _ in range(500):
+    p = packing.SumOfSquares(32, 10**6)
+    for k in range(500):
         size = int(rng.integers(1, 32))
-        best = {}
-        for level in range(32 - size + 1):
-            if level and not p.counts[level]:
-                continue
-            n = p.counts.copy()
-            n[level] -= level > 0
-            n[level + size] += level + size < 32
-            best[level] = int((n**2).sum())
-        at = p.level(size)
-        assert best[at] == min(best.values()) and at == max(k for k, v in best.items() if v == best[at])
-        p.put((0, 0, b"", 0), size)
+        open_levels = [int(x) for x in np.flatnonzero(p.counts)]
+        opens = new or not p.held
+        levels = [0, *[x for x in open_levels if x + size <= 32]] if opens else open_levels
+        after = {x: squares_after(p.counts, 32, size, x) for x in levels}
+        at = p.level(size, opens)
+        least = [x for x in levels if after[x] == min(after.values())]
+        whole = [x for x in least if x + size <= 32]
+        assert at == max(whole or least)
+        p.put([(k, 0, bytes(4 * size), size)], size, opens)
+        assert int((p.counts[1:] ** 2).sum()) == after[at] and p.held == p.counts.sum()
+
+
+@pytest.mark.parametrize("sizes", [[600] * 3000, [1023, 2] * 500, [1], [1023], [], [512] * 7, None])
+def test_open_windows_are_bounded_and_filled_by_the_same_rule(sizes):
+    """Also where no two documents fit together: no more than `most` windows are open, and in the end every window is full
+    but for less than one, which is cut at powers of two."""
+    if sizes is None:
+        sizes = np.random.default_rng(5).integers(1, 1024, 4000).tolist()
+    p, full = packing.SumOfSquares(1024, 50), []
+    for k, size in enumerate(sizes):
+        if done := p.put([(k, 0, k.to_bytes(4, "little") * size, size)], size):
+            full.append(done)
+        assert p.held <= 50
+    ends = list(p.finish())
+    lengths = [sum(len(x[2]) // 4 for x in w) for w in full + ends]
+    short = [n for n in lengths if n < 1024]
+    assert sum(lengths) == sum(sizes) and max(lengths, default=0) <= 1024 and sum(short) < 1024
+    assert short == sorted(set(short), reverse=True) and all(n & (n - 1) == 0 for n in short)
+    got = defaultdict(list)
+    for doc, start, ids, _ in (x for w in full + ends for x in w):
+        assert ids == doc.to_bytes(4, "little") * (len(ids) // 4)
+        got[doc].append((start, len(ids) // 4))
+    for k, size in enumerate(sizes):
+        parts = sorted(got[k])
+        assert [a for a, _ in parts] == [0, *np.cumsum([n for _, n in parts])[:-1]] and sum(n for _, n in parts) == size
+
+
+@needs_tokenizer
+def test_all_but_a_window_a_task_is_packed_by_sum_of_squares(spark):
+    """Of the given documents less than a window for each task is in windows that aren't full, however small the tasks."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for tasks in (2, 8):
+        rows = packing.digest(packing.pack(table.repartition(tasks), TOKENIZER)).groupBy("sequence_id").agg({"length": "sum"}).collect()
+        short = [r[1] for r in rows if r[1] < 1024]
+        assert sum(short) < 1024 * tasks and sum(short) < 0.05 * sum(r[1] for r in rows)
 
 
 def test_fold(spark):
