@@ -5,13 +5,13 @@ from __future__ import annotations
 import uuid
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ..operators.staging import shared_dir
 from ..sources import derived
 from ..sources.store import LANDING, Store
-from ..streaming import load as L, sync
+from ..streaming import load as L, pages, sync
 from . import reports
 
 
@@ -192,4 +192,25 @@ def stored_threads(spark, sf_dir) -> DataFrame:
     return reports.thread_usage(spark, story(spark, sf_dir)[1][-1])
 
 
-QUERIES = {f.__name__: f for f in (day_digest_changes, refresh_decision, snapshot_merge, session_changes, changed_session_days, candidate_days, verified_days, backfill_flags, day_states, load_story, reports_after_reload, stored_threads)}
+def _pages(spark, sf_dir) -> DataFrame:
+    """Pages of each day, some days with a page that is missing, overlaps, is short or names another total, or with an
+    earlier or a later pull that lacks a page."""
+    each = derived.ledger(spark, sf_dir).groupBy(F.col("local_day").alias("day"), F.floor(F.col("id") / 1000).alias("n")).agg(F.count("*").alias("count"))
+    of_day = W.partitionBy("day")  # a row for each page
+    upto = of_day.orderBy("n").rowsBetween(W.unboundedPreceding, W.currentRow)
+    whole = each.select("day", (F.sum("count").over(upto) - F.col("count")).alias("offset"), "count", F.sum("count").over(of_day).alias("total"), F.row_number().over(of_day.orderBy("n")).alias("nth"))
+    kind, second = F.dayofmonth(F.to_date("day")) % 7, F.col("nth") == 2
+    pulls = whole.withColumn("pull", F.explode(F.when(kind.isin(5, 6), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    lacking = second & ((kind == 1) | ((kind == 5) & (F.col("pull") == 1)) | ((kind == 6) & (F.col("pull") == 2)))
+    change = lambda k, by: F.when(second & (kind == k), by).otherwise(0)
+    return pulls.where(~lacking).select("day", F.col("pull").cast("long").alias("pull"), (F.col("offset") + change(2, -1)).alias("offset"), (F.col("count") + change(4, -1)).alias("count"), (F.col("total") + change(3, 1)).alias("total"))
+
+
+def landed_pages(spark, sf_dir) -> DataFrame:
+    """The pages of each day's latest pull, and the total of those that prove their day."""
+    seen = _pages(spark, sf_dir)
+    last = pages.latest_pulls(seen).groupBy("day").agg(F.max("pull").alias("pull"), F.count("*").alias("pages"))
+    return last.join(pages.proven_pulls(seen).select("day", "total"), "day", "left")
+
+
+QUERIES = {f.__name__: f for f in (landed_pages, day_digest_changes, refresh_decision, snapshot_merge, session_changes, changed_session_days, candidate_days, verified_days, backfill_flags, day_states, load_story, reports_after_reload, stored_threads)}

@@ -474,6 +474,17 @@ _STATE = """, days AS (SELECT DISTINCT local_day AS day FROM led), state AS (
 _SAVED = """CASE WHEN d.day IS NOT NULL THEN coalesce(s.day, d.day)::DATE < (SELECT max(day)::DATE - 4 FROM days) ELSE s.frozen END AS frozen, CASE WHEN d.day IS NOT NULL AND IDENTITY THEN FALSE ELSE coalesce(s.identity_pending, FALSE) END AS identity_pending,
   coalesce(s.compaction_pending, FALSE) AND d.day IS NULL AS compaction_pending, coalesce(s.metrics_pending, FALSE) AND d.day IS NULL AS metrics_pending"""
 ORACLES |= {
+    "landed_pages": _with("""SELECT day, max(pull)::BIGINT AS pull, count(*) AS pages, CASE WHEN bool_and(starts = due) AND min(total) = max(total) AND max(starts + size) = max(total) THEN max(total)::BIGINT END AS total FROM linked GROUP BY day""", """, each AS (SELECT local_day AS day, id // 1000 AS n, count(*) AS size FROM led GROUP BY 1, 2
+    ), numbered AS (
+      SELECT day, size, sum(size) OVER (PARTITION BY day ORDER BY n) - size AS "offset", sum(size) OVER (PARTITION BY day) AS total,
+        row_number() OVER (PARTITION BY day ORDER BY n) AS nth, dayofmonth(day::DATE) % 7 AS kind FROM each
+    ), pulls AS (SELECT *, 1 AS pull FROM numbered UNION ALL SELECT *, 2 FROM numbered WHERE kind IN (5, 6)
+    ), pages AS (
+      SELECT day, pull, "offset" - CASE WHEN nth = 2 AND kind = 2 THEN 1 ELSE 0 END AS starts, size - CASE WHEN nth = 2 AND kind = 4 THEN 1 ELSE 0 END AS size,
+        total + CASE WHEN nth = 2 AND kind = 3 THEN 1 ELSE 0 END AS total
+      FROM pulls WHERE NOT (nth = 2 AND (kind = 1 OR (kind = 5 AND pull = 1) OR (kind = 6 AND pull = 2)))
+    ), latest AS (SELECT * FROM pages QUALIFY pull = max(pull) OVER (PARTITION BY day)
+    ), linked AS (SELECT day, pull, starts, size, total, coalesce(lag(starts + size) OVER (PARTITION BY day ORDER BY starts), 0) AS due FROM latest)"""),
     "candidate_days": _with("SELECT strftime(unnest(generate_series((SELECT min(day)::DATE FROM days WHERE day(day::DATE) > 9), (SELECT max(day)::DATE + 3 FROM days), INTERVAL 1 DAY)), '%Y-%m-%d') AS day UNION SELECT day FROM state", _STATE),
     "verified_days": _with("SELECT day, n % 4 <> 0 AND n % 6 <> 0 AS ok FROM (SELECT day, day(day::DATE) AS n FROM days)", _STATE),
     "backfill_flags": _with(f"""SELECT step, count(*) AS days, count(*) FILTER (last_sync_ns IS NULL) AS never_loaded, count(*) FILTER (frozen) AS frozen, count(*) FILTER (identity_pending) AS identity_pending,

@@ -22,6 +22,11 @@ LANDED = T.StructType(
     + [T.StructField("route_id", T.IntegerType()), T.StructField("rid", T.StringType()), T.StructField("response_id", T.StringType())]
 )
 
+#: A page of a pull of one day's requests.
+PAGE = T.StructType(
+    [T.StructField("day", T.StringType())] + [T.StructField(c, T.LongType()) for c in ("pull", "offset", "total")] + [T.StructField("rows", T.ArrayType(REQUEST))]
+)
+
 #: One row per (agent, id).
 SESSION = T.StructType(
     [T.StructField(c, T.StringType()) for c in ("agent", "id", "cwd", "title", "nickname")]

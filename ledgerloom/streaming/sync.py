@@ -31,12 +31,12 @@ def queued(base: Snapshot, days: DataFrame) -> dict[str, dict]:
     return {r["day"]: {"identity_pending": True} for r in days.select("day").distinct().collect()}  # days
 
 
-def save_days(store: Store, rows: DataFrame, pages: DataFrame | None, number: int = 0, today: str | None = None, zone: str = "UTC") -> Snapshot:
+def save_days(store: Store, rows: DataFrame, pages: DataFrame | None, number: int = 0, today: str | None = None, zone: str = "UTC", now_ns: int = 0) -> Snapshot:
     """Replaces the days of landed rows (LANDING) that their pages (day, total) show to be whole, all at once with their
     state and the revision; rows of other days are held for later batches. Without pages every day counts as whole.
 
     number: of the batch; one that the store has is skipped. A whole new pull wins over what an earlier one left
-    behind. A day that pages say is empty is saved as such.
+    behind. A day that pages say is empty is saved as such. now_ns: the time of the batch, if later than its rows' files.
     """
     with store.writing() as base:
         if base.whole["usage_batch"] >= number:
@@ -46,7 +46,7 @@ def save_days(store: Store, rows: DataFrame, pages: DataFrame | None, number: in
         staged = spark.read.schema(LANDING).parquet(f"{store.path}/{landed_at}/*") if not rows.isEmpty() else spark.createDataFrame([], LANDING)
         met = staged.groupBy("local_day").agg(F.max(F.unix_micros("landed")).alias("landed")).collect()  # a row for each day
         days = sorted(r["local_day"] for r in met)
-        now = _newest(met)
+        now = max(newest(met), now_ns)
         today = today or spark.range(1).select(local_day(F.lit(now).cast("long"), zone)).first()[0]
         alone, both = one_a_request(staged), one_a_request(staged.unionByName(base.held(days)))
         if pages is None:
@@ -89,7 +89,7 @@ def save_days(store: Store, rows: DataFrame, pages: DataFrame | None, number: in
         return store.commit(base, changed, usage_batch=number, revision=revision, recent=recent, complete=complete, identity_started=started)
 
 
-def _newest(met: list) -> int:
+def newest(met: list) -> int:
     """The time of the newest file, in nanoseconds; 0 if none has one."""
     return max((r["landed"] * 1000 for r in met if r["landed"] is not None), default=0)
 
@@ -158,7 +158,7 @@ def session_stream(spark: SparkSession, landing: str, path: str, checkpoint: str
 
     def save(batch: DataFrame, number: int) -> None:
         landed = batch.agg(F.max(F.unix_micros("landed")).alias("landed")).collect()
-        save_sessions(store, batch.select(F.explode("sessions").alias("s")).select("s.*"), _newest(landed), number)
+        save_sessions(store, batch.select(F.explode("sessions").alias("s")).select("s.*"), newest(landed), number)
 
     writer = source.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
