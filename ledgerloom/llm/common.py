@@ -30,7 +30,9 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
-        base = _own_dirs.setdefault(app, tempfile.mkdtemp(prefix="spark-shared-"))
+        if app not in _own_dirs:
+            _own_dirs[app] = tempfile.mkdtemp(prefix="spark-shared-")
+        base = _own_dirs[app]
     return base.rstrip("/")
 
 

@@ -4,8 +4,10 @@ import math
 import zlib
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import mixing, neighbours, packing, topk, urls
 from ledgerloom.llm.common import fold
@@ -155,6 +157,26 @@ def test_mix(spark):
     assert mixing.mix(docs(spark, [])).count() == 0
 
 
+def test_rows_without_id_are_mixed_by_their_texts(spark):
+    """Two thirds of the rows have neither id nor source: the SQL agrees, reruns agree on which texts are taken, and
+    a cap of one and a half gives some documents two copies."""
+    rows = [(None, f"w{i} " * (i % 7 + 1), None) for i in range(600)] + [(i, f"x{i} y", "web") for i in range(300)]
+    table = docs(spark, rows).select("doc_id", "text", "source")
+    mixed = mixing._mixed(table)
+    assert mixed.where("doc_id IS NULL").select("without_id").distinct().count() == 600 and mixed.count() == 900
+    con = duckdb.connect()
+    con.register("documents", table.toArrow())
+    want = con.execute(mixing.ORACLE).fetchall()
+    got = [tuple(r) for r in mixing.mix(table).select("doc_id", "size", "source_size", "target", "taken").collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    out = mixing.mix_documents(table)
+    assert out.count() == mixed.agg(F.sum("copies")).first()[0]
+    assert sorted(map(repr, out.collect())) == sorted(map(repr, mixing.mix_documents(table.repartition(5)).collect()))
+    half = mixing.mix(table, share=10.0, cap=1.5).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max("copies").alias("most"))
+    for r in half.collect():
+        assert r["most"] == 2 and abs(r["taken"] - r["target"]) <= 30
+
+
 TOKENIZER = None
 try:
     import public_tokenizers
