@@ -520,3 +520,4 @@ ORACLES |= {
     ]), _META, _LOADED, _LOADED_META, _LOADED_ROWS, _LOADED_SESSIONS),
     "stored_threads": _with(ORACLES["thread_usage"].partition(_THREADS)[2], _META, _LOADED, _LOADED_META, _LOADED_ROWS, _LOADED_SESSIONS, _THREADS.replace("JOIN meta ", "JOIN lmeta ").replace("FROM meta ", "FROM lmeta ")),
 }
+ORACLES["revision_feed_in_batches"] = ORACLES["revision_feed"]
