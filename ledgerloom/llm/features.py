@@ -30,6 +30,22 @@ def gram_hashes(data: bytes, n: int, bits: int) -> Iterator[np.ndarray]:
         yield code.astype(np.int64)
 
 
+def character_hashes(text: str, n: int, bits: int) -> Iterator[np.ndarray]:
+    """Hashes below 2**bits of every n consecutive code points, in pieces of bounded size."""
+    last, shift = np.uint64((_MIX * (2 * n + 1)) % (1 << 64)), np.uint64(64 - bits)
+    for start in range(0, max(0, len(text) - n + 1), _STEP):
+        part = np.frombuffer(text[start : start + _STEP + n - 1].encode("utf-32-le"), np.uint32).astype(np.uint64)
+        m = len(part) - n + 1
+        code = part[:m].copy()
+        for j in range(1, n):  # modulo 2**64
+            code *= np.uint64(_MIX)
+            code += part[j : j + m]
+        code ^= code >> np.uint64(32)
+        code *= last
+        code >>= shift
+        yield code.astype(np.int64)
+
+
 def sample_rate(rows: int, most: int) -> float:
     return 1.0 if rows <= most else most / rows
 

@@ -1,6 +1,6 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-The feature of a text is which hashed n-grams of four and five bytes of its lower-cased form it has.
+The feature of a text is which hashed n-grams of four and five characters (code points) of its lower-cased form it has.
 A feature's scale is the log ratio of its smoothed shares in toxic and other texts; a logistic
 regression on the scaled features gives the weights. The features that differ most surely have a weight each,
 all others share one, on the mean of their ratios. Learning takes a bounded sample of each label; the
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_steps, fold, staged, table
-from .features import gram_hashes, labelled_sample
+from .features import character_hashes, labelled_sample
 
 ORDERS = (4, 5)
 BITS = 20
@@ -30,8 +30,8 @@ PARTS = 16
 
 def grams(text: str | None) -> np.ndarray:
     """Sorted distinct feature numbers."""
-    data = (text or "").lower().encode()
-    found = [h for n in ORDERS for h in gram_hashes(data, n, BITS)]
+    lower = (text or "").lower()
+    found = [h for n in ORDERS for h in character_hashes(lower, n, BITS)]
     return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
 
@@ -98,8 +98,8 @@ def logistic(x: np.ndarray, scale: np.ndarray, y: np.ndarray, l2: float = 1.0, s
 
 def occurrences(text: str | None, ratio: np.ndarray) -> tuple[np.ndarray, float]:
     """(feature numbers as they occur, mean of `ratio` over them)."""
-    data = (text or "").lower().encode()
-    found = np.concatenate([np.zeros(0, np.int64), *[h for n in ORDERS for h in gram_hashes(data, n, BITS)]])
+    lower = (text or "").lower()
+    found = np.concatenate([np.zeros(0, np.int64), *[h for n in ORDERS for h in character_hashes(lower, n, BITS)]])
     return found, float(ratio[found].mean()) if len(found) else 0.0
 
 

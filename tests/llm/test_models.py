@@ -6,7 +6,8 @@ from collections import Counter
 import numpy as np
 
 from ledgerloom.llm import language, quality, toxicity
-from ledgerloom.llm.features import gram_hashes
+from ledgerloom.llm import features as grams_of
+from ledgerloom.llm.features import character_hashes
 
 
 def texts(seed, n, letters):
@@ -45,8 +46,23 @@ def test_every_language_is_learned(spark):
 
 
 def hashed(text, orders, bits):
-    data = text.lower().encode()
-    return {int(h) for n in orders for part in gram_hashes(data, n, bits) for h in part}
+    return {int(h) for n in orders for part in character_hashes(text.lower(), n, bits) for h in part}
+
+
+def test_character_grams_are_of_code_points(monkeypatch):
+    """Equal grams of any script hash equally wherever they stand and however the text is cut; others hardly ever."""
+    text = "añb漢字😀x" * 40 + "ß漢字😀x end"
+    for n in (4, 5):
+        whole = np.concatenate(list(character_hashes(text, n, 30)))
+        assert len(whole) == len(text) - n + 1
+        of = {}
+        for i, h in enumerate(whole.tolist()):
+            assert of.setdefault(text[i : i + n], h) == h
+        assert len(set(of.values())) == len(of)
+        monkeypatch.setattr(grams_of, "_STEP", 7)
+        assert np.array_equal(np.concatenate(list(character_hashes(text, n, 30))), whole)
+        monkeypatch.undo()
+        assert list(character_hashes("漢" * (n - 1), n, 30)) == []
 
 
 def test_toxicity_ratios_and_scores_by_hand():
@@ -69,7 +85,7 @@ def test_toxicity_ratios_and_scores_by_hand():
     model = toxicity.Model(kept, w * ratio[kept], b, ratio, 0.7)
     weight = dict(zip(kept.tolist(), (w * ratio[kept]).tolist(), strict=True))
     for t in texts(6, 10, "abcdex ") + [""]:
-        every = [int(h) for n in toxicity.ORDERS for part in gram_hashes(t.lower().encode(), n, toxicity.BITS) for h in part]
+        every = [int(h) for n in toxicity.ORDERS for part in character_hashes(t.lower(), n, toxicity.BITS) for h in part]
         s = b + sum(weight.get(g, 0.0) for g in set(every))
         s += 0.7 * sum(0.0 if g in weight else ratio[g] for g in every) / max(1, len(every))
         assert math.isclose(model.score(t), 1 / (1 + math.exp(-s)), rel_tol=1e-5)
