@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators.staging import shared_dir
 from ..sources import derived
 from ..sources.store import LANDING, Store
+from ..sources.tables import ledger as ledger_of
 from ..streaming import load as L, pages, sync
 from . import reports
 
@@ -34,7 +35,7 @@ def _changed(rows: DataFrame) -> DataFrame:
 
 def day_digest_changes(spark, sf_dir) -> DataFrame:
     """Days whose totals differ between two snapshots."""
-    rows = derived.ledger(spark, sf_dir)
+    rows = ledger_of(spark, sf_dir)
     old, new = L.day_digests(rows), L.day_digests(_changed(rows)).select(F.col("day").alias("d"), F.col("digest").alias("now"))
     return old.join(new, F.col("day") == F.col("d")).where("digest <> now").select("day")
 
@@ -42,7 +43,7 @@ def day_digest_changes(spark, sf_dir) -> DataFrame:
 def refresh_decision(spark, sf_dir) -> DataFrame:
     """What to pull of the later snapshot, for a state in which every rule fits some day; where upstream serves digests, but
     not of every day, and where it serves none."""
-    rows = derived.ledger(spark, sf_dir)
+    rows = ledger_of(spark, sf_dir)
     last = _ends(rows)[1]
     day = F.dayofmonth(F.to_date("day"))
     end = F.unix_micros(F.to_timestamp(F.date_add(F.to_date("day"), 1))) * 1000
@@ -68,25 +69,25 @@ def _snapshots(spark, sf_dir, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def snapshot_merge(spark, sf_dir) -> DataFrame:
-    old, new = _snapshots(spark, sf_dir, derived.ledger(spark, sf_dir))
+    old, new = _snapshots(spark, sf_dir, ledger_of(spark, sf_dir))
     out = L.merged_sessions(old, new, 1_800_000_000_000_000_000)
     return out.select("agent", "id", "title", "role", "parent_session", "root_session", "disappeared", F.expr("first_seen_ns div 1000000").alias("first_seen_ms"), F.expr("last_seen_ns div 1000000").alias("last_seen_ms"))
 
 
 def session_changes(spark, sf_dir) -> DataFrame:
     """What the later snapshot says anew of each session."""
-    return L.snapshot_changes(*_snapshots(spark, sf_dir, derived.ledger(spark, sf_dir)))
+    return L.snapshot_changes(*_snapshots(spark, sf_dir, ledger_of(spark, sf_dir)))
 
 
 def changed_session_days(spark, sf_dir) -> DataFrame:
-    rows = derived.ledger(spark, sf_dir)
+    rows = ledger_of(spark, sf_dir)
     return L.days_of_sessions(rows, L.changed_sessions(*_snapshots(spark, sf_dir, rows)))
 
 
 def _state(spark, sf_dir) -> DataFrame:
     """States of every day but each eighth, and of a day long before; some never loaded, some with a backfill to do."""
     day = F.dayofmonth(F.to_date("day"))
-    rows = L.day_digests(derived.ledger(spark, sf_dir)).where(day % 8 != 0)
+    rows = L.day_digests(ledger_of(spark, sf_dir)).where(day % 8 != 0)
     rows = rows.unionByName(rows.agg(F.min("day").alias("day"), F.min("digest").alias("digest")).where("day IS NOT NULL").select(F.date_format(F.date_sub(F.to_date("day"), 7), "yyyy-MM-dd").alias("day"), "digest"))
     return rows.select(
         "day", F.when(day % 7 != 0, F.col("digest")).alias("fingerprint"), day.cast("long").alias("row_count"), F.when(day % 7 != 0, F.lit(1_700_000_000_000_000_000)).cast("long").alias("last_sync_ns"),
@@ -95,13 +96,13 @@ def _state(spark, sf_dir) -> DataFrame:
 
 
 def candidate_days(spark, sf_dir) -> DataFrame:
-    series = L.day_digests(derived.ledger(spark, sf_dir)).where("dayofmonth(to_date(day)) > 9").select("day")
-    return L.candidate_days(series, _state(spark, sf_dir), _day(_ends(derived.ledger(spark, sf_dir))[1], 3))
+    series = L.day_digests(ledger_of(spark, sf_dir)).where("dayofmonth(to_date(day)) > 9").select("day")
+    return L.candidate_days(series, _state(spark, sf_dir), _day(_ends(ledger_of(spark, sf_dir))[1], 3))
 
 
 def verified_days(spark, sf_dir) -> DataFrame:
     """Days as landed, with one row too few on some, against pages whose total moved on others."""
-    rows = derived.ledger(spark, sf_dir)
+    rows = ledger_of(spark, sf_dir)
     day = F.dayofmonth(F.to_date("day"))
     said = rows.groupBy(F.col("local_day").alias("day")).agg(F.count("*").alias("n"), F.min("id").alias("least"))
     pages = said.select("day", F.explode(F.array(F.col("n"), F.col("n") + F.when(day % 6 == 0, 1).otherwise(0))).alias("total"))
@@ -111,7 +112,7 @@ def verified_days(spark, sf_dir) -> DataFrame:
 
 def backfill_flags(spark, sf_dir) -> DataFrame:
     """Days and their pending backfills before changed sessions, after these queued their days, and after a save of even days."""
-    state, rows = _state(spark, sf_dir), derived.ledger(spark, sf_dir)
+    state, rows = _state(spark, sf_dir), ledger_of(spark, sf_dir)
     changed = derived.sessions(rows).where("agent = 'codex' AND role = 'subagent' AND id LIKE '%7'").select("id")
     last = _ends(rows)[1]
     queued = L.requeued(state, L.days_of_sessions(rows, changed).select(F.col("local_day").alias("day")))
@@ -126,7 +127,7 @@ def backfill_flags(spark, sf_dir) -> DataFrame:
 
 def day_states(spark, sf_dir) -> DataFrame:
     """The state of each day after even days were saved without identities."""
-    rows = derived.ledger(spark, sf_dir)
+    rows = ledger_of(spark, sf_dir)
     counts = rows.groupBy(F.col("local_day").alias("d")).agg(F.count("*").alias("row_count"))
     done = L.day_digests(rows).where("dayofmonth(to_date(day)) % 2 = 0").join(counts, F.col("day") == F.col("d")).select("day", F.col("digest").alias("fingerprint"), "row_count")
     after = L.saved_state(_state(spark, sf_dir), done, 4_000_000_000_000_000_000, _day(_ends(rows)[1], 3), False)
@@ -143,7 +144,7 @@ def story(spark, sf_dir) -> tuple[Store, list]:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key in _stories:
         return _stories[key]
-    ledger = derived.ledger(spark, sf_dir)
+    ledger = ledger_of(spark, sf_dir)
     first, last = _ends(ledger)
     today = _day(last, 0)
     landed = F.timestamp_seconds(F.unix_seconds(F.to_timestamp(F.lit(_day(last, 1)))) + 43_200)
@@ -195,7 +196,7 @@ def stored_threads(spark, sf_dir) -> DataFrame:
 def _pages(spark, sf_dir) -> DataFrame:
     """Pages of each day, some days with a page that is missing, overlaps, is short or names another total, or with an
     earlier or a later pull that lacks a page."""
-    each = derived.ledger(spark, sf_dir).groupBy(F.col("local_day").alias("day"), F.floor(F.col("id") / 1000).alias("n")).agg(F.count("*").alias("count"))
+    each = ledger_of(spark, sf_dir).groupBy(F.col("local_day").alias("day"), F.floor(F.col("id") / 1000).alias("n")).agg(F.count("*").alias("count"))
     of_day = W.partitionBy("day")  # a row for each page
     upto = of_day.orderBy("n").rowsBetween(W.unboundedPreceding, W.currentRow)
     whole = each.select("day", (F.sum("count").over(upto) - F.col("count")).alias("offset"), "count", F.sum("count").over(of_day).alias("total"), F.row_number().over(of_day.orderBy("n")).alias("nth"))
