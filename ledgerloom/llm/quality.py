@@ -60,18 +60,20 @@ class Model:
         self.weights, self.axes, self.vectors, self.labels = weights, axes, vectors, labels
 
     @classmethod
-    def fit(cls, x: np.ndarray, labels: np.ndarray, dimensions: int = DIMENSIONS) -> Model:
+    def fit(cls, x: np.ndarray, labels: np.ndarray, dimensions: int = DIMENSIONS, in_place: bool = False) -> Model:
+        """in_place: x is weighted where it lies, so that there is one copy of the driver's largest array."""
         weights = np.log((1 + len(x)) / (1 + (x > 0).sum(0))).astype(np.float32) + np.float32(0.1)
-        weighted = x * weights
+        weighted = np.multiply(x, weights, out=x if in_place else None)
         axes = top_axes(weighted, dimensions)
-        model = cls(weights, axes, np.zeros((0, axes.shape[1]), np.float32), labels.astype(np.float32))
-        model.vectors = model.latent(x)
-        return model
+        return cls(weights, axes, cls.unit(weighted @ axes), labels.astype(np.float32))
 
-    def latent(self, x: np.ndarray) -> np.ndarray:
-        v = (x * self.weights) @ self.axes
+    @staticmethod
+    def unit(v: np.ndarray) -> np.ndarray:
         return (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
+    def latent(self, x: np.ndarray) -> np.ndarray:
+        return self.unit((x * self.weights) @ self.axes)
+
     def scores(self, texts: list) -> np.ndarray:
         out = [np.zeros(0)]
         for i in range(0, len(texts), BLOCK):
@@ -92,7 +94,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     got = sorted((r["label"], bytes(r["x"])) for r in by_steps(rows, run, "label int, x binary").toLocalIterator())
     if not got:
         return None
-    return Model.fit(np.stack([np.frombuffer(r[1], np.float32) for r in got]), np.array([r[0] for r in got]))
+    x, own = np.empty((len(got), WIDTH), np.float32), np.array([r[0] for r in got])
+    for i in range(len(got)):
+        x[i], got[i] = np.frombuffer(got[i][1], np.float32), None
+    give_back()
+    model = Model.fit(x, own, in_place=True)
+    del x
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
